@@ -23,8 +23,22 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlens.llm import best_fit
+
+    return best_fit.pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
+def op6_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlens.llm import binary_rows, scratch
+
+    path = scratch.new_path(spark, "token-rows")
+    binary_rows.write(binary_rows.rows(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json")), path)
+    return binary_rows.digests(spark.read.parquet(path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_byte_bpe]
+    found = [op1_byte_bpe, op2_best_fit, op6_token_rows]
     return {f.__name__: f for f in found}
 
 
