@@ -37,8 +37,14 @@ def op6_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_rows.digests(spark.read.parquet(path))
 
 
+def op10_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlens.llm import avi
+
+    return avi.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_byte_bpe, op2_best_fit, op6_token_rows]
+    found = [op1_byte_bpe, op2_best_fit, op6_token_rows, op10_avi_media]
     return {f.__name__: f for f in found}
 
 
