@@ -29,6 +29,12 @@ def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlens.llm import toxicity
+
+    return toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftlens.llm import binary_rows, scratch
 
@@ -37,6 +43,12 @@ def op6_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_rows.digests(spark.read.parquet(path))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlens.llm import quality
+
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftlens.llm import avi
 
@@ -44,7 +56,7 @@ def op10_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_byte_bpe, op2_best_fit, op6_token_rows, op10_avi_media]
+    found = [op1_byte_bpe, op2_best_fit, op5_toxicity, op6_token_rows, op9_quality, op10_avi_media]
     return {f.__name__: f for f in found}
 
 
