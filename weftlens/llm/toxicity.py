@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from weftlens.llm import arrowtext as at
 from weftlens.llm import labelled
-from weftlens.llm.bpe import SPACE, char_classes
+from weftlens.llm.words import split
 
 DIM = 8
 GRAMS = (3, 4, 5)
@@ -27,23 +27,6 @@ SCALE = 20.0
 EXTRA_WORDS = 20
 
 
-def split(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(code points, word starts, word ends, word hashes, words by document) of a column."""
-    raw, offs = at.buffers(arr)
-    cp = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
-    if len(cp) != len(raw):
-        offs = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offs]
-    cp = np.where((cp >= 65) & (cp <= 90), cp + 32, cp)
-    inside = char_classes()[cp] != SPACE
-    border = np.zeros(len(cp) + 1, bool)
-    border[offs] = True
-    left = inside & (border[:-1] | ~np.concatenate([[False], inside[:-1]]))
-    right = inside & (border[1:] | ~np.concatenate([inside[1:], [False]]))
-    starts, ends = np.flatnonzero(left), np.flatnonzero(right) + 1
-    per_doc = np.diff(np.searchsorted(starts, offs))
-    return cp, starts, ends, at.span_hashes(cp, starts, ends), per_doc
-
-
 def bags(hashes: np.ndarray, per_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place of a word, its document, its weight in the document's mean) for each distinct word of each document.
 
