@@ -35,6 +35,12 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlens.llm import suffix_dedup
+
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftlens.llm import toxicity
 
@@ -62,7 +68,7 @@ def op10_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_byte_bpe, op2_best_fit, op3_near_duplicates, op5_toxicity, op6_token_rows, op9_quality, op10_avi_media]
+    found = [op1_byte_bpe, op2_best_fit, op3_near_duplicates, op4_suffix_dedup, op5_toxicity, op6_token_rows, op9_quality, op10_avi_media]
     return {f.__name__: f for f in found}
 
 
