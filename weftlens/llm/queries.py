@@ -11,7 +11,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -20,13 +20,13 @@ def _vocabulary(name: str) -> str:
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftlens.llm import bpe
 
-    return bpe.digest(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"))
+    return bpe.digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftlens.llm import best_fit
 
-    return best_fit.pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return best_fit.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op6_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftlens.llm import binary_rows, scratch
 
     path = scratch.new_path(spark, "token-rows")
-    binary_rows.write(binary_rows.rows(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json")), path)
+    binary_rows.write(binary_rows.rows(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")), path)
     return binary_rows.digests(spark.read.parquet(path))
 
 
