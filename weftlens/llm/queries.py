@@ -61,6 +61,12 @@ def op7_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op8_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlens.llm import attention_lm
+
+    return attention_lm.scores(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftlens.llm import quality
 
@@ -74,7 +80,7 @@ def op10_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_byte_bpe, op2_best_fit, op3_near_duplicates, op4_suffix_dedup, op5_toxicity, op6_token_rows, op7_hilbert_neighbours, op9_quality, op10_avi_media]
+    found = [op1_byte_bpe, op2_best_fit, op3_near_duplicates, op4_suffix_dedup, op5_toxicity, op6_token_rows, op7_hilbert_neighbours, op8_attention_lm, op9_quality, op10_avi_media]
     return {f.__name__: f for f in found}
 
 
