@@ -6,10 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+Tables = Callable[[str], DataFrame]
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function of (tables); its name is the query's. sql: the same rows in DuckDB's SQL."""
+
+    def register(build: Callable[[Tables], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return build(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        run.__name__, run.__doc__ = build.__name__, build.__doc__
+        _QUERIES[build.__name__] = run
+        if sql:
+            _SQL[build.__name__] = sql
+        return build
+
+    return register
+
+
+def _load() -> None:
+    from weftlens.plans import golden, relational, textual  # noqa: F401
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
