@@ -128,13 +128,17 @@ class Model:
 def cotrain(text: np.ndarray, page: np.ndarray, y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = 5, each: int = 200, sure: float = 0.95) -> Model:
     """y: 0 or 1 for labelled rows. Every fourth labelled row is kept for calibration."""
     held = np.arange(len(y)) % 4 == 3
+    if min(np.bincount(y[held], minlength=2)) < 10:  # too few to keep any back: learn from and calibrate on all
+        train = held = np.ones(len(y), bool)
+    else:
+        train = ~held
     views, extra = (text, page), [([], []), ([], [])]
     taken = np.zeros((2, len(pool[0])), bool)
     models: list[Logistic] = []
     for turn in range(rounds + 1):
         models = []
         for x, unlabelled, (rows, guesses) in zip(views, pool, extra, strict=True):
-            xs, ys = np.concatenate([x[~held], unlabelled[np.array(rows, np.int64)]]), np.concatenate([y[~held], guesses])
+            xs, ys = np.concatenate([x[train], unlabelled[np.array(rows, np.int64)]]), np.concatenate([y[train], guesses])
             models.append(logistic(xs, ys))
         if turn == rounds or not len(pool[0]):
             break
@@ -142,7 +146,7 @@ def cotrain(text: np.ndarray, page: np.ndarray, y: np.ndarray, pool: tuple[np.nd
             logit = models[giver].logit(pool[giver])
             bound = np.log(sure / (1 - sure))
             free = ~taken[1 - giver]
-            share = y[~held].mean()
+            share = y[train].mean()
             for guess, order, part in ((1, np.argsort(-logit), share), (0, np.argsort(logit), 1 - share)):
                 good = order[(free & ((logit > bound) if guess else (logit < -bound)))[order]][: max(1, int(each * part))]
                 taken[1 - giver, good] = True
@@ -151,12 +155,12 @@ def cotrain(text: np.ndarray, page: np.ndarray, y: np.ndarray, pool: tuple[np.nd
     calibration, calibrated = [], []
     for model, x in zip(models, views, strict=True):
         z = model.logit(x[held])
-        fit = logistic(z[:, None], y[held])
+        fit = logistic(z[:, None], y[held], ridge=0.05)
         a = float(fit.weights[0] / fit.scale[0])
         b = float(fit.bias - a * fit.mean[0])
         calibration.append((a, b))
         calibrated.append(z * a + b)
-    both = logistic(np.stack(calibrated, 1), y[held])
+    both = logistic(np.stack(calibrated, 1), y[held], ridge=0.05)
     slopes = both.weights / both.scale
     return Model(tuple(models), tuple(calibration), np.array([*slopes, both.bias - slopes @ both.mean]))
 

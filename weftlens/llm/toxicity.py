@@ -172,6 +172,8 @@ class Scorer:
         self.keys, self.values = np.zeros(1 << 19, at.U64), np.zeros(1 << 19, np.float32)
 
     def __call__(self, arr: pa.Array) -> np.ndarray:
+        if not len(self.model.grams):
+            return np.full(len(arr), self.model.prior)
         cp, starts, ends, hashes, per_doc = split(arr)
         place, doc, weight = bags(hashes, per_doc)
         starts, ends, hashes = starts[place], ends[place], hashes[place]
@@ -201,7 +203,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs' columns with ``score`` and ``predicted`` added (replaced if there).
 
     Null and blank texts have no words and get the prior, the share of toxic
-    labels; repeated rows get equal scores.
+    labels, as all texts do where training had no labels of both classes;
+    repeated rows get equal scores.
     """
     docs = docs.drop("score", "predicted")
     schema = StructType([*docs.schema, *StructType.fromDDL("score double, predicted int")])
