@@ -32,7 +32,9 @@ BANDS, ROWS = 24, 4
 SIZE = BANDS * ROWS
 #: A pair of the least similarity agrees in 77 of 96 components, give or take 4; in fewer than this once in tens of millions.
 AGREE = 56
-BLOCK = 128
+BLOCK = 256
+#: Members that share a drawn least one.
+DRAWN = 4
 
 
 def signatures(hashes: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
@@ -130,8 +132,43 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: float) ->
     return both.mapInArrow(work, pairs.select("a", "b").schema)
 
 
-def _blocks(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of different components within a bucket.
+def _stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b), as many as members at most for each star: every member of a bucket with its
+    least member, and in larger buckets with the least of a few members drawn by hash, twice."""
+    hub = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    large = members.where(F.col("n") > DRAWN).withColumn("turn", F.explode(F.array(F.lit(0), F.lit(1))))
+    large = large.select("rep", "band", "key", "turn", F.pmod(F.xxhash64("rep", "band", "turn"), F.ceil(F.col("n") / DRAWN)).alias("part"))
+    group = ["band", "key", "turn", "part"]
+    drawn = large.join(large.groupBy(*group).agg(F.min("rep").alias("b")), group).where("rep <> b").select(F.col("rep").alias("a"), "b")
+    return hub.unionByName(drawn).distinct()
+
+
+def _features(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, row, features by row): a shingle's n-th copy in a text is a feature, so common features count a multiset's overlap."""
+    _, _, _, hashes, per_doc = split(texts)
+    h, doc, count = shingles(hashes, per_doc, size)
+    copy = at.ranges(np.zeros(len(count), np.int64), count)
+    return at.mix(np.repeat(h, count) + copy.astype(at.U64) * at.U64(0xA24BAED4963EE407)), np.repeat(doc, count), np.bincount(doc, count, len(texts))
+
+
+def _links_within(texts: pa.Array, left: np.ndarray, right: np.ndarray, size: int, threshold: float) -> np.ndarray:
+    """Which of left x right have the similarity: exact overlaps, as products of blocks of the table rows x features."""
+    feature, row, total = _features(texts, size)
+    _, code, times = np.unique(feature, return_inverse=True, return_counts=True)
+    shared = times[code] > 1
+    row, code = row[shared], np.unique(code[shared], return_inverse=True)[1]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for k in range(0, int(code.max(initial=-1)) + 1, 8192):
+        mine = (code >= k) & (code < k + 8192)
+        table = np.zeros((len(texts), 8192), np.float32)
+        table[row[mine], code[mine] - k] = 1
+        common += table[left] @ table[right].T
+    every = total[left][:, None] + total[right][None, :] - common
+    return (every > 0) & (common >= threshold * every - 1e-6)
+
+
+def _block_links(members: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Links (a, b) between different components within a bucket, enough of them to join the components.
 
     In each bucket with several components, the largest one's members are
     dealt to blocks of their own, and all pairs of blocks but those within the
@@ -143,60 +180,90 @@ def _blocks(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame
     known = scratch.store(known.select(*key, "rep", F.coalesce("root", "rep").alias("root")), "members")
     sizes = known.groupBy(*key, "root").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy(*key).agg(F.count("*").alias("roots"), F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("top")).where("roots > 1")
-    # A third member of a bucket of its own component has been compared with the bucket's least member already.
-    mixed = scratch.store(mixed.select(*key, "top.root", (F.ceil((F.col("n") - F.col("top.c")) / BLOCK)).alias("few"), F.ceil(F.col("top.c") / BLOCK).alias("many")).withColumnRenamed("root", "largest"), "mixed")
-    rows = known.join(mixed, key)
+    mixed = mixed.select(*key, F.col("top.root").alias("largest"), F.ceil((F.col("n") - F.col("top.c")) / BLOCK).alias("few"), F.ceil(F.col("top.c") / BLOCK).alias("many"))
+    rows = known.join(scratch.store(mixed, "mixed"), key)
     top = F.col("root") == F.col("largest")
     block = F.when(top, F.col("few") + F.pmod(F.xxhash64("rep"), F.col("many"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("few")))
-    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.when(top, F.sequence(F.lit(0).cast("long"), F.col("few") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("few") + F.col("many") - 1))))
+    others = F.sequence(F.lit(0).cast("long"), F.when(top, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(others))
     rows = rows.select(*key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "root")
-    rows = rows.join(nodes.select("rep", "sig"), "rep").select(*key, "i", "j", "block", "rep", "root", "sig")
     group = [*key, "i", "j"]
-    rows = rows.repartition(*group).sortWithinPartitions(*group)
-    rep_type = rows.schema["rep"].dataType
 
-    def compare(table: pa.Table):
-        block, i = table["block"].to_numpy(), table["i"].to_numpy()
-        rep, root = table["rep"].to_numpy(), table["root"].to_numpy()
-        sig = _matrix(table["sig"].combine_chunks())
-        code = table["key"].to_pylist()
-        marks = list(zip(table["band"].to_pylist(), code, i.tolist(), table["j"].to_pylist(), strict=True))
-        cuts = [0, *(k for k in range(1, len(marks)) if marks[k] != marks[k - 1]), len(marks)]
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            left = s + np.flatnonzero(block[s:e] == i[s])
-            right = s + np.flatnonzero(block[s:e] != i[s]) if marks[s][2] != marks[s][3] else left
-            if len(left) and len(right):
-                for x in left.tolist():
-                    y = right[(root[right] != root[x]) & ((sig[right] == sig[x]).sum(1) >= AGREE)]
-                    yield np.full(len(y), rep[x]), rep[y]
-
-    def work(batches):
+    def groups(batches):
+        """Tables of whole groups, in order."""
         held: list[pa.RecordBatch] = []
-        last = None
+        mark = lambda batch, k: [batch.column(c)[k].as_py() for c in range(4)]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(k)[batch.num_rows - 1].as_py() for k in range(4)]
             held.append(batch)
-            if last is not None and now == last:
+            now = mark(batch, batch.num_rows - 1)
+            if mark(held[0], 0) == now:
                 continue
-            last = now
-            whole = pa.Table.from_batches(held)
+            whole = pa.Table.from_batches(held).combine_chunks()
             cut = whole.num_rows - 1
-            while cut and [whole.column(k)[cut - 1].as_py() for k in range(4)] == now:
+            while mark(whole, cut - 1) == now:
                 cut -= 1
-            yield from _pairs(compare(whole.slice(0, cut)) if cut else [])
+            yield whole.slice(0, cut).combine_chunks()
             held = whole.slice(cut).to_batches()
         if held:
-            yield from _pairs(compare(pa.Table.from_batches(held)))
+            yield pa.Table.from_batches(held).combine_chunks()
 
-    def _pairs(found):
-        a, b = [np.concatenate(x) for x in zip(*found, strict=True)] if (found := list(found)) else ([], [])
-        a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
-
-    pairs = rows.mapInArrow(work, "a long, b long")
-    return pairs.select(F.col("a").cast(rep_type).alias("a"), F.col("b").cast(rep_type).alias("b")).distinct()
+    def pairs_of(table: pa.Table):
+        """(rows, left, right) of each group; left and right count within it."""
+        block, i = table["block"].to_numpy(), table["i"].to_numpy()
+        j, code, band = table["j"].to_numpy(), np.array(table["key"].to_pylist(), dtype=object), table["band"].to_numpy()
+        new = (np.diff(band) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0) | (code[1:] != code[:-1])
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), table.num_rows]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            mine = block[s:e] == i[s]
+            left = np.flatnonzero(mine)
+            yield s, e, left, left if i[s] == j[s] else np.flatnonzero(~mine)
+
+    def alike(batches):
+        """The rows of groups in which some pair of different components has like signatures."""
+        for table in groups(batches):
+            sig, root = _matrix(table["sig"].combine_chunks()), table["root"].to_numpy()
+            keep = np.zeros(table.num_rows, bool)
+            for s, e, left, right in pairs_of(table):
+                for x in left.tolist():
+                    good = (root[s + right] != root[s + x]) & ((sig[s + right] == sig[s + x]).sum(1) >= AGREE)
+                    if good.any():
+                        keep[s + x] = True
+                        keep[s + right[good]] = True
+            yield from table.drop_columns(["sig"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    def linked(batches):
+        for table in groups(batches):
+            rep, root, texts = table["rep"].to_numpy(), table["root"].to_numpy(), table["text"].combine_chunks()
+            out: list[tuple[int, int]] = []
+            for s, e, left, right in pairs_of(table):
+                if not len(left) or not len(right):
+                    continue
+                good = _links_within(texts.slice(s, e - s), left, right, size, threshold)
+                good &= root[s:e][left][:, None] != root[s:e][right][None, :]
+                parent = {r: r for r in root[s:e].tolist()}
+
+                def find(x, parent=parent):
+                    while parent[x] != x:
+                        parent[x] = x = parent[parent[x]]
+                    return x
+
+                for x, y in np.argwhere(good).tolist():
+                    a, b = s + int(left[x]), s + int(right[y])
+                    ra, rb = find(root[a]), find(root[b])
+                    if ra != rb:
+                        parent[ra] = rb
+                        out.append((max(rep[a], rep[b]), min(rep[a], rep[b])))
+            a, b = np.array(out, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    signed = rows.join(nodes.select("rep", "sig"), "rep").select(*group, "block", "rep", "root", "sig")
+    signed = signed.repartition(*group).sortWithinPartitions(*group)
+    close = scratch.store(signed.mapInArrow(alike, signed.drop("sig").schema), "close")
+    texts = docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = close.join(texts, "rep").select(*group, "block", "rep", "root", "text").repartition(*group).sortWithinPartitions(*group)
+    return whole.mapInArrow(linked, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
@@ -215,11 +282,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> D
     bands = nodes.select("rep", F.posexplode(F.array(*[F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS) for k in range(BANDS)])).alias("band", "key"))
     buckets = scratch.store(bands.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1"), "buckets")
     members = scratch.store(bands.join(buckets, ["band", "key"]), "bucketed")
-    star = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    links = scratch.store(_verified(_alike(star, nodes), docs, size, threshold).distinct(), "links")
+    links = scratch.store(_verified(_alike(_stars(members), nodes), docs, size, threshold).distinct(), "links")
     roots = graphs.components(links)
-    more = scratch.store(_verified(scratch.store(_blocks(members, nodes, roots), "candidates"), docs, size, threshold).distinct(), "more-links")
-    roots = graphs.components(links.unionByName(more))
+    more = scratch.store(_block_links(members, nodes, roots, docs, size, threshold), "more-links")
+    roots = scratch.store(graphs.merged(roots, more), "roots")
     classes = scratch.store(same.join(roots, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("root", "rep").alias("class_id")), "classes")
     scratch.drop(members, buckets, nodes)
     found = signed.select("doc_id", "same").join(classes, "same").select("doc_id", "class_id")
