@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from weftlens.functions.diff import word_diff
 from weftlens.operators import articles, citations, windows
 from weftlens.plans.registry import Tables, query
+from weftlens.sources import shared
 from weftlens.streaming import incremental
 
 LAWS = [
@@ -24,6 +23,7 @@ CITING = [
     (3, ["「가나금융업법」 제5조와 같은 법 시행령 제13조의2를 본다"], None, None), (4, ["「모르는진흥법」 제2조와 동법 제5조"], None, None), (5, ["이 법 제12조 및 영 제13조"], "a", None),
     (6, ["「가나금융업법」 제99조"], None, None), (7, ["가나법 2조 1항의 규정"], None, None), (8, ["부칙 제2조 별지 제5조"], "a", None), (9, ["「가나금융업법」 및 「다라거래법」에 관하여 동법 제2조"], None, None),
     (10, ["구 「가나금융업법」 제2조"], None, None), (11, ["가나금융업법 제4조(임원의 자격)"], None, None), (12, ["가나금융업법 제7-36조"], None, None), (13, ["제5조를 본다"], None, "a"), (14, ["감독규정 제5조"], "a", None),
+    (15, ["「가나금융업법」 제5조에 따르며 같은 조 제2항제6호는 빠진다"], None, None), (16, ["「가나금융업법」 제5조와 「다라거래법」 제3조가 있고 같은 조 제2항은"], None, None), (17, ["「모르는진흥법」 제2조와 같은 조 제1항"], None, None),
 ]
 LINES = [
     "제1장 총칙", "제1조(목적) 이 법은 금융을 다룬다.", "제2조(정의) 뜻은 다음과 같다.", "1. 첫째", "2. 둘째", "제2절 세부", "절 아래의 줄", "제3조(범위)  넓다.",
@@ -36,13 +36,13 @@ def _session(t: Tables) -> SparkSession:
 
 
 @query("""SELECT * FROM (VALUES (1,'a','2',0,'3','explicit'),(1,'a','5',0,'','explicit'),(2,'a','7',0,'','defined'),(3,'a','5',0,'','explicit'),(3,'ad','13의2',0,'','same_law'),(5,'a','12',0,'','this_law'),
- (5,'ad','13',0,'','parent_ref'),(7,'a','2',1,'','title'),(12,'ar','7-36',0,'','explicit'),(13,'a','5',0,'','inferred'),(14,'ar','5',0,'','parent_ref')) v(doc_id,slug,no,paragraph,item,method)""")
+ (5,'ad','13',0,'','parent_ref'),(7,'a','2',1,'','title'),(12,'ar','7-36',0,'','explicit'),(13,'a','5',0,'','inferred'),(14,'ar','5',0,'','parent_ref'),(15,'a','5',0,'','explicit'),(15,'a','5',2,'6','same_law'),(16,'a','5',0,'','explicit'),(16,'b','3',0,'','explicit')) v(doc_id,slug,no,paragraph,item,method)""")
 def resolve_citations(t: Tables) -> DataFrame:
     return _resolved(t)["links"].select("doc_id", "slug", "no", "paragraph", "item", "method")
 
 
 @query("""SELECT * FROM (VALUES (4,'모르는진흥법 제2조','unknown_law'),(4,'모르는진흥법 제5조','unknown_law'),(6,'「가나금융업법」 제99조','unknown_article'),(9,'제2조','ambiguous'),(10,'제2조','old_version'),
- (11,'가나금융업법 제4조','title_mismatch')) v(doc_id,raw,reason)""")
+ (11,'가나금융업법 제4조','title_mismatch'),(16,'같은 조 제2항','ambiguous'),(17,'모르는진흥법 제2조','unknown_law'),(17,'같은 조 제1항','ambiguous')) v(doc_id,raw,reason)""")
 def held_citations(t: Tables) -> DataFrame:
     return _resolved(t)["unresolved"]
 
@@ -94,8 +94,7 @@ def stream_dedupe(t: Tables) -> DataFrame:
     spark = events.sparkSession
     files = events.inputFiles()
     source, pattern = os.path.dirname(files[0]), "events.parquet" if files[0].endswith("/events.parquet") else "*.parquet"
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    target = f"{base}/stream-{uuid.uuid4().hex}"
+    target = shared.new_path(spark, "stream")
     for k in range(2):
         incremental.append_new(spark, source, events.schema, f"{target}/rows", f"{target}/checkpoint-{k}", ["event_id"], pattern=pattern)
     return spark.read.schema(events.schema).parquet(f"{target}/rows").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
