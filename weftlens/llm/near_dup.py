@@ -35,6 +35,8 @@ AGREE = 56
 BLOCK = 256
 #: Members that share a drawn least one.
 DRAWN = 4
+#: Ids of eight bytes that may be broadcast.
+BROADCAST_IDS = 4 << 20
 
 
 def signatures(hashes: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
@@ -109,9 +111,21 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(work, pairs.select("a", "b").schema)
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents with the ids (one column, distinct).
+
+    Up to BROADCAST_IDS ids, counted first, go to every task, so that no text
+    is shuffled to be left out; more are joined.
+    """
+    name = ids.columns[0]
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.select(F.col("doc_id").alias(name), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(F.broadcast(ids) if few else ids, name, "left_semi")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
     """The pairs whose multisets of shingles have a weighted Jaccard similarity of ``threshold`` or more."""
-    sides = [docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab"]
+    sides = [_texts_of(docs, pairs.select(x).distinct()).withColumnRenamed("text", f"text_{x}") for x in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b")
 
     def bag(column: pa.Array):
@@ -261,7 +275,7 @@ def _block_links(members: DataFrame, nodes: DataFrame, roots: DataFrame, docs: D
     signed = rows.join(nodes.select("rep", "sig"), "rep").select(*group, "block", "rep", "root", "sig")
     signed = signed.repartition(*group).sortWithinPartitions(*group)
     close = scratch.store(signed.mapInArrow(alike, signed.drop("sig").schema), "close")
-    texts = docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = _texts_of(docs, close.select("rep").distinct())
     whole = close.join(texts, "rep").select(*group, "block", "rep", "root", "text").repartition(*group).sortWithinPartitions(*group)
     return whole.mapInArrow(linked, "a long, b long").distinct()
 
@@ -282,7 +296,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> D
     bands = nodes.select("rep", F.posexplode(F.array(*[F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS) for k in range(BANDS)])).alias("band", "key"))
     buckets = scratch.store(bands.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1"), "buckets")
     members = scratch.store(bands.join(buckets, ["band", "key"]), "bucketed")
-    links = scratch.store(_verified(_alike(_stars(members), nodes), docs, size, threshold).distinct(), "links")
+    links = scratch.store(_verified(scratch.store(_alike(_stars(members), nodes), "alike"), docs, size, threshold).distinct(), "links")
     roots = graphs.components(links)
     more = scratch.store(_block_links(members, nodes, roots, docs, size, threshold), "more-links")
     roots = scratch.store(graphs.merged(roots, more), "roots")

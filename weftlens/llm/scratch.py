@@ -1,49 +1,5 @@
-"""Intermediate tables in the folder that the cluster shares.
+"""Intermediate tables in the folder that the cluster shares, under the names the operators use."""
 
-A lost executor must not take an intermediate result with it, so lineage is
-cut by writing Parquet under ``spark.checkpoint.dir`` and reading it again.
-"""
+from weftlens.sources.shared import drop, folder, new_path, store
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
-
-_LOCAL: list[str] = []
-
-
-def folder(spark: SparkSession) -> str:
-    """The shared folder; one of our own only where the session names none (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="weftlens-"))
-    return f"file://{_LOCAL[0]}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write df and return it as read back, with the same schema."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    schema = StructType.fromJson(df.schema.jsonValue())
-    df.write.parquet(path)
-    out = spark.read.schema(schema).parquet(path)
-    out._weft_path = path
-    return out
-
-
-def drop(*frames: DataFrame) -> None:
-    """Delete stored tables that nothing will read again."""
-    for df in frames:
-        path = getattr(df, "_weft_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["drop", "folder", "new_path", "store"]

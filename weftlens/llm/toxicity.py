@@ -53,10 +53,10 @@ def subwords(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
         s = at.ranges(first, count)
         lists.append((s, s + n, count))
     total = sum(x[2] for x in lists)
-    out = np.empty(int(total.sum()), at.U64)
+    out = np.empty(int(total.sum()), np.uint32)
     where = np.cumsum(total) - total
     for s, e, count in lists:
-        out[at.ranges(where, count)] = at.span_hashes(flat, s, e)
+        out[at.ranges(where, count)] = at.span_hashes(flat, s, e) >> at.U64(32)
         where = where + count
     return out, total
 
@@ -101,15 +101,19 @@ def find(grams: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def _count(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct hashes, number of owners of each)."""
-    both = np.unique(np.stack([hashes, owner], 1), axis=0)
-    values, counts = np.unique(both[:, 0], return_counts=True)
-    return values, counts
+    _, one = np.unique(at.mix(hashes.astype(at.U64) + (owner.astype(at.U64) << at.U64(32))), return_index=True)
+    return np.unique(hashes[one], return_counts=True)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    every, back = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+    return [(every, np.bincount(back, np.concatenate([n for _, n in parts])).astype(np.int32))]
 
 
 def train(texts: list[str], toxic: np.ndarray, prior: float, steps: int = 190, batch: int = 128, rate: float = 0.1, floor: float = 0.01, decay: float = 0.2, seed: int = 7) -> Model:
     """Joint training of embeddings and softmax by Adam. Without both classes the model is the prior."""
     if len(set(toxic.tolist())) < 2:
-        return Model(np.zeros(0, at.U64), np.zeros(0), 0.0, prior)
+        return Model(np.zeros(0, np.uint32), np.zeros(0), 0.0, prior)
     rng = np.random.default_rng(seed)
     batch = min(batch, max(16, len(texts) // 12))
     least_docs = max(3, len(texts) // 200)
@@ -124,13 +128,16 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, steps: int = 190, b
         _, where, word = np.unique(hashes[place], return_index=True, return_inverse=True)
         where = place[where]
         found, counts = subwords(cp, starts[where], ends[where])
-        owner = np.repeat(doc, counts[word]).astype(at.U64)
+        owner = np.repeat(doc, counts[word])
         seen.append(_count(found[at.ranges((np.cumsum(counts) - counts)[word], counts[word])], owner))
-        prepared.append([found, counts, word, doc, weight, toxic[chosen]])
-    grams, back = np.unique(np.concatenate([g for g, _ in seen]), return_inverse=True)
-    grams = grams[np.bincount(back, np.concatenate([n for _, n in seen])) >= least_docs]
+        prepared.append([found, counts.astype(np.int32), word.astype(np.int32), doc.astype(np.int32), weight.astype(np.float32), toxic[chosen]])
+        if len(seen) == 4:
+            seen = _merged(seen)
+    grams, documents = _merged(seen)[0]
+    grams = grams[documents >= least_docs]
+    del seen
     for one in prepared:
-        one[0] = find(grams, one[0])
+        one[0] = find(grams, one[0]).astype(np.int32)
     size = len(grams)
     params = [rng.normal(0, 0.1, (size + 1, DIM)), rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)]
     params[0][size] = 0
