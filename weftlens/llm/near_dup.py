@@ -9,9 +9,10 @@ weighted Jaccard similarity. Arrivals are drawn lazily, in order, until no
 later one can matter.
 
 Signatures are banded; a bucket's members are compared with its least member
-first, and only where a bucket still holds several components are members of
-different components compared with each other, block by block. Every candidate
-is verified by the exact overlap of its two multisets.
+first, each document with its likest one before any other, and only where a
+bucket still holds several components are members of different components
+compared with each other, block by block. Every candidate that could join two
+components is verified by the exact overlap of its two multisets.
 """
 
 from __future__ import annotations
@@ -98,17 +99,18 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose signatures agree often enough to be worth a look at the texts."""
+    """The pairs whose signatures agree often enough to be worth a look at the texts, and in how many components."""
     sides = [nodes.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sig_a", "sig_b")
 
     def work(batches):
         for batch in batches:
             if batch.num_rows:
-                good = (_matrix(batch.column(2)) == _matrix(batch.column(3))).sum(1) >= AGREE
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], names=["a", "b"])
+                agree = pa.array((_matrix(batch.column(2)) == _matrix(batch.column(3))).sum(1), pa.int32())
+                good = pa.array(agree.to_numpy() >= AGREE)
+                yield pa.RecordBatch.from_arrays([c.filter(good) for c in (*batch.columns[:2], agree)], names=["a", "b", "agree"])
 
-    return both.mapInArrow(work, pairs.select("a", "b").schema)
+    return both.mapInArrow(work, "a long, b long, agree int")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -146,6 +148,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: float) ->
     return both.mapInArrow(work, pairs.select("a", "b").schema)
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) between different components."""
+    for end in "ab":
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def _stars(members: DataFrame) -> DataFrame:
     """Pairs (a, b), as many as members at most for each star: every member of a bucket with its
     least member, and in larger buckets with the least of a few members drawn by hash, twice."""
@@ -235,13 +244,16 @@ def _block_links(members: DataFrame, nodes: DataFrame, roots: DataFrame, docs: D
             yield s, e, left, left if i[s] == j[s] else np.flatnonzero(~mine)
 
     def alike(batches):
-        """The rows of groups in which some pair of different components has like signatures."""
+        """The rows of groups in which some pair of different components has like signatures, each pair in the first band that it shares."""
         for table in groups(batches):
-            sig, root = _matrix(table["sig"].combine_chunks()), table["root"].to_numpy()
+            sig, root, band = _matrix(table["sig"].combine_chunks()), table["root"].to_numpy(), table["band"].to_numpy()
             keep = np.zeros(table.num_rows, bool)
             for s, e, left, right in pairs_of(table):
                 for x in left.tolist():
-                    good = (root[s + right] != root[s + x]) & ((sig[s + right] == sig[s + x]).sum(1) >= AGREE)
+                    equal = sig[s + right] == sig[s + x]
+                    good = (root[s + right] != root[s + x]) & (equal.sum(1) >= AGREE)
+                    if good.any():
+                        good &= equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[s]
                     if good.any():
                         keep[s + x] = True
                         keep[s + right[good]] = True
@@ -296,8 +308,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> D
     bands = nodes.select("rep", F.posexplode(F.array(*[F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS) for k in range(BANDS)])).alias("band", "key"))
     buckets = scratch.store(bands.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1"), "buckets")
     members = scratch.store(bands.join(buckets, ["band", "key"]), "bucketed")
-    links = scratch.store(_verified(scratch.store(_alike(_stars(members), nodes), "alike"), docs, size, threshold).distinct(), "links")
+    alike = scratch.store(_alike(_stars(members), nodes), "alike")
+    likest = alike.groupBy("a").agg(F.max(F.struct("agree", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b"))
+    links = scratch.store(_verified(scratch.store(likest, "likest"), docs, size, threshold), "links")
     roots = graphs.components(links)
+    rest = scratch.store(_apart(alike, roots), "rest")
+    others = scratch.store(_verified(rest, docs, size, threshold), "other-links")
+    roots = scratch.store(graphs.merged(roots, others), "first-roots")
     more = scratch.store(_block_links(members, nodes, roots, docs, size, threshold), "more-links")
     roots = scratch.store(graphs.merged(roots, more), "roots")
     classes = scratch.store(same.join(roots, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("root", "rep").alias("class_id")), "classes")
