@@ -273,6 +273,24 @@ def test_neighbours(spark):
     assert curves.nearest(df.limit(3)).count() == 2
 
 
+def test_neighbours_in_a_group_of_multiples_and_near_copies(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(-99, 99, 8).astype(float)
+    # Multiples of one vector, then copies that one byte a component does not tell apart.
+    rows = {k: base * (1 + k % 97) for k in range(200)} | {k: base + [1e-3 * (1 + k % 89), *[0] * 7] for k in range(200, 400)} | {k: rng.normal(size=8) for k in range(400, 600)}
+    table = [(k, [float(np.float32(c)) for c in x]) for k, x in rows.items()]
+    expected = neighbours_by_force({k: np.array(x) for k, x in table}, 50, 5)
+    found: dict = {}
+    for r in sorted(curves.nearest(spark.createDataFrame(table, "vec_id long, embedding array<float>")).collect(), key=lambda r: (r.query_id, r["rank"])):
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(found) == set(expected)
+    for q, got in found.items():
+        np.testing.assert_allclose([s for _, s in got], [-s for s, _ in expected[q]], rtol=0, atol=1e-14)
+    assert [i for i, _ in found[0]] == [1, 2, 3, 4, 5] and [i for i, _ in found[100]] == [0, 1, 2, 3, 4]
+    # 200 and the same sum 89 on: their vectors are equal, and nearest to each other.
+    assert [i for i, _ in found[200]][:2] == [289, 378]
+
+
 def test_hilbert_keys_are_a_walk():
     side = 8
     cells = np.stack(np.meshgrid(*[np.arange(side)] * 3, indexing="ij"), -1).reshape(-1, 3)

@@ -1,10 +1,10 @@
 """Approximate nearest neighbours on shifted space-filling curves.
 
-Equal vectors are collapsed first. Each distinct one is projected to a few
-dimensions in several ways, shifted, and put on a Hilbert curve; Spark
+Vectors of one direction are collapsed first. Each distinct one is projected to
+a few dimensions in several ways, shifted, and put on a Hilbert curve; Spark
 range-partitions all curves' keys. A query is compared with the windows before
-and after it on every curve, on vectors of one byte a component; the best of
-all windows merge and are ranked again by the exact measure.
+and after it on every curve by the exact measure, so that the best of each
+window lose nothing and merge by it.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from weftlens.llm import scratch
 
 CURVES, DIMS, BITS, WINDOW = 32, 6, 8, 1024
-#: How many of a window's best go on, and how many of all windows' best are ranked exactly.
-KEEP_WINDOW, KEEP_ALL = 12, 32
+#: More than rounding changes a product of unit vectors in doubles; what is nearer than that is compared term by term.
+SLACK = 1e-12
 SAMPLE = 4096
 
 
@@ -71,10 +71,10 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def _keyed(groups: DataFrame, curves: int) -> DataFrame:
-    """(curve, key, h1, h2, asks, small) rows: each vector on each curve."""
+    """(curve, key, h1, h2, asks, least, raw) rows: each vector on each curve."""
     sample = groups.orderBy(F.xxhash64("h1"), "h1", "h2").limit(SAMPLE).select("embedding").collect()
     if not sample:
-        return groups.sparkSession.createDataFrame([], "curve int, key long, h1 long, h2 long, asks boolean, small binary")
+        return groups.sparkSession.createDataFrame([], "curve int, key long, h1 long, h2 long, asks boolean, least long, raw binary")
     some = np.array([r[0] for r in sample], np.float64)
     some /= np.abs(some).max(1, keepdims=True)
     some /= np.linalg.norm(some, axis=1, keepdims=True)
@@ -87,32 +87,30 @@ def _keyed(groups: DataFrame, curves: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _unit(batch.column(3))
-            top = np.abs(x).max(1, keepdims=True)
-            small = np.rint(x / top * 127).astype(np.int8)
-            raw, width = small.tobytes(), small.shape[1]
-            offsets = np.arange(0, len(raw) + 1, width, dtype=np.int32)
+            x = _unit(batch.column(4))
+            raw = batch.column(4).flatten().to_numpy(zero_copy_only=False).tobytes()
+            offsets = np.linspace(0, len(raw), len(x) + 1).astype(np.int32)
             blobs = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])
             for c in range(curves):
                 # The data fill half of the cube's side; the shift moves them in it.
                 cell = ((x @ ways[c] - low[c]) / np.maximum(high[c] - low[c], 1e-12) + shift[c]) / 2
                 key = hilbert(np.clip(cell * (1 << BITS), 0, (1 << BITS) - 1), BITS)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(key), batch.column(0), batch.column(1), batch.column(2), blobs], names=["curve", "key", "h1", "h2", "asks", "small"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(key), batch.column(0), batch.column(1), batch.column(2), batch.column(3), blobs], names=["curve", "key", "h1", "h2", "asks", "least", "raw"])
 
-    return groups.select("h1", "h2", "asks", "embedding").mapInArrow(work, "curve int, key long, h1 long, h2 long, asks boolean, small binary")
+    return groups.select("h1", "h2", "asks", "least", "embedding").mapInArrow(work, "curve int, key long, h1 long, h2 long, asks boolean, least long, raw binary")
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
     """Rows in the order of (curve, key) with their place ``rank`` in it."""
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = rows.repartitionByRange(n, "curve", "key", "h1").sortWithinPartitions("curve", "key", "h1", "h2")
-    schema = ordered.select("curve", "h1", "h2", "asks", "small", F.lit(0).alias("part"), F.lit(0).cast("long").alias("at")).schema
+    schema = ordered.select("curve", "h1", "h2", "asks", "least", "raw", F.lit(0).alias("part"), F.lit(0).cast("long").alias("at")).schema
 
     def work(batches):
         part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             size = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in (0, 2, 3, 4, 5)] + [pa.array(np.full(size, part, np.int32)), pa.array(np.arange(n, n + size))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in (0, 2, 3, 4, 5, 6)] + [pa.array(np.full(size, part, np.int32)), pa.array(np.arange(n, n + size))], names=schema.names)
             n += size
 
     placed = scratch.store(ordered.mapInArrow(work, schema), "curves")
@@ -123,40 +121,55 @@ def _numbered(rows: DataFrame) -> DataFrame:
         first.append((part, total))
         total += last + 1
     begin = placed.sparkSession.createDataFrame(first, "part int, begin long")
-    return placed.join(F.broadcast(begin), "part").select("curve", "h1", "h2", "asks", "small", (F.col("begin") + F.col("at")).alias("rank"))
+    return placed.join(F.broadcast(begin), "part").select("curve", "h1", "h2", "asks", "least", "raw", (F.col("begin") + F.col("at")).alias("rank"))
 
 
-def _windows(rows: DataFrame, window: int) -> DataFrame:
-    """(q1, q2, h1, h2, near): the best of each window for each asking vector."""
+def _dots(x: np.ndarray, y: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Products of the vectors (columns of x and y), summed in the order of the components whatever the pairs' number."""
+    out = np.zeros(len(rows))
+    for a, b in zip(x, y, strict=True):
+        out += a[rows] * b[cols]
+    return out
+
+
+def _windows(rows: DataFrame, window: int, k: int, kind: str) -> DataFrame:
+    """(q1, q2, h1, h2, least, score): the k best of each window for each asking vector, by cosine and then by ``least``."""
     block = F.floor(F.col("rank") / window)
-    give = rows.select(block.alias("block"), F.lit(False).alias("asks"), "curve", "h1", "h2", "small")
-    ask = rows.where("asks").select(F.explode(F.array(block - 1, block, block + 1)).alias("block"), "asks", "curve", "h1", "h2", "small")
+    give = rows.select(block.alias("block"), F.lit(False).alias("asks"), "curve", "h1", "h2", "least", "raw")
+    ask = rows.where("asks").select(F.explode(F.array(block - 1, block, block + 1)).alias("block"), "asks", "curve", "h1", "h2", "least", "raw")
     both = give.unionByName(ask).repartition("block").sortWithinPartitions("block", "asks")
 
     def best(table: pa.Table):
         asks = table["asks"].to_numpy()
-        x = np.frombuffer(b"".join(table["small"].to_pylist()), np.int8).reshape(len(asks), -1).astype(np.float32)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = np.frombuffer(b"".join(table["raw"].to_pylist()), kind).reshape(len(asks), -1).astype(np.float64)
+        x /= np.abs(x).max(1, keepdims=True)
+        flat, every = np.ascontiguousarray(x.T), np.arange(len(x))
+        norm = np.sqrt(_dots(flat, flat, every, every))
+        x /= norm[:, None]
         ids = np.stack([table["h1"].to_numpy(), table["h2"].to_numpy()], 1)
-        curve, block = table["curve"].to_numpy(), table["block"].to_numpy()
+        curve, block, least = table["curve"].to_numpy(), table["block"].to_numpy(), table["least"].to_numpy()
         cuts = np.flatnonzero(np.diff(block)) + 1
         for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block)], strict=True):
             split = s + int(np.searchsorted(asks[s:e], True))
-            if s < split < e:
-                near = x[split:e] @ x[s:split].T
-                near[curve[split:e, None] != curve[None, s:split]] = -2
-                k = min(KEEP_WINDOW, split - s)
-                top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-                q = np.repeat(np.arange(split, e), k)
-                c, score = s + top.ravel(), np.take_along_axis(near, top, 1).ravel()
-                good = score > -2
-                yield np.column_stack([ids[q], ids[c]])[good], score[good]
+            if not s < split < e:
+                continue
+            some = max(1, (1 << 21) // (split - s))
+            for lo in range(split, e, some):
+                hi = min(e, lo + some)
+                near = x[lo:hi] @ x[s:split].T
+                near[curve[lo:hi, None] != curve[None, s:split]] = -2
+                n = near.shape[1] - min(k, near.shape[1])
+                q, c = np.nonzero((near >= np.partition(near, n, axis=1)[:, n, None] - SLACK) & (near > -2))
+                q, c = q + lo, c + s
+                score = _dots(flat, flat, q, c) / (norm[q] * norm[c])
+                by = np.lexsort((least[c], -score, q))
+                q, c, score = q[by], c[by], score[by]
+                good = np.arange(len(q)) - np.searchsorted(q, q) < k
+                yield np.column_stack([ids[q[good]], ids[c[good]], least[c[good]]]), score[good]
 
     def emit(table: pa.Table):
-        found = list(best(table))
-        if found:
-            ids, near = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-            yield pa.RecordBatch.from_arrays([*(pa.array(ids[:, k]) for k in range(4)), pa.array(near.astype(np.float32))], names=["q1", "q2", "h1", "h2", "near"])
+        for ids, score in best(table):
+            yield pa.RecordBatch.from_arrays([*(pa.array(ids[:, j]) for j in range(5)), pa.array(score)], names=["q1", "q2", "h1", "h2", "least", "score"])
 
     def work(batches):
         held: list[pa.RecordBatch] = []
@@ -171,11 +184,8 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
         if held:
             yield from emit(pa.Table.from_batches(held).combine_chunks())
 
-    return both.mapInArrow(work, "q1 long, q2 long, h1 long, h2 long, near float").groupBy("q1", "q2", "h1", "h2").agg(F.max("near").alias("near"))
-
-
-def _dot(a: str, b: str):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    found = both.mapInArrow(work, "q1 long, q2 long, h1 long, h2 long, least long, score double")
+    return found.groupBy("q1", "q2", "h1", "h2", "least").agg(F.max("score").alias("score"))
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = CURVES, window: int = WINDOW) -> DataFrame:
@@ -184,22 +194,27 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = CURVE
     Ties go to the smaller vec_id. A row is no neighbour of itself; repeated
     rows count once; rows that usable() leaves out take no part.
     """
-    rows = usable(vectors).dropDuplicates(["vec_id", "embedding"])
-    rows = rows.withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(1), F.col("embedding")))
+    rows, kind = usable(vectors), "f4"
+    if rows.schema["embedding"].dataType.elementType.typeName() != "float":
+        rows, kind = rows.withColumn("embedding", F.col("embedding").cast("array<double>")), "f8"
+    rows = rows.dropDuplicates(["vec_id", "embedding"])
+    # Multiples of a vector have cosine 1 with it and are one group: components by the largest, without negative zeros.
+    top = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    way = F.transform("embedding", lambda x: x.cast("double") / F.col("top") + F.lit(0.0))
+    rows = rows.withColumn("top", top).withColumn("way", way)
+    rows = rows.withColumn("h1", F.xxhash64("way")).withColumn("h2", F.xxhash64(F.lit(1), F.col("way"))).drop("top", "way")
     queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("h1").alias("q1"), F.col("h2").alias("q2"))
     queries = scratch.store(queries.distinct(), "queries")
-    # Of equal vectors only the k + 1 smallest ids can be among a query's nearest.
+    # Of one direction only the k + 1 smallest ids can be among a query's nearest.
     few = rows.withColumn("n", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).where(f"n <= {k + 1}")
-    groups = few.groupBy("h1", "h2").agg(F.collect_list("vec_id").alias("ids"), F.min_by("embedding", "vec_id").alias("embedding"))
+    groups = few.groupBy("h1", "h2").agg(F.collect_list("vec_id").alias("ids"), F.min("vec_id").alias("least"), F.min_by("embedding", "vec_id").alias("embedding"))
     asked = queries.select(F.col("q1").alias("h1"), F.col("q2").alias("h2"), F.lit(True).alias("asks")).distinct()
     groups = scratch.store(groups.join(asked, ["h1", "h2"], "left").withColumn("asks", F.coalesce("asks", F.lit(False))), "vectors")
-    found = _windows(_numbered(_keyed(groups, curves)), window)
+    found = _windows(_numbered(_keyed(groups, curves)), window, k + 1, kind)
     order = Window.partitionBy("q1", "q2")
-    some = found.withColumn("n", F.row_number().over(order.orderBy(F.desc("near"), "h1", "h2"))).where(f"n <= {KEEP_ALL}").drop("n", "near")
-    given = groups.select("h1", "h2", "ids", F.col("embedding").alias("v"))
-    asking = groups.where("asks").select(F.col("h1").alias("q1"), F.col("h2").alias("q2"), F.col("embedding").alias("q"))
-    score = (_dot("q", "v") / (F.sqrt(_dot("q", "q")) * F.sqrt(_dot("v", "v")))).alias("score")
-    exact = some.join(given, ["h1", "h2"]).join(asking, ["q1", "q2"]).select("q1", "q2", score, F.explode("ids").alias("vec_id"))
+    # An id among a query's k + 1 best has no more than k directions before its own.
+    some = found.withColumn("n", F.row_number().over(order.orderBy(F.desc("score"), "least", "h1", "h2"))).where(f"n <= {k + 1}").drop("n")
+    exact = some.join(groups.select("h1", "h2", "ids"), ["h1", "h2"]).select("q1", "q2", "score", F.explode("ids").alias("vec_id"))
     exact = exact.withColumn("n", F.row_number().over(order.orderBy(F.desc("score"), "vec_id"))).where(f"n <= {k + 1}").drop("n")
     lists = scratch.store(exact.groupBy("q1", "q2").agg(F.collect_list(F.struct("vec_id", "score")).alias("near")), "nearest")
     answers = queries.join(lists, ["q1", "q2"]).select("query_id", F.filter("near", lambda x: x["vec_id"] != F.col("query_id")).alias("near"))
