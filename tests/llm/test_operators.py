@@ -291,6 +291,18 @@ def test_neighbours_in_a_group_of_multiples_and_near_copies(spark):
     assert [i for i, _ in found[200]][:2] == [289, 378]
 
 
+def test_windows_widen_with_the_table(spark):
+    x = np.random.default_rng(10).normal(size=(12_000, 64)).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit[::100] @ unit.T
+    near[np.arange(len(near)), np.arange(0, len(x), 100)] = -2
+    best = {(100 * q, int(i)) for q, row in enumerate(np.argpartition(-near, 5, axis=1)[:, :5]) for i in row}
+    # 32 curves and three blocks of 8 are 768 ranks of 12,000.
+    recall = {s: len(best & {(r.query_id, r.vec_id) for r in curves.nearest(df, every=100, window=8, share=s).collect()}) / len(best) for s in (0, curves.SHARE)}
+    assert recall[0] < 0.6 and recall[curves.SHARE] >= 0.9
+
+
 def test_hilbert_keys_are_a_walk():
     side = 8
     cells = np.stack(np.meshgrid(*[np.arange(side)] * 3, indexing="ij"), -1).reshape(-1, 3)

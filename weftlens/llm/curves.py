@@ -4,11 +4,13 @@ Vectors of one direction are collapsed first. Each distinct one is projected to
 a few dimensions in several ways, shifted, and put on a Hilbert curve; Spark
 range-partitions all curves' keys. A query is compared with the windows before
 and after it on every curve by the exact measure, so that the best of each
-window lose nothing and merge by it.
+window lose nothing and merge by it. Windows widen with the table.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from weftlens.llm import scratch
 
 CURVES, DIMS, BITS, WINDOW = 32, 6, 8, 1024
+#: The least number of ranks that a query looks at on all curves, as a share of the distinct vectors.
+SHARE = 1.0
 #: More than rounding changes a product of unit vectors in doubles; what is nearer than that is compared term by term.
 SLACK = 1e-12
 SAMPLE = 4096
@@ -188,11 +192,12 @@ def _windows(rows: DataFrame, window: int, k: int, kind: str) -> DataFrame:
     return found.groupBy("q1", "q2", "h1", "h2", "least").agg(F.max("score").alias("score"))
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = CURVES, window: int = WINDOW) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = CURVES, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest cosine found for each row whose vec_id ``every`` divides.
 
     Ties go to the smaller vec_id. A row is no neighbour of itself; repeated
-    rows count once; rows that usable() leaves out take no part.
+    rows count once; rows that usable() leaves out take no part. ``window`` is the
+    least width; from ``share`` of the table on it grows in proportion to the rows.
     """
     rows, kind = usable(vectors), "f4"
     if rows.schema["embedding"].dataType.elementType.typeName() != "float":
@@ -210,6 +215,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = CURVE
     groups = few.groupBy("h1", "h2").agg(F.collect_list("vec_id").alias("ids"), F.min("vec_id").alias("least"), F.min_by("embedding", "vec_id").alias("embedding"))
     asked = queries.select(F.col("q1").alias("h1"), F.col("q2").alias("h2"), F.lit(True).alias("asks")).distinct()
     groups = scratch.store(groups.join(asked, ["h1", "h2"], "left").withColumn("asks", F.coalesce("asks", F.lit(False))), "vectors")
+    window = max(window, math.ceil(share * groups.count() / (3 * curves)))
     found = _windows(_numbered(_keyed(groups, curves)), window, k + 1, kind)
     order = Window.partitionBy("q1", "q2")
     # An id among a query's k + 1 best has no more than k directions before its own.
