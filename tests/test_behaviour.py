@@ -78,6 +78,32 @@ def test_expansion_keeps_directions_apart(spark):
     assert {tuple(r) for r in found.collect()} == {("b", "d"), ("d", "a"), ("a", "b"), ("z", "a")}
 
 
+def test_cooccurrence_takes_every_line(spark, monkeypatch):
+    import random
+    from collections import Counter, defaultdict
+
+    from weftlens.plans import registry
+
+    queries = registry.queries()
+    assert "cooccurrence_all" in queries
+    draw = random.Random(3)
+    # Item 0 is in most docs, several times in some; HOT_DOCS is so low that it is dealt over shards.
+    lines = [(d, i, str(i)) for d in range(60) for i in [0] * draw.randint(0, 3) + [draw.randint(1, 9) for _ in range(4)]]
+    lines += [(None, 0, "0"), (61, None, None)]
+    monkeypatch.setattr(joins, "HOT_DOCS", 7)
+    found = defaultdict(list)
+    for r in sorted(joins.cooccurrence(spark.createDataFrame(lines, "d long, i long, l string"), "d", "i", 6, "l").collect(), key=lambda r: (r.d, -r.shared, r.other)):
+        found[r.d].append((r.other, r.shared, r.labels))
+    shared, labels = Counter(), defaultdict(set)
+    for d, i, l in lines:
+        for e, j, _ in lines:
+            if d is not None and e is not None and i is not None and i == j and d != e:
+                shared[d, e] += 1
+                labels[d, e].add(l)
+    expected = {d: [(e, n, ",".join(sorted(labels[d, e]))) for (_, e), n in sorted(((k, n) for k, n in shared.items() if k[0] == d), key=lambda x: (-x[1], x[0][1]))[:6]] for d in {k[0] for k in shared}}
+    assert dict(found) == expected
+
+
 def test_replies_are_parsed(spark):
     body = '{"list":{"dataIdx":"1","title":"제목","replyRegDate":""},"html":"<table><tr><th>담당부서</th><td>금융과</td></tr><tr><th>회답</th><td>된다</td></tr></table><a>240102_회신.hwp</a>"}'
     raw = spark.createDataFrame([("fsc.reply", "1", "h", None, 200, body, None)], landing.RAW)

@@ -17,14 +17,24 @@ def as_of_before(rows: DataFrame, key: str, at: str, tie: str, value: str, out:
     return rows.join(times, [key, at])
 
 
+#: An item of more docs than this is dealt over several tasks.
+HOT_DOCS = 2000
+
+
 def cooccurrence(rows: DataFrame, doc: str, item: str, n: int, label: str) -> DataFrame:
     """Pairs (doc, other) that share items: join pairs and distinct labels; for each doc the n with most pairs.
 
     rows is filtered to one doc's items on the left by the caller where only its neighbours are asked for.
+    Rows are counted by doc and item before the join; an item of many docs is joined in shards of the others.
     """
-    other = rows.select(F.col(doc).alias("other"), item)
-    pairs = rows.join(other, item).where(F.col(doc) != F.col("other"))
-    per = pairs.groupBy(doc, "other").agg(F.count("*").alias("shared"), F.array_join(F.array_sort(F.collect_set(label)), ",").alias("labels"))
+    once = rows.where(F.col(doc).isNotNull() & F.col(item).isNotNull()).groupBy(doc, item).agg(F.count("*").alias("_n"), F.collect_set(label).alias("_labels"))
+    shards = once.groupBy(item).agg(F.ceil(F.count("*") / HOT_DOCS).cast("int").alias("_shards"))
+    once = once.join(shards, item)
+    other = once.select(F.col(doc).alias("other"), item, F.col("_n").alias("_m"), F.pmod(F.xxhash64(doc), "_shards").cast("int").alias("_shard"))
+    mine = once.select(doc, item, "_n", "_labels", F.explode(F.sequence(F.lit(0), F.col("_shards") - 1)).alias("_shard"))
+    pairs = mine.join(other, [item, "_shard"]).where(F.col(doc) != F.col("other"))
+    labels = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_labels")))), ",")
+    per = pairs.groupBy(doc, "other").agg(F.sum(F.col("_n") * F.col("_m")).alias("shared"), labels.alias("labels"))
     place = F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("shared"), F.asc("other")))
     return per.withColumn("_k", place).where(F.col("_k") <= n).drop("_k")
 

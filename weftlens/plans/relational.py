@@ -109,6 +109,14 @@ def cooccurrence(t: Tables) -> DataFrame:
     return joins.cooccurrence(mine, "l_orderkey", "l_partkey", 6, "label")
 
 
+@query("""WITH p AS (SELECT a.l_orderkey, b.l_orderkey AS other, count(*)::BIGINT AS shared, string_agg(DISTINCT a.l_partkey::VARCHAR, ',' ORDER BY a.l_partkey::VARCHAR) AS labels
+ FROM lineitem a JOIN lineitem b ON a.l_partkey=b.l_partkey AND a.l_orderkey<>b.l_orderkey GROUP BY 1,2)
+ SELECT l_orderkey, other, shared, labels FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY shared DESC, other) k FROM p) WHERE k<=6""")
+def cooccurrence_all(t: Tables) -> DataFrame:
+    rows = t("lineitem").select("l_orderkey", "l_partkey", F.col("l_partkey").cast("string").alias("label"))
+    return joins.cooccurrence(rows, "l_orderkey", "l_partkey", 6, "label")
+
+
 @query("""SELECT l_orderkey, l_partkey, max(l_quantity) AS weight, min(l_returnflag) AS method FROM lineitem GROUP BY 1,2""")
 def edge_agg(t: Tables) -> DataFrame:
     return aggregates.edges(t("lineitem"), "l_orderkey", "l_partkey", "l_quantity", "l_returnflag")
