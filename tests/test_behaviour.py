@@ -104,6 +104,16 @@ def test_cooccurrence_takes_every_line(spark, monkeypatch):
     assert dict(found) == expected
 
 
+def test_enum_order_has_every_row_in_order(spark):
+    from weftlens.plans import registry
+
+    data = "/root/testdata/sf0.001"
+    found = [tuple(r) for r in registry.queries()["enum_order_all"](spark, data).collect()]
+    rows = [(r.o_orderkey, {"P": 1, "O": 2}.get(r.o_orderstatus), r.o_totalprice > 200000) for r in spark.read.parquet(f"{data}/orders.parquet").collect()]
+    assert found == sorted(rows, key=lambda r: (r[1] or 3, not r[2], r[0]))
+    assert {r[1] for r in found} == {1, 2, None}
+
+
 def test_replies_are_parsed(spark):
     body = '{"list":{"dataIdx":"1","title":"제목","replyRegDate":""},"html":"<table><tr><th>담당부서</th><td>금융과</td></tr><tr><th>회답</th><td>된다</td></tr></table><a>240102_회신.hwp</a>"}'
     raw = spark.createDataFrame([("fsc.reply", "1", "h", None, 200, body, None)], landing.RAW)

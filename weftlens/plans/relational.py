@@ -215,6 +215,13 @@ def enum_order(t: Tables) -> DataFrame:
     return rows.orderBy(F.col("place").asc_nulls_last(), (F.col("o_totalprice") > 200000).desc(), "o_orderkey").select("o_orderkey", "place").limit(100)
 
 
+@query("""SELECT o_orderkey, list_position(['P','O'], o_orderstatus)::BIGINT AS place, o_totalprice > 200000 AS large FROM orders ORDER BY place NULLS LAST, large DESC, o_orderkey""")
+def enum_order_all(t: Tables) -> DataFrame:
+    place = F.nullif(F.array_position(F.array(F.lit("P"), F.lit("O")), F.col("o_orderstatus")), F.lit(0).cast("long"))
+    rows = t("orders").select("o_orderkey", place.alias("place"), (F.col("o_totalprice") > 200000).alias("large"))
+    return rows.orderBy(F.col("place").asc_nulls_last(), F.col("large").desc_nulls_last(), "o_orderkey")
+
+
 @query("""SELECT o_custkey AS k FROM orders WHERE o_orderstatus='P' UNION SELECT c_custkey FROM customer WHERE c_acctbal<0""")
 def set_union(t: Tables) -> DataFrame:
     return t("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")).union(t("customer").where("c_acctbal < 0").select("c_custkey")).distinct()
