@@ -21,3 +21,28 @@ def test_stages(spark):
         ids = now
     labels = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     assert not [d for d in ids if d in labels and labels[d].quality == 0]
+
+
+def test_repeated_passages_of_over_50_words_go(spark):
+    import random
+
+    draw = random.Random(7)
+    # Five letters and a blank a word: 51 words are 305 bytes, less than 400.
+    prose = lambda n: " ".join("".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    passages = {n: prose(n) for n in (45, 51, 55, 60)}
+    rows, k = [], 0
+    for p in passages.values():
+        for _ in range(2):
+            rows.append((k, f"{prose(30)} {p} {prose(30)}"))
+            k += 1
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r.doc_id: r for r in corpus_pipeline.cut_repeats(spark, docs, DATA).collect()}
+    assert len(found) == len(rows)
+    for k, t in rows:
+        n = [45, 51, 55, 60][k // 2]
+        assert found[k].n_chars == len(found[k].text)
+        if n == 45:
+            assert found[k].text == t
+        else:
+            assert passages[n] not in found[k].text and len(found[k].text.split()) <= 62
+            assert found[k].text[:178] == t[:178] and found[k].text[-178:] == t[-178:]

@@ -332,10 +332,18 @@ def digests(docs: DataFrame, length: int = 400) -> DataFrame:
     return both.mapInArrow(work, StructType([docs.schema["doc_id"], *StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string")]))
 
 
-def without_repeats(docs: DataFrame, length: int = 400, text: str = "text") -> DataFrame:
+def _whole_words(data: bytes, s: int, e: int) -> int:
+    """The words of data[s:e], without those that its ends go through."""
+    inner = data[s:e]
+    cut = (s > 0 and not data[s - 1 : s].isspace() and not inner[:1].isspace()) + (e < len(data) and not data[e : e + 1].isspace() and not inner[-1:].isspace())
+    return len(inner.split()) - cut
+
+
+def without_repeats(docs: DataFrame, length: int = 400, text: str = "text", words: int | None = None, long: int = 400) -> DataFrame:
     """docs with repeated strings cut out of the text; a character cut into goes whole.
 
-    Null texts stay null; other columns stay as they are.
+    With ``words``, what repeated strings cover without a gap is cut only where it has that many
+    whole words, or ``long`` bytes. Null texts stay null; other columns stay as they are.
     """
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce(text, F.lit(""))))
     spans = repeated(keyed.select(F.col("_row").alias("row"), F.coalesce(text, F.lit("")).alias("text")), length).withColumnRenamed("row", "_row").withColumnRenamed("starts", "_starts")
@@ -347,7 +355,13 @@ def without_repeats(docs: DataFrame, length: int = 400, text: str = "text") -> D
             raw, offs = at.buffers(batch.column(k))
             kept = []
             for s, e, starts, there in zip(offs.tolist(), offs[1:].tolist(), batch.column(batch.num_columns - 1).to_pylist(), batch.column(k).is_valid().to_pylist(), strict=False):
-                kept.append(raw[s:e][~_covered(e - s, starts, length)].tobytes().decode(errors="ignore") if there else None)
+                gone = _covered(e - s, starts, length)
+                if words is not None and starts:
+                    data = raw[s:e].tobytes()
+                    for span in _spans(gone):
+                        lo, hi = span["s"], span["s"] + span["n"]
+                        gone[lo:hi] = hi - lo >= long or _whole_words(data, lo, hi) >= words
+                kept.append(raw[s:e][~gone].tobytes().decode(errors="ignore") if there else None)
             columns = [pa.array(kept, pa.string()) if c == k else batch.column(c) for c in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
