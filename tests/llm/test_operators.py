@@ -326,6 +326,19 @@ def test_language_model_base_is_exact(docs):
     assert all(r.score < 0 for r in found)
 
 
+def test_mixture_does_not_depend_on_the_words_that_tasks_hold(spark, monkeypatch):
+    # Each word is in every document; an untrained net spells badly, so that the share hangs on the counts.
+    rows = spark.createDataFrame([(k, passage(3, 60)) for k in range(40)], "doc_id long, text string")
+    counts = attention_lm.count_words(rows).cache()
+    monkeypatch.setattr(attention_lm.Attention, "train", lambda *_: None)
+    models = []
+    for most in (1 << 18, 20):
+        monkeypatch.setattr(attention_lm, "FREQUENT", most)
+        models.append(attention_lm.fit(rows, counts, BPE, RANKS))
+    assert len(models[1].hashes) < len(models[0].hashes)
+    assert abs(models[0].spelled - models[1].spelled) < 1e-9
+
+
 def test_attention_scores_are_probabilities():
     words = {w.encode(): 5 for w in ["the", "then", "there", "other", "a"]}
     spelling = attention_lm.choose_units(words, BPE, RANKS, most=5)
