@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from weftlens.llm import arrowtext, attention_lm, avi, best_fit, binary_rows, bpe, curves, near_dup, quality, suffix_dedup, tokens, toxicity
+from weftlens.llm import arrowtext, attention_lm, avi, best_fit, binary_rows, bpe, curves, near_dup, quality, queries, suffix_dedup, tokens, toxicity
 from weftlens.llm.queries import vocabulary
 
 RANKS, BPE = vocabulary("byte_bpe_50k.tiktoken"), vocabulary("byte_bpe_50k.json")
@@ -57,6 +57,64 @@ def test_matches_and_merges_equal_the_library():
             assert coder.decode(ids[offs[k] : offs[k + 1]]).tobytes() == (t or "").encode()
 
 
+def thue_morse(n=1024):
+    word = "".join("ab"[k.bit_count() % 2] for k in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_of_regular_texts_differ():
+    for pair in (thue_morse(), thue_morse(4096)):
+        values = np.frombuffer("".join(pair).encode(), np.uint8)
+        n = len(pair[0])
+        a, b = arrowtext.span_hashes(values, np.array([0, n]), np.array([n, 2 * n]))
+        assert a != b
+        assert arrowtext.span_hashes(values[n:], np.array([0]), np.array([n]))[0] == b
+
+
+def test_matches_of_equal_hash_are_told_apart(monkeypatch):
+    weak = lambda values, starts, ends: (ends - starts).astype(np.uint64) << np.uint64(44)
+    made = pa.array([*thue_morse(), "one two six", "ten", "", None, "é日 本a"])
+    plain = bpe.MatchTable(lambda words: [bpe.load(RANKS).encode(w.encode()) for w in words])
+    expected = [x.tolist() for x in plain.encode_array(made)]
+    monkeypatch.setattr(arrowtext, "span_hashes", weak)
+    other = bpe.MatchTable(lambda words: [bpe.load(RANKS).encode(w.encode()) for w in words])
+    for _ in range(2):
+        assert [x.tolist() for x in other.encode_array(made)] == expected
+
+
+def test_long_texts_are_encoded_in_blocks(monkeypatch):
+    made = pa.array(["", "it's 'll a  b " * 300, None, "x" * 500, "日本 the end", thue_morse()[0], "they're  in\n the're " * 90])
+    table = bpe.MatchTable(lambda words: [bpe.load(RANKS).encode(w.encode()) for w in words])
+    whole = [x.tolist() for x in table.encode_array(made)]
+    for block in (1, 7, 100, 3000):
+        monkeypatch.setattr(bpe, "BLOCK", block)
+        assert [x.tolist() for x in table.encode_array(made)] == whole
+
+
+def test_queries_encode_whole_tables(spark, tmp_path):
+    """The registered queries on a table of odd rows, against the libraries."""
+    import tiktoken
+    from public_tokenizers import PATTERN
+    from tokenizers import Tokenizer
+
+    made = [*thue_morse(), None, "", "a b" * 900, "\U0001f600 it's"]
+    table = spark.createDataFrame([(k, t) for k, t in enumerate(made)] + [(2, None), (None, "no id")], "doc_id long, text string")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.load(RANKS).ranks, special_tokens={})
+    digest = lambda ids: hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    expected = Counter()
+    for r in table.collect():
+        ids = library.encode_ordinary(r.text or "")
+        expected[r.doc_id, len(ids), digest(ids), hashlib.sha256((r.text or "").encode()).hexdigest()] += 1
+    found = queries.op1_byte_bpe(spark, str(tmp_path))
+    assert Counter(map(tuple, found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())) == expected
+    coder = Tokenizer.from_file(BPE)
+    for r in queries.op2_best_fit(spark, str(tmp_path)).collect():
+        if r.doc_id is not None:
+            ids = [*coder.encode(made[r.doc_id] or "", add_special_tokens=False).ids, 2]
+            assert zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
+
+
 def test_encode_keeps_columns_and_decodes(docs, texts):
     back = bpe.decode(bpe.encode(docs, RANKS), RANKS).collect()
     assert len(back) == len(texts) + 2

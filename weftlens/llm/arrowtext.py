@@ -11,18 +11,34 @@ import pyarrow.compute as pc
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = [np.ones(1, U64), np.ones(1, U64)]
+#: A prime modulus beside 2**64: what differs in one of the two hashes differs in the whole.
+_PRIME = U64((1 << 31) - 1)
+_GENERATOR = 16807
+_powers = [np.ones(1, U64) for _ in range(4)]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i modulo 2**64 for i < n."""
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for x below 2**62; the prime itself may stand for 0."""
+    x = (x & _PRIME) + (x >> U64(31))
+    return (x & _PRIME) + (x >> U64(31))
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """B**i and B**-i modulo 2**64, G**i and G**-i modulo the prime, for i < n."""
     if len(_powers[0]) < n:
         size = max(n, 1 << 16)
         for k, b in enumerate((_BASE, _INVERSE)):
             p = np.full(size, b, U64)
             p[0] = 1
             _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
+        for k, b in enumerate((_GENERATOR, pow(_GENERATOR, -1, int(_PRIME)))):
+            p, done = np.ones(size, U64), 1
+            while done < size:
+                by = U64(pow(b, done, int(_PRIME)))
+                p[done : 2 * done] = _reduced(p[:done][: size - done] * by)
+                done *= 2
+            _powers[2 + k] = p
+    return [p[:n] for p in _powers]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,12 +79,20 @@ def pieces(batches, limit: int = 2 << 20, column: str = "text") -> Iterator[pa.R
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[starts:ends], by prefix sums of a polynomial."""
-    up, down = powers(len(values) + 1)
+    """A 64-bit hash of values[starts:ends], by prefix sums of two polynomials.
+
+    A polynomial modulo 2**64 alone is the same for some regular texts (the
+    Thue-Morse word and its complement), so one modulo a prime is mixed in.
+    """
+    up, down, prime_up, prime_down = powers(len(values) + 1)
+    wide = values.astype(U64) + U64(0x51ED27)
     h = np.zeros(len(values) + 1, U64)
-    np.cumsum((values.astype(U64) + U64(0x51ED27)) * U64(0xD6E8FEB86659FD93) * up[: len(values)], out=h[1:])
-    out = (h[ends] - h[starts]) * down[starts]
-    return mix(out + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407))
+    np.cumsum(wide * U64(0xD6E8FEB86659FD93) * up[: len(values)], out=h[1:])
+    out = (h[ends] - h[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407)
+    np.cumsum(_reduced(wide * prime_up[: len(values)]), out=h[1:])
+    rest = _reduced(_reduced(h[ends] - h[starts]) * prime_down[starts])
+    rest[rest >= _PRIME] -= _PRIME
+    return mix(out + mix(rest))
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -71,6 +71,25 @@ def match_starts(cp: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
     return start
 
 
+#: Bytes of text that are cut into matches at once.
+BLOCK = 8 << 20
+
+
+def block_cuts(raw: np.ndarray, limit: int) -> list[int]:
+    """Places from 0 to len(raw), about ``limit`` apart, between an ASCII letter and a blank, where a match always ends."""
+    letter = (raw | 32) - 97 < 26
+    good = np.flatnonzero(letter[:-1] & (raw[1:] == 32)) + 1
+    cuts = [0]
+    while len(raw) - cuts[-1] > limit:
+        k = int(np.searchsorted(good, cuts[-1] + limit, "right")) - 1
+        if k < 0 or good[k] <= cuts[-1]:  # no such place within the limit: the next one after it
+            k += 1
+        if k >= len(good):
+            break
+        cuts.append(int(good[k]))
+    return [*cuts, len(raw)]
+
+
 class ByteBPE:
     """Encoder and decoder for one table of ranks."""
 
@@ -182,8 +201,9 @@ class MatchTable:
     """Encodes string columns match by match.
 
     Matches repeat a lot, so their ids are kept by hash in a direct-mapped
-    table; ``encode_many`` is asked for new ones only. The table is emptied
-    when it has grown to its bound.
+    table; ``encode_many`` is asked for new ones only. What stands behind an
+    entry is kept and compared on every hit, so a hash never decides alone. The
+    table is emptied when it has grown to its bound.
     """
 
     def __init__(self, encode_many: Callable[[list[str]], list[list[int]]]):
@@ -197,21 +217,39 @@ class MatchTable:
         self._ids = np.zeros(1 << 16, np.uint32)
         self._at, self._count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self._entries = self._used = 0
+        # The characters behind each entry, and matches whose hash another one has.
+        self._spans, self._held = np.zeros(1 << 18, np.uint32), 0
+        self._from, self._size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self._twins: dict[str | bytes, int] = {}
 
-    def _add(self, ids: list[int]) -> int:
-        k, to = self._entries, self._used + len(ids)
+    def _add(self, ids: list[int], span: np.ndarray) -> int:
+        k, to, held = self._entries, self._used + len(ids), self._held + len(span)
         if k == len(self._at):
-            self._at, self._count = np.resize(self._at, 2 * k), np.resize(self._count, 2 * k)
+            for name in ("_at", "_count", "_from", "_size"):
+                setattr(self, name, np.resize(getattr(self, name), 2 * k))
         while to > len(self._ids):
             self._ids = np.resize(self._ids, 2 * len(self._ids))
+        while held > len(self._spans):
+            self._spans = np.resize(self._spans, 2 * len(self._spans))
         self._ids[self._used : to] = ids
-        self._at[k], self._count[k] = self._used, len(ids)
-        self._entries, self._used = k + 1, to
+        self._spans[self._held : held] = span
+        self._at[k], self._count[k], self._from[k], self._size[k] = self._used, len(ids), self._held, len(span)
+        self._entries, self._used, self._held = k + 1, to, held
         return k
 
-    def entries(self, text: str, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """The table's entry for each match text[start:end]."""
-        if self._entries > 1_500_000 or self._used > 12_000_000:
+    def _others(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Which matches are not what stands behind their entry."""
+        size = ends - starts
+        wrong = self._size[entry] != size
+        size = np.where(wrong, 0, size)
+        same = values[at.ranges(starts, size)] == self._spans[at.ranges(self._from[entry], size)]
+        if not same.all():
+            wrong[np.repeat(np.arange(len(size)), size)[~same]] = True
+        return np.flatnonzero(wrong)
+
+    def entries(self, text: str | bytes, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The table's entry for each match text[start:end]; values: the code points or bytes of text."""
+        if self._entries > 1_500_000 or self._used > 12_000_000 or self._held > 24_000_000:
             self._empty()
         slots = (hashes >> at.U64(44)).astype(np.int64)
         out = self._slot[slots].astype(np.int64)
@@ -221,22 +259,41 @@ class MatchTable:
             where = miss[where]
             got = np.fromiter((self._rest.get(h, -1) for h in found.tolist()), np.int64, len(found))
             new = np.flatnonzero(got < 0)
-            spans = zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)
+            spans = list(zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True))
             ids = self.encode_many([text[s:e] for s, e in spans])
-            for k, h, slot, x in zip(new.tolist(), found[new].tolist(), slots[where[new]].tolist(), ids, strict=True):
-                got[k] = entry = self._add(x)
+            for k, h, slot, x, (s, e) in zip(new.tolist(), found[new].tolist(), slots[where[new]].tolist(), ids, spans, strict=True):
+                got[k] = entry = self._add(x, values[s:e])
                 if self._keys[slot]:
                     self._rest[h] = entry
                 else:
                     self._keys[slot], self._slot[slot] = h, entry
             out[miss] = got[back]
+        for k in self._others(values, starts, ends, out).tolist():
+            match = text[starts[k] : ends[k]]
+            if match not in self._twins:
+                self._twins[match] = self._add(self.encode_many([match])[0], values[starts[k] : ends[k]])
+            out[k] = self._twins[match]
         return out
 
     def encode_array(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of a string column; null counts as empty."""
+        """(ids, offsets) of a string column; null counts as empty. Long texts are taken in blocks."""
         raw, offs = at.buffers(arr)
+        if len(raw) <= BLOCK:
+            return self._encode(raw, offs)
+        cuts = block_cuts(raw, BLOCK)
+        places, counts, ids = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            inner = np.unique(np.concatenate([[a], offs[(offs > a) & (offs < b)], [b]]))
+            got, upto = self._encode(raw[a:b], inner - a)
+            ids.append(got)
+            places.append(inner[1:])
+            counts.append(upto[1:] + counts[-1][-1])
+        place, count = np.concatenate(places), np.concatenate(counts)
+        return np.concatenate(ids), count[np.searchsorted(place, offs)]
+
+    def _encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(raw):
-            return np.zeros(0, np.uint32), np.zeros(len(arr) + 1, np.int64)
+            return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
         text = raw.tobytes().decode()
         cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         if len(cp) != len(raw):
@@ -244,7 +301,7 @@ class MatchTable:
         filled = offs[:-1][offs[1:] > offs[:-1]]
         starts = np.flatnonzero(match_starts(cp, filled))
         ends = np.append(starts[1:], len(cp))
-        entry = self.entries(text, starts, ends, at.span_hashes(cp, starts, ends))
+        entry = self.entries(text, cp, starts, ends, at.span_hashes(cp, starts, ends))
         counts = self._count[entry]
         ids = self._ids[at.ranges(self._at[entry], counts)]
         upto = np.concatenate([[0], np.cumsum(counts)])
