@@ -143,6 +143,8 @@ def test_best_fit_respects_every_capacity(docs, texts):
         bins, offset = best_fit.place(lengths, limits)
         assert np.bincount(bins, lengths).max() <= 512 and np.bincount(bins).max() <= 6 and np.bincount(bins, lengths**2).max() <= 60_000
         assert len(offset) == 3000
+    bins, _ = best_fit.place(lengths, best_fit.Capacity())
+    assert min(best_fit.Capacity().weights) > 0 and len(set(bins.tolist())) <= -(-lengths.sum() // 1024) + 1
     with pytest.raises(ValueError):
         best_fit.place(np.array([600]), best_fit.Capacity(tokens=512))
 
@@ -429,8 +431,14 @@ def test_film_rows(docs, texts):
     for r in rows:
         if r.doc_id is not None:
             assert r.payload_sha256 == hashlib.sha256(avi.payload((texts[r.doc_id] or "").encode())).hexdigest()
+            media = avi.store(avi.payload((texts[r.doc_id] or "").encode()))
+            assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(avi.payload((texts[r.doc_id] or "").encode())[-16:]), len(media), hashlib.sha256(media).hexdigest())
+            assert r.feature.split("cuts=")[1] == ",".join(str(c.first_frame) for c in r.clips[1:])
+            assert r.clips[0].first_frame == 0 and sum(c.n_frames for c in r.clips) == -(-r.payload_bytes // 768)
     clips = avi.clips(docs).collect()
+    assert Counter((r.doc_id, c.first_frame, c.end_s) for r in rows for c in r.clips) == Counter((r.doc_id, r.first_frame, r.end_s) for r in clips)
+    assert avi.digests(docs.limit(0)).count() == avi.clips(docs.limit(0)).count() == 0
     assert {r.doc_id for r in clips} == {r.doc_id for r in rows} and all(r.end_s > r.start_s for r in clips)
     steps = np.zeros((20, 16))
     steps[:10, 0] = steps[10:, 9] = 5
-    assert avi.shots(steps).tolist() == [0, 10]
+    assert avi.shots(steps).tolist() == [0, 10] and avi.shots(steps[9:]).tolist() == [0, 1]

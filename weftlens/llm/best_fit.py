@@ -25,13 +25,18 @@ from weftlens.llm import tokens
 class Capacity:
     """What a sequence can hold. rule: 'norm' takes the sequence whose residual
     vector, after placing, has the least weighted norm; 'dot' the one whose
-    residual vector has the greatest weighted dot-product with the piece."""
+    residual vector has the greatest weighted dot-product with the piece.
+
+    Residuals are shares of their capacity. Without a limit of its own the
+    number of documents may reach ``tokens`` and the cost its square, the most
+    that so many tokens can make; both still weigh in the choice.
+    """
 
     tokens: int = 1024
     documents: int | None = None
     cost: int | None = None
     rule: str = "norm"
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
 
     def limits(self) -> np.ndarray:
         return np.array([self.tokens, self.documents or self.tokens, self.cost or self.tokens**2], np.float64)
