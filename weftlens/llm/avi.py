@@ -205,7 +205,8 @@ def parse(media: bytes) -> tuple[list[bytes], int, float]:
 def shots(histograms: np.ndarray, window: int = 8, factor: float = 2.0, floor: float = 0.08) -> np.ndarray:
     """First frames of shots. A cut lies where the difference of neighbouring
     histograms is above ``floor`` and above ``factor`` times the mean
-    difference of the ``window`` frames before it."""
+    difference of the ``window`` frames before it; the first difference has
+    none before it and is judged by the floor alone."""
     n = len(histograms)
     if n < 2:
         return np.zeros(min(n, 1), np.int64)
@@ -214,7 +215,7 @@ def shots(histograms: np.ndarray, window: int = 8, factor: float = 2.0, floor: f
     k = np.arange(n - 1)
     low = np.maximum(0, k - window)
     mean = np.where(k > low, (upto[k] - upto[low]) / np.maximum(k - low, 1), 0)
-    return np.concatenate([[0], np.flatnonzero((diff > floor) & (diff > factor * mean) & (k > 0)) + 1])
+    return np.concatenate([[0], np.flatnonzero((diff > floor) & (diff > factor * mean)) + 1])
 
 
 def payload(text: bytes) -> bytes:
@@ -267,10 +268,10 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Each text stored as a film and read back: lengths, digests and a feature string.
+    """Each text stored as a film and read back: lengths, digests, a feature string and the film's timed clips.
 
-    Reads ``doc_id`` and ``text``; null text is empty; equal texts give equal
-    values; repeated rows give repeated rows.
+    The feature names every cut. Reads ``doc_id`` and ``text``; null text is
+    empty; equal texts give equal values; repeated rows give repeated rows.
     """
 
     def row(body: bytes) -> tuple:
@@ -279,16 +280,18 @@ def digests(docs: DataFrame) -> DataFrame:
         first = shots(histograms)
         mean = histograms.sum(0) @ (16 * np.arange(16) + 8) / histograms.sum()
         lengths = np.diff(np.append(first, len(histograms)))
-        feature = f"frames={len(histograms)};shots={len(first)};longest_s={lengths.max() * pace:.2f};luma={mean:.2f};cuts=" + ",".join(map(str, first[1:9].tolist()))
-        return len(body), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature
+        feature = f"frames={len(histograms)};shots={len(first)};longest_s={lengths.max() * pace:.2f};luma={mean:.2f};cuts=" + ",".join(map(str, first[1:].tolist()))
+        clips = [{"first_frame": f, "n_frames": n, "start_s": f * pace, "end_s": (f + n) * pace} for f, n in zip(first.tolist(), lengths.tolist(), strict=True)]
+        return len(body), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, clips
 
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"]
+    clip = pa.struct([("first_frame", pa.int64()), ("n_frames", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64())])
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(clip)]
 
     def work(batches):
         for batch in at.pieces(batches):
             columns = zip(*map(row, _texts(batch.column(1))), strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], names=["doc_id", *names])
 
-    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")])
+    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips array<struct<first_frame: long, n_frames: long, start_s: double, end_s: double>>")])
     return docs.select("doc_id", "text").mapInArrow(work, schema)
