@@ -268,7 +268,7 @@ def test_sorted_suffixes_and_prefixes():
                 assert prefix[k] == len(heads[k])
 
 
-def test_toxic_words_are_learned_and_misspelled_ones_found():
+def test_toxic_words_are_learned_and_misspelled_ones_found(spark):
     rng = np.random.default_rng(4)
     bad = ["wretched", "horrid", "vile"]
     made, y = [], []
@@ -279,10 +279,14 @@ def test_toxic_words_are_learned_and_misspelled_ones_found():
                 words[place] = bad[rng.integers(3)]
         made.append(" ".join(words))
         y.append(int(k % 3 == 0))
-    model = toxicity.train(made[:450], np.array(y[:450]), 0.33)
+    table = spark.createDataFrame(list(enumerate(made[:450])), "doc_id long, text string")
+    known = spark.createDataFrame([(k, None, y[k]) for k in range(450)], LABELS)
+    model = toxicity.fit(table, known)
+    assert toxicity.fit(table, known).logits.tolist() == model.logits.tolist()
     scores = toxicity.Scorer(model)(pa.array([*made[450:], "you wretchedd horrrid wretchd thing", "", None]))
     assert (((scores[:150] >= 0.5) == np.array(y[450:])).mean()) > 0.95
-    assert scores[150] > 0.5 and scores[151] == scores[152] == 0.33
+    assert scores[150] > 0.5 and scores[151] == scores[152] == model.prior and 0.2 < model.prior < 0.5
+    assert len(toxicity.fit(table, known, most_bytes=5).grams) == 0 and len(toxicity.fit(table.limit(0), known).grams) == 0
 
 
 def test_scores_have_a_row_for_each_document(docs, labels, texts):

@@ -188,10 +188,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, pool: int = 4
     chosen = few.distinct().join(ids, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id", F.lit(9))).limit(pool)
     # At most ``pool`` ids, whatever the tables' sizes.
     unlabelled = docs.select("doc_id", *COLUMNS).join(F.broadcast(chosen), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
-    rows = _vectors(known).unionByName(_vectors(unlabelled.dropDuplicates(["doc_id"]).withColumn("_label", F.lit(None).cast("int")))).collect()
-    y = np.array([-1 if r.label is None else r.label for r in rows], np.int64)
-    views = [np.array([r[k] for r in rows], np.float64).reshape(len(rows), -1) for k in (0, 1)]
-    order = np.lexsort((views[0][:, 0] if len(rows) else y, y))  # the same order on any cluster
+    rows = _vectors(known).unionByName(_vectors(unlabelled.dropDuplicates(["doc_id"]).withColumn("_label", F.lit(None).cast("int")))).toArrow()
+    y = rows["label"].fill_null(-1).to_numpy().astype(np.int64)
+    views = [rows[name].combine_chunks().flatten().to_numpy().reshape(len(y), -1) for name in ("text_view", "page_view")]
+    order = np.lexsort((views[0][:, 0] if len(y) else y, y))  # the same order on any cluster
     y, views = y[order], [v[order] for v in views]
     has = y >= 0
     if len(set(y[has].tolist())) < 2:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from weftlens.llm import arrowtext as at
-from weftlens.llm import labelled
+from weftlens.llm import labelled, scratch
 from weftlens.llm.words import split
 
 DIM = 8
@@ -61,12 +61,12 @@ def subwords(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return out, total
 
 
-def _means(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Mean of consecutive rows, so many for each group; 0 for an empty group."""
+def _means(values: np.ndarray, kept: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each group the sum of its next ``kept`` rows, divided by ``counts``; 0 for an empty group."""
     out = np.zeros((len(counts), *values.shape[1:]))
-    some = counts > 0
+    some = kept > 0
     if some.any():
-        out[some] = np.add.reduceat(values, (np.cumsum(counts) - counts)[some], axis=0) / counts[some][:, None]
+        out[some] = np.add.reduceat(values, (np.cumsum(kept) - kept)[some], axis=0) / counts[some][:, None]
     return out
 
 
@@ -88,7 +88,7 @@ class Model:
 
     def word_logits(self, cp, starts, ends) -> np.ndarray:
         hashes, counts = subwords(cp, starts, ends)
-        return _means(np.append(self.logits, 0)[find(self.grams, hashes)][:, None], counts)[:, 0]
+        return _means(np.append(self.logits, 0)[find(self.grams, hashes)][:, None], counts, counts)[:, 0]
 
 
 def find(grams: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -99,54 +99,56 @@ def find(grams: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.where(grams[k] == hashes, k, len(grams))
 
 
-def _count(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct hashes, number of owners of each)."""
-    _, one = np.unique(at.mix(hashes.astype(at.U64) + (owner.astype(at.U64) << at.U64(32))), return_index=True)
-    return np.unique(hashes[one], return_counts=True)
-
-
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    every, back = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
-    return [(every, np.bincount(back, np.concatenate([n for _, n in parts])).astype(np.int32))]
-
-
-def train(texts: list[str], toxic: np.ndarray, prior: float, steps: int = 190, batch: int = 128, rate: float = 0.1, floor: float = 0.01, decay: float = 0.2, seed: int = 7) -> Model:
+def _count(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct n-grams of texts, number of texts that have each)."""
+    cp, starts, ends, hashes, per_doc = split(texts)
+    place, doc, _ = bags(hashes, per_doc)
+    _, where, word = np.unique(hashes[place], return_index=True, return_inverse=True)
+    where = place[where]
+    found, counts = subwords(cp, starts[where], ends[where])
+    owner = np.repeat(doc, counts[word])
+    found = found[at.ranges((np.cumsum(counts) - counts)[word], counts[word])]
+    _, one = np.unique(at.mix(found.astype(at.U64) + (owner.astype(at.U64) << at.U64(32))), return_index=True)
+    return np.unique(found[one], return_counts=True)
+
+
+#: What a step of training needs of its documents: the places of its words' known n-grams, how many each word has
+#: of these and of all, and for each word of each document the word, the document, its weight; the labels.
+FIELDS = {"found": np.int32, "kept": np.int32, "counts": np.int32, "word": np.int32, "doc": np.int32, "weight": np.float32, "y": np.int64}
+
+
+def prepared(texts: pa.Array, y: np.ndarray, grams: np.ndarray) -> dict[str, np.ndarray]:
+    """FIELDS of some documents. Words without a known n-gram add nothing and are left out."""
+    cp, starts, ends, hashes, per_doc = split(texts)
+    place, doc, weight = bags(hashes, per_doc)
+    _, where, word = np.unique(hashes[place], return_index=True, return_inverse=True)
+    where = place[where]
+    found, counts = subwords(cp, starts[where], ends[where])
+    found = find(grams, found)
+    known = found < len(grams)
+    kept = np.bincount(np.repeat(np.arange(len(counts)), counts)[known], minlength=len(counts))
+    some = kept > 0
+    new, mine = np.cumsum(some) - 1, some[word]
+    got = {"found": found[known], "kept": kept[some], "counts": counts[some], "word": new[word[mine]], "doc": doc[mine], "weight": weight[mine], "y": y}
+    return {name: got[name].astype(kind) for name, kind in FIELDS.items()}
+
+
+def learn(batches: list[dict[str, np.ndarray]], grams: np.ndarray, prior: float, steps: int = 190, rate: float = 0.1, floor: float = 0.01, decay: float = 0.2, seed: int = 7) -> Model:
     """Joint training of embeddings and softmax by Adam. Without both classes the model is the prior."""
+    toxic = np.concatenate([b["y"] for b in batches]) if batches else np.zeros(0, np.int64)
     if len(set(toxic.tolist())) < 2:
         return Model(np.zeros(0, np.uint32), np.zeros(0), 0.0, prior)
     rng = np.random.default_rng(seed)
-    batch = min(batch, max(16, len(texts) // 12))
-    least_docs = max(3, len(texts) // 200)
-    epochs = -(-steps // -(-len(texts) // batch))
+    epochs = -(-steps // len(batches))
     class_weight = np.minimum(4, len(toxic) / (2 * np.bincount(toxic, minlength=2)))
-    prepared, seen = [], []
-    order = rng.permutation(len(texts))
-    for k in range(0, len(order), batch):
-        chosen = order[k : k + batch]
-        cp, starts, ends, hashes, per_doc = split(pa.array([texts[i] for i in chosen], pa.large_string()))
-        place, doc, weight = bags(hashes, per_doc)
-        _, where, word = np.unique(hashes[place], return_index=True, return_inverse=True)
-        where = place[where]
-        found, counts = subwords(cp, starts[where], ends[where])
-        owner = np.repeat(doc, counts[word])
-        seen.append(_count(found[at.ranges((np.cumsum(counts) - counts)[word], counts[word])], owner))
-        prepared.append([found, counts.astype(np.int32), word.astype(np.int32), doc.astype(np.int32), weight.astype(np.float32), toxic[chosen]])
-        if len(seen) == 4:
-            seen = _merged(seen)
-    grams, documents = _merged(seen)[0]
-    grams = grams[documents >= least_docs]
-    del seen
-    for one in prepared:
-        one[0] = find(grams, one[0]).astype(np.int32)
     size = len(grams)
-    params = [rng.normal(0, 0.1, (size + 1, DIM)), rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)]
-    params[0][size] = 0
+    params = [rng.normal(0, 0.1, (size, DIM)), rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)]
     slow, fast, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(epochs):
-        for b in rng.permutation(len(prepared)):
-            buckets, counts, word, doc, weight, y = prepared[b]
+        for k in rng.permutation(len(batches)):
+            found, kept, counts, word, doc, weight, y = (batches[k][name] for name in FIELDS)
             e, w, bias = params
-            words = _means(e[buckets], counts)
+            words = _means(e[found], kept, counts)
             docs = SCALE * _sums(words[word] * weight[:, None], doc, len(y))
             logits = docs @ w + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
@@ -154,21 +156,20 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, steps: int = 190, b
             p[np.arange(len(y)), y] -= 1
             p *= class_weight[y][:, None] / len(y)
             back = SCALE * (p @ w.T)[doc] * weight[:, None]
-            per_gram = np.repeat(_sums(back, word, len(counts)) / counts[:, None], counts, axis=0)
-            grads = [_sums(per_gram, buckets, size + 1), docs.T @ p, p.sum(0)]
-            grads[0][size] = 0
+            per_gram = np.repeat(_sums(back, word, len(counts)) / counts[:, None], kept, axis=0)
+            grads = [_sums(per_gram, found, size), docs.T @ p, p.sum(0)]
             step += 1
-            pace = rate * (1 - (step - 1) / (epochs * len(prepared)))
-            for x, g, m, v in zip(params, grads, slow, fast, strict=True):
+            pace = rate * (1 - (step - 1) / (epochs * len(batches)))
+            for j, (x, g, m, v) in enumerate(zip(params, grads, slow, fast, strict=True)):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 root = np.sqrt(v / (1 - 0.99**step))
                 # N-grams met once or twice must not move as far as telling ones, so the floor is a share of the largest.
-                if len(x) == size + 1:
+                if j == 0:
                     x *= 1 - decay * pace
-                x -= pace * (m / (1 - 0.9**step)) / (root + floor * root.max())
+                x -= pace * (m / (1 - 0.9**step)) / (root + floor * root.max(initial=1e-12))
     e, w, bias = params
-    return Model(grams, SCALE * (e[:size] @ (w[:, 1] - w[:, 0])), float(bias[1] - bias[0]), prior)
+    return Model(grams, SCALE * (e @ (w[:, 1] - w[:, 0])), float(bias[1] - bias[0]), prior)
 
 
 class Scorer:
@@ -199,11 +200,52 @@ class Scorer:
         return np.where(per_doc > 0, score, self.model.prior)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_bytes: int = 200_000) -> Model:
-    """A model from at most ``per_class`` documents of each class outside the held-out fold."""
-    rows = labelled.sample(docs, labels, "toxic", per_class, [], most_bytes).select("text", "_label").collect()
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_bytes: int = 200_000, batch: int = 128) -> Model:
+    """A model from at most ``per_class`` documents of each class outside the held-out fold, of at most ``most_bytes`` bytes.
+
+    Tasks count the sample's n-grams and turn its texts into FIELDS with the
+    n-grams that enough documents have; the driver sees these arrays, one for
+    each step's batch, and never a text. An empty table, or labels of one class
+    only, give the prior.
+    """
     share = labels.where((labelled.fold() != 0) & F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]
-    return train([r[0] or "" for r in rows], np.array([r[1] for r in rows], np.int64), float(share or 0.0))
+    few = scratch.store(labelled.sample(docs, labels, "toxic", per_class, [], most_bytes), "toxic-sample")
+    n = few.count()
+    batch = min(batch, max(16, n // 12))
+
+    def count(batches):
+        for piece in at.pieces(batches, limit=1 << 20):
+            grams, number = _count(piece.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(number.astype(np.int64))], names=["gram", "n"])
+
+    # A kept n-gram is in that many of the sample's documents, so their number is bounded as the sample is.
+    known = few.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, n // 200)).select("gram")
+    grams = np.sort(known.toArrow()["gram"].to_numpy()).astype(np.uint32)
+    shared = docs.sparkSession.sparkContext.broadcast(grams)
+
+    def prepare(batches):
+        def emit(table: pa.Table):
+            got = prepared(table["text"].combine_chunks(), table["_label"].to_numpy().astype(np.int64), shared.value)
+            return pa.RecordBatch.from_arrays([pa.array([table["b"][0].as_py()], pa.int64()), *(pa.array([got[name].tobytes()], pa.binary()) for name in FIELDS)], names=["b", *FIELDS])
+
+        held: list[pa.RecordBatch] = []
+        for piece in batches:
+            b = piece.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(b)) + 1).tolist(), len(b)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if held and held[0].column(0)[0].as_py() != b[s]:
+                    yield emit(pa.Table.from_batches(held))
+                    held = []
+                held.append(piece.slice(s, e - s))
+        if held:
+            yield emit(pa.Table.from_batches(held))
+
+    dealt = few.select(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(max(1, n // batch))).alias("b"), "doc_id", "text", "_label")
+    dealt = dealt.repartition("b").sortWithinPartitions("b", F.xxhash64("doc_id")).select("b", "text", "_label")
+    rows = sorted(dealt.mapInArrow(prepare, "b long, " + ", ".join(f"{name} binary" for name in FIELDS)).collect(), key=lambda r: r.b)
+    steps = [{name: np.frombuffer(r[name], kind) for name, kind in FIELDS.items()} for r in rows]
+    scratch.drop(few)
+    return learn(steps, grams, float(share or 0.0))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
