@@ -222,23 +222,48 @@ def test_signatures_estimate_weighted_similarity():
     assert abs(np.mean(agree) - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.03
 
 
-def test_suffix_arrays_equal_brute_force(docs, texts):
-    length = 400
-    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+def repeats_by_force(rows, length):
+    """(covered flags) of each text."""
     count = Counter(b[i : i + length] for _, t in rows for b in [t.encode()] for i in range(len(b) - length + 1))
-    expected = Counter()
-    for d, t in rows:
+    for _, t in rows:
         b = t.encode()
         gone = np.zeros(len(b), bool)
         for i in range(len(b) - length + 1):
             if count[b[i : i + length]] > 1:
                 gone[i : i + length] = True
+        yield gone
+
+
+def test_suffix_arrays_equal_brute_force(docs, texts, monkeypatch):
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    expected = Counter()
+    for (d, t), gone in zip(rows, repeats_by_force(rows, 400), strict=True):
+        b = t.encode()
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
         expected[d, len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()] += 1
-    assert Counter(map(tuple, suffix_dedup.digests(docs).collect())) == expected
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    found = suffix_dedup.digests(docs)
+    assert Counter(map(tuple, found.select(*columns).collect())) == expected
     cut = {r.doc_id: r.text for r in suffix_dedup.without_repeats(docs).collect()}
     assert cut[1] is None and cut[4] == "" and cut[3] == "a"
-    assert suffix_dedup.digests(docs.limit(0)).count() == 0
+    assert suffix_dedup.digests(docs.limit(0)).count() == suffix_dedup.without_repeats(docs.limit(0)).count() == 0
+    # Blocks of a long text, and keys that do not fit one number with their places.
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
+    a = suffix_dedup.runs(*arrowtext.buffers(pa.array(texts)), 400)
+    starts = Counter((d, i) for d, first, n in zip(*(x.tolist() for x in a[:3]), strict=True) for i in range(first, first + n))
+    assert set(starts.values()) == {1} and set(starts) == {(d, i) for d, t in enumerate(texts) for i in range(len((t or "").encode()) - 399)}
+
+
+def test_passages_are_told_apart_from_the_contracts_strings(spark):
+    shared = [passage(70 + k, 53) for k in range(3)]
+    made = [passage(500 + k, 40) + " " + shared[k % 3] + " " + passage(600 + k, 40) for k in range(6)] + [passage(700, 150)]
+    rows = list(enumerate(made))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {len(s.encode()) < 400 for s in shared} == {True}
+    cut = {r.doc_id: r.text for r in suffix_dedup.without_repeats(table, 220, words=51).collect()}
+    for r in suffix_dedup.digests(table).collect():
+        assert r.n_removed == 0 and r.n_passages == (r.doc_id < 6) and (r.n_passage_bytes >= len(shared[r.doc_id % 3])) == (r.doc_id < 6)
+        assert r.n_bytes - r.n_passage_bytes == len(cut[r.doc_id].encode()) and (r.doc_id > 5 or shared[r.doc_id % 3][5:-5] not in cut[r.doc_id])
 
 
 def test_shards_of_a_hot_gram_merge(spark, monkeypatch):
@@ -256,8 +281,8 @@ def test_shards_of_a_hot_gram_merge(spark, monkeypatch):
 
 def test_sorted_suffixes_and_prefixes():
     rng = np.random.default_rng(3)
-    for depth in (3, 8, 13, 40):
-        text = rng.integers(97, 99, 300).astype(np.uint8)
+    for depth, n in ((3, 300), (8, 300), (13, 300), (40, 300), (40, 9)):
+        text = rng.integers(97, 99, n).astype(np.uint8)
         order, rank = suffix_dedup.suffix_order(text, depth)
         raw = text.tobytes()
         heads = [raw[k : k + depth] for k in order]

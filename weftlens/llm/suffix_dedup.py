@@ -21,7 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -32,7 +32,9 @@ GRAM = 64
 #: Regions of one gram in a shard.
 SHARD_REGIONS = 1000
 #: Bytes sorted at once; a single gram's shard may be larger where its regions are long.
-SORT_BYTES = 2 << 20
+SORT_BYTES = 1 << 20
+#: Starts of one text that are looked at at once.
+BLOCK = 8 << 20
 
 
 def least_in_windows(values: np.ndarray, size: int) -> np.ndarray:
@@ -45,11 +47,22 @@ def least_in_windows(values: np.ndarray, size: int) -> np.ndarray:
 
 
 def runs(raw: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(document, first start in the document, number of starts, gram, its number of places, region's hash) of each run."""
+    """(document, first start in the document, number of starts, gram, its number of places) of each run.
+
+    A long text is taken in blocks of BLOCK starts, at whose borders a run ends.
+    """
+    if len(raw) > BLOCK + length:
+        parts = []
+        for d, (s, e) in enumerate(zip(offs.tolist(), offs[1:].tolist(), strict=False)):
+            for k in range(s, max(e - length + 1, s), BLOCK):
+                block = raw[k : min(k + BLOCK + length - 1, e)]
+                doc, begin, *rest = runs(block, np.array([0, len(block)]), length)
+                parts.append((doc + d, begin + (k - s), *rest))
+        return tuple(map(np.concatenate, zip(*parts, strict=True))) if parts else runs(raw[:0], offs[:1], length)
     gram = min(GRAM, length)
     n = len(raw)
     if n < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, at.U64, np.int64, at.U64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, at.U64, np.int64))
     grams = np.arange(n - gram + 1)
     hashes = at.span_hashes(raw, grams, grams + gram)
     # The low bits hold the place, so the least one is also found by place, the first of equal ones.
@@ -69,7 +82,7 @@ def runs(raw: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ..
     moved[1:] = places[1:] != places[:-1]
     moved[first] = 1
     times = np.add.reduceat(moved, first) if len(first) else moved
-    return doc[first], begin - offs[doc[first]], count, value[first], times, at.span_hashes(raw, begin, begin + count + length - 1)
+    return doc[first], begin - offs[doc[first]], count, value[first], times
 
 
 def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,12 +91,20 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     only groups that are not yet single are sorted again. The text's end sorts first."""
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(at.U64)
-    h = min(8, depth)
+    # Keys and places that fit one number are sorted as such, which is far quicker than sorting places by keys.
+    bits = max(1, (n + 1).bit_length())
+    packs = 3 * bits <= 64
+    h = min(5 if packs else 8, depth)
     key = np.zeros(n, at.U64)
     for k in range(h):
         key = (key << at.U64(8)) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
-    ordered = key[order]
+    low = at.U64((1 << bits) - 1)
+    if packs:
+        key = np.sort((key << at.U64(bits)) | np.arange(n, dtype=at.U64))
+        order, ordered = (key & low).astype(np.int64), key >> at.U64(bits)
+    else:
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
     new = np.ones(n, bool)
     new[1:] = ordered[1:] != ordered[:-1]
     rank = np.empty(n + depth, np.int64)
@@ -98,9 +119,14 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         if not len(slots):
             break
         place = order[slots]
-        key = rank[place] * (n + 2) + rank[place + step] + 1
-        by = np.argsort(key, kind="stable")
-        place, key = place[by], key[by]
+        after = rank[place + step] + 1
+        if packs:
+            key = np.sort((rank[place].astype(at.U64) << at.U64(2 * bits)) | (after.astype(at.U64) << at.U64(bits)) | place.astype(at.U64))
+            place, key = (key & low).astype(np.int64), key >> at.U64(bits)
+        else:
+            key = rank[place] * (n + 2) + after
+            by = np.argsort(key, kind="stable")
+            place, key = place[by], key[by]
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         order[slots] = place
@@ -180,13 +206,22 @@ def _spans(flags: np.ndarray) -> list[dict]:
     return [{"s": int(s), "n": int(e - s)} for s, e in zip(edge[::2], edge[1::2], strict=True)]
 
 
+def _digest(data) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
 def _run_rows(docs: DataFrame, length: int) -> DataFrame:
+    """The runs of each text; a region is known by a 128-bit digest of its bytes."""
+
     def work(batches):
         for batch in at.pieces(batches):
-            doc, a, n, gram, places, region = runs(*at.buffers(batch.column(1)), length)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(a), pa.array(n), pa.array(gram.view(np.int64)), pa.array(places), pa.array(region.view(np.int64))], names=["row", "a", "n", "gram", "places", "region"])
+            raw, offs = at.buffers(batch.column(1))
+            doc, a, n, gram, places = runs(raw, offs, length)
+            begin, data = offs[doc] + a, memoryview(raw)
+            region = [_digest(data[s:e]) for s, e in zip(begin.tolist(), (begin + n + length - 1).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(a), pa.array(n), pa.array(gram.view(np.int64)), pa.array(places), pa.array(region, pa.binary())], names=["row", "a", "n", "gram", "places", "region"])
 
-    return docs.select("row", "text").mapInArrow(work, "row long, a long, n long, gram long, places long, region long")
+    return docs.select("row", "text").mapInArrow(work, "row binary, a long, n long, gram long, places long, region binary")
 
 
 def _region_texts(docs: DataFrame, regions: DataFrame, length: int) -> DataFrame:
@@ -206,7 +241,7 @@ def _region_texts(docs: DataFrame, regions: DataFrame, length: int) -> DataFrame
             body = [bytes(data[s:e]) for s, e in zip(begin.tolist(), (begin + fields["n"].to_numpy() + length - 1).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(fields[f] for f in ("gram", "shard", "shards", "region", "n", "times")), pa.array(body, pa.binary())], names=["gram", "shard", "shards", "region", "n", "times", "body"])
 
-    return texts.mapInArrow(work, "gram long, shard long, shards long, region long, n long, times long, body binary")
+    return texts.mapInArrow(work, "gram long, shard long, shards long, region binary, n long, times long, body binary")
 
 
 def _sorted_shards(texts: DataFrame, length: int) -> DataFrame:
@@ -218,16 +253,15 @@ def _sorted_shards(texts: DataFrame, length: int) -> DataFrame:
         heads: list[list[dict]] = [[] for _ in rows]
         for o, p, c in zip(owner.tolist(), place.tolist(), number.tolist(), strict=True):
             if rows[o]["shards"] > 1:
-                digest = hashlib.md5(bodies[o][p : p + length], usedforsecurity=False).digest()
-                heads[o].append({"f": digest, "p": p, "c": c})
+                heads[o].append({"f": _digest(bodies[o][p : p + length]), "p": p, "c": c})
         return {
             "gram": [r["gram"] for r in rows], "region": [r["region"] for r in rows], "n": [r["n"] for r in rows], "shard": [r["shard"] for r in rows],
             "spans": [_spans(x) for x in flags], "heads": heads,
         }
 
-    schema = StructType.fromDDL("gram long, region long, n long, shard long, spans array<struct<s: long, n: long>>, heads array<struct<f: binary, p: long, c: long>>")
+    schema = StructType.fromDDL("gram long, region binary, n long, shard long, spans array<struct<s: long, n: long>>, heads array<struct<f: binary, p: long, c: long>>")
     span, head = pa.struct([("s", pa.int64()), ("n", pa.int64())]), pa.struct([("f", pa.binary()), ("p", pa.int64()), ("c", pa.int64())])
-    arrow = pa.schema([("gram", pa.int64()), ("region", pa.int64()), ("n", pa.int64()), ("shard", pa.int64()), ("spans", pa.list_(span)), ("heads", pa.list_(head))])
+    arrow = pa.schema([("gram", pa.int64()), ("region", pa.binary()), ("n", pa.int64()), ("shard", pa.int64()), ("spans", pa.list_(span)), ("heads", pa.list_(head))])
 
     def work(batches):
         held, size, last, seen = [], 0, None, set()
@@ -255,81 +289,117 @@ def _merged(sorted_: DataFrame) -> DataFrame:
     heads = sorted_.where(F.size("heads") > 0).select("gram", "region", "n", "shard", F.explode("heads").alias("h")).select("gram", "region", "n", "shard", "h.f", "h.p", "h.c")
 
     def work(batches):
-        table = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_pylist([], schema=_HEADS)])
-        f = np.array(table["f"].to_pylist(), "S16") if table.num_rows else np.zeros(0, "S16")
-        gram, shard = table["gram"].to_numpy(), table["shard"].to_numpy()
-        found = np.zeros(len(f), bool)
-        keys = np.rec.fromarrays([gram, f])
-        by_shard = {s: np.sort(keys[shard == s]) for s in np.unique(shard)}
-        for s in by_shard:
-            mine = np.flatnonzero(shard == s)
-            for other, run in by_shard.items():
-                if other != s:
-                    at_ = np.minimum(np.searchsorted(run, keys[mine]), len(run) - 1)
-                    found[mine] |= run[at_] == keys[mine]
-        found &= table["c"].to_numpy() == 1
-        out = table.select(["gram", "region", "n", "p"]).filter(pa.array(found))
-        yield from out.combine_chunks().to_batches(max_chunksize=50_000)
-
-    hot = heads.repartition("gram", "f").mapInArrow(work, "gram long, region long, n long, p long")
-    return hot.groupBy("gram", "region", "n").agg(F.collect_list(F.struct(F.col("p").alias("s"), F.lit(1).cast("long").alias("n"))).alias("more"))
-
+        # The partition's rows come in the order of (gram, f, shard): a run of one string is searched for a second shard.
+        def found(table: pa.Table):
+            f = table["f"].to_numpy(zero_copy_only=False)
+            gram, shard, c = (table[name].to_numpy() for name in ("gram", "shard", "c"))
+            new = np.ones(len(f), bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (f[1:] != f[:-1])
+            first = np.flatnonzero(new)
+            several = np.maximum.reduceat(shard, first) != np.minimum.reduceat(shard, first)
+            good = several[np.cumsum(new) - 1] & (c == 1)
+            return table.select(["gram", "region", "n", "p"]).filter(pa.array(good)).combine_chunks().to_batches(max_chunksize=50_000)
+
+        held: list[pa.RecordBatch] = []
+        mark = lambda batch, k: (batch.column(0)[k].as_py(), batch.column(4)[k].as_py())
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            now = mark(batch, batch.num_rows - 1)
+            if mark(held[0], 0) != now:
+                whole = pa.Table.from_batches(held).combine_chunks()
+                cut = whole.num_rows - 1
+                while mark(whole, cut - 1) == now:
+                    cut -= 1
+                yield from found(whole.slice(0, cut))
+                held = whole.slice(cut).to_batches()
+        if held:
+            yield from found(pa.Table.from_batches(held))
 
-_HEADS = pa.schema([("gram", pa.int64()), ("region", pa.int64()), ("n", pa.int64()), ("shard", pa.int64()), ("f", pa.binary()), ("p", pa.int64()), ("c", pa.int64())])
+    ordered = heads.repartition("gram", "f").sortWithinPartitions("gram", "f", "shard")
+    hot = ordered.mapInArrow(work, "gram long, region binary, n long, p long")
+    return hot.groupBy("gram", "region", "n").agg(F.collect_list(F.struct(F.col("p").alias("s"), F.lit(1).cast("long").alias("n"))).alias("more"))
 
 
 def repeated(docs: DataFrame, length: int = 400) -> DataFrame:
     """(row, starts): for each row key of docs (row, text) the spans (a, s, n) of starts of repeated strings."""
-    found = scratch.store(_run_rows(docs, length), "runs")
-    grams = scratch.store(found.groupBy("gram").agg(F.sum("places").alias("c")).where("c > 1").select("gram"), "grams")
-    found = scratch.store(found.join(grams, "gram"), "shared-runs")
-    regions = scratch.store(found.groupBy("gram", "region", "n").agg(F.count("*").alias("times"), F.min(F.struct("row", "a")).alias("first")), "regions")
-    shards = scratch.store(regions.groupBy("gram").agg(F.ceil(F.count("*") / SHARD_REGIONS).alias("shards")), "shards")
-    regions = regions.join(shards, "gram").withColumn("shard", F.pmod("region", "shards"))
+    runs_table = scratch.store(_run_rows(docs, length), "runs")
+    grams = scratch.store(runs_table.groupBy("gram").agg(F.sum("places").alias("c")).where("c > 1").select("gram"), "grams")
+    found = scratch.store(runs_table.join(grams, "gram"), "shared-runs")
+    scratch.drop(runs_table, grams)
+    regions_table = scratch.store(found.groupBy("gram", "region", "n").agg(F.count("*").alias("times"), F.min(F.struct("row", "a")).alias("first")), "regions")
+    shards = scratch.store(regions_table.groupBy("gram").agg(F.ceil(F.count("*") / SHARD_REGIONS).alias("shards")), "shards")
+    regions = regions_table.join(shards, "gram").withColumn("shard", F.pmod(F.xxhash64("region"), "shards"))
     solved = scratch.store(_sorted_shards(_region_texts(docs, regions, length), length), "sorted")
     more = _merged(solved)
     spans = solved.join(more, ["gram", "region", "n"], "left").select("gram", "region", "n", F.concat("spans", F.coalesce("more", F.array().cast("array<struct<s: long, n: long>>"))).alias("spans")).where(F.size("spans") > 0)
     spans = scratch.store(spans, "spans")
     scratch.drop(solved)
-    return found.join(spans, ["gram", "region", "n"]).groupBy("row").agg(F.collect_list(F.struct("a", "spans")).alias("starts"))
+    starts = found.join(spans, ["gram", "region", "n"]).groupBy("row").agg(F.collect_list(F.struct("a", "spans")).alias("starts"))
+    starts = scratch.store(starts, "starts")
+    scratch.drop(found, regions_table, shards, spans)
+    return starts
+
+
+def _key(text: str) -> Column:
+    """128 bits for each different row: rows that are equal in id and text share it, with equal results."""
+    named = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(named, F.coalesce(text, F.lit("")))))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key for each different row: rows that are equal in id and text share it, with equal results."""
-    return docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(_key("text").alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _covered(starts: list[dict] | None, length: int) -> list[tuple[int, int]]:
+    """The maximal spans (begin, end) of a text's bytes that lie in a repeated string."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted((run["a"] + x["s"], run["a"] + x["s"] + x["n"] + length - 1) for run in starts or () for x in run["spans"]):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
 
 
-def _covered(size: int, starts: list[dict] | None, length: int) -> np.ndarray:
-    """Which bytes of a text lie in a repeated string."""
-    edge = np.zeros(size + 1, np.int64)
-    for run in starts or ():
-        for span in run["spans"]:
-            edge[run["a"] + span["s"]] += 1
-            edge[run["a"] + span["s"] + span["n"] + length - 1] -= 1
-    return np.cumsum(edge[:size]) > 0
+def _rest(data, gone: list[tuple[int, int]]) -> bytes:
+    """data without the spans."""
+    edges = [0, *(x for span in gone for x in span), len(data)]
+    return b"".join(bytes(data[s:e]) for s, e in zip(edges[::2], edges[1::2], strict=True))
 
 
-def digests(docs: DataFrame, length: int = 400) -> DataFrame:
+def digests(docs: DataFrame, length: int = 400, passage: int = 220, words: int = 51) -> DataFrame:
     """Per document the bytes that stand in a repeated string of ``length`` bytes, and what is left.
 
-    Reads ``doc_id`` and ``text``; null text is empty; rows equal in id and
-    text count as documents of their own, so their strings repeat.
+    Also n_passages and n_passage_bytes: what without_repeats(docs, passage,
+    words=words) would cut, whole passages of so many words that need not have
+    ``length`` bytes. Reads ``doc_id`` and ``text``; null text is empty; rows
+    equal in id and text count as documents of their own, so their strings
+    repeat; an empty table gives an empty one.
     """
     keyed = _keyed(docs)
-    both = keyed.join(repeated(keyed, length), "row", "left").select("doc_id", "text", "starts")
+    short = repeated(keyed, passage)
+    # A repeated string of ``length`` bytes begins with that many repeated ones of ``passage`` bytes, one after the other.
+    runs_of = F.aggregate(F.flatten(F.transform("starts", lambda x: x["spans"])), F.lit(0).cast("long"), lambda n, x: n + x["n"])
+    likely = short.where(runs_of > length - passage).select("row")
+    long = repeated(keyed.join(likely, "row", "left_semi"), length)
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes"]
+    both = keyed.join(short.withColumnRenamed("starts", "short"), "row", "left").join(long.withColumnRenamed("starts", "long"), "row", "left").select("doc_id", "text", "long", "short")
 
     def work(batches):
         for batch in at.pieces(batches):
             raw, offs = at.buffers(batch.column(1))
-            out: list[list] = [[], [], [], []]
-            for s, e, starts in zip(offs.tolist(), offs[1:].tolist(), batch.column(2).to_pylist(), strict=False):
-                gone = _covered(e - s, starts, length)
-                spans = int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum())
-                for column, x in zip(out, (e - s, int(gone.sum()), spans, hashlib.sha256(raw[s:e][~gone].tobytes()).hexdigest()), strict=True):
+            out: list[list] = [[] for _ in names]
+            for s, e, far, near in zip(offs.tolist(), offs[1:].tolist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=False):
+                data = memoryview(raw[s:e])
+                gone, passages = _covered(far, length), _passages(bytes(data) if near else b"", near, passage, words)
+                told = (e - s, sum(b - a for a, b in gone), len(gone), hashlib.sha256(_rest(data, gone)).hexdigest(), len(passages), sum(b - a for a, b in passages))
+                for column, x in zip(out, told, strict=True):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out[:3], [pa.int64()] * 3), pa.array(out[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string() if name == "kept_sha256" else pa.int64()) for name, x in zip(names, out, strict=True))], names=["doc_id", *names])
 
-    return both.mapInArrow(work, StructType([docs.schema["doc_id"], *StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string")]))
+    return both.mapInArrow(work, StructType([docs.schema["doc_id"], *StructType.fromDDL(", ".join(f"{name} {'string' if name == 'kept_sha256' else 'long'}" for name in names))]))
 
 
 def _whole_words(data: bytes, s: int, e: int) -> int:
@@ -339,15 +409,21 @@ def _whole_words(data: bytes, s: int, e: int) -> int:
     return len(inner.split()) - cut
 
 
+def _passages(data: bytes, starts: list[dict] | None, length: int, words: int | None, long: int = 400) -> list[tuple[int, int]]:
+    """The covered spans of a text that have ``words`` whole words or ``long`` bytes; all of them without ``words``."""
+    return [(s, e) for s, e in _covered(starts, length) if words is None or e - s >= long or _whole_words(data, s, e) >= words]
+
+
 def without_repeats(docs: DataFrame, length: int = 400, text: str = "text", words: int | None = None, long: int = 400) -> DataFrame:
     """docs with repeated strings cut out of the text; a character cut into goes whole.
 
     With ``words``, what repeated strings cover without a gap is cut only where it has that many
-    whole words, or ``long`` bytes. Null texts stay null; other columns stay as they are.
+    whole words, or ``long`` bytes. Null texts stay null; other columns stay as they are, whatever
+    their names; an empty table stays one.
     """
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce(text, F.lit(""))))
-    spans = repeated(keyed.select(F.col("_row").alias("row"), F.coalesce(text, F.lit("")).alias("text")), length).withColumnRenamed("row", "_row").withColumnRenamed("starts", "_starts")
-    both = keyed.join(spans, "_row", "left").select(*docs.columns, "_starts")
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), _key(text).alias("row"))
+    spans = repeated(keyed.select("row", F.coalesce(F.col("doc").getField(text), F.lit("")).alias("text")), length)
+    both = keyed.join(spans, "row", "left").select("doc.*", F.col("starts").alias(_free(docs, "starts")))
 
     def work(batches):
         for batch in at.pieces(batches, column=text):
@@ -355,14 +431,16 @@ def without_repeats(docs: DataFrame, length: int = 400, text: str = "text", word
             raw, offs = at.buffers(batch.column(k))
             kept = []
             for s, e, starts, there in zip(offs.tolist(), offs[1:].tolist(), batch.column(batch.num_columns - 1).to_pylist(), batch.column(k).is_valid().to_pylist(), strict=False):
-                gone = _covered(e - s, starts, length)
-                if words is not None and starts:
-                    data = raw[s:e].tobytes()
-                    for span in _spans(gone):
-                        lo, hi = span["s"], span["s"] + span["n"]
-                        gone[lo:hi] = hi - lo >= long or _whole_words(data, lo, hi) >= words
-                kept.append(raw[s:e][~gone].tobytes().decode(errors="ignore") if there else None)
+                data = raw[s:e].tobytes()
+                kept.append(_rest(data, _passages(data, starts, length, words, long)).decode(errors="ignore") if there else None)
             columns = [pa.array(kept, pa.string()) if c == k else batch.column(c) for c in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
     return both.mapInArrow(work, docs.schema)
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has."""
+    while name in docs.columns:
+        name += "_"
+    return name
