@@ -325,9 +325,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> D
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
-    """docs with one document of each class: that with the least doc_id, one row of it. Rows without a doc_id stay."""
-    kept = near_duplicates(docs, threshold, size).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce("text", F.lit(""))))
-    named = named.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row")
+    """docs with one document of each class: that with the least doc_id, one row of it by hash.
+
+    Rows without a doc_id stay; columns may have any names; an empty table stays one.
+    """
+    kept = near_duplicates(docs, threshold, size).where("doc_id = class_id").select("doc_id").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    named = rows.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("row"))
+    named = named.withColumn("place", F.row_number().over(first)).where("place = 1").select("row.*")
     return named.unionByName(docs.where(F.col("doc_id").isNull()))
