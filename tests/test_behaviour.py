@@ -41,6 +41,48 @@ def test_personal_data_goes(spark):
     assert "담당 사무관은" in out and "일반사무관리회사" in out and "○○○ 사무관" in out
     bare = one(spark, landing.without_personal(F.lit('{"regId":"a","x":{"담당자":"b","y":1},"regNm":"c"}')))
     assert bare.replace(" ", "") == '{"x":{"y":1}}'
+    deep = '{"담당자":{"이름":"b","전화":["1"]},"list":[{"regNm":["c",{"d":1}],"제목":"가"},["담당자"]]}'
+    assert one(spark, landing.without_personal(F.lit(deep))) == '{"list": [{"제목": "가"}, ["담당자"]]}'
+    for same in ('{"title": "x",  "n":1}', "no JSON 담당자", "", None):
+        assert one(spark, landing.without_personal(F.lit(same).cast("string"))) == same
+
+
+@pytest.mark.parametrize(
+    ("raw", "clean"),
+    [
+        ("(02-1234-5678)", "(연락처 생략)"), ("+1 (091) 555-3384", "+1 (연락처 생략"), ("1588-1234", "연락처 생략"), ("1.588-1234", "1.588-1234"), ("21588-1234", "21588-1234"), ("(2156-9834)", "(연락처 생략)"), ("(2020-1234)", "(2020-1234)"),
+        ("a.b@c.example", "이메일 생략"), ("다람쥐 사무관과", "○○○ 사무관과"), ("소관 사무관", "소관 사무관"), ("주무관청", "주무관청"), ("", ""), (None, None),
+    ],
+)
+def test_masks(spark, raw, clean):
+    assert one(spark, T.redact(F.lit(raw).cast("string"))) == clean
+
+
+@pytest.mark.parametrize(
+    ("raw", "clean"),
+    [
+        ("<p>a&hellip;&#44032;&#xAC01;&eacute;&copy b</p>c", "a…가각é© b\nc"), ("x<script>1 < 2</script >y", "x1 y"), ("<STYLE a='b'>q</STYLE>&amp;lt;", "&lt;"), ("a&nbsp; &#8203;b<br/>\n\n<h2>t</h2>u", "a b\nt\nu"), ("&unknown; & 1", "&unknown; & 1"), (None, ""),
+    ],
+)
+def test_pages_to_text(spark, raw, clean):
+    assert one(spark, T.html_to_text(F.lit(raw).cast("string"))) == clean
+
+
+def test_rows_upserted_by_hash(spark):
+    day = lambda n: dt.datetime(2024, 1, n)
+    first = store.upsert_by_hash(spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, v string"), spark.createDataFrame([], "k int, v string, digest string, first_seen_at timestamp, changed_at timestamp"), "k", F.lit(day(1)))
+    assert {r.state for r in first.collect()} == {"new"}
+    again = store.upsert_by_hash(spark.createDataFrame([(1, "a"), (2, "c"), (4, "d")], "k int, v string"), first.drop("state"), "k", F.lit(day(2)))
+    assert {(r.k, r.v, r.first_seen_at.day, r.changed_at.day, r.state) for r in again.collect()} == {(1, "a", 1, 1, "same"), (2, "c", 1, 2, "changed"), (3, None, 1, 1, "kept"), (4, "d", 2, 2, "new")}
+
+
+def test_replaced_links_keep_reviewed_ones(spark):
+    shape = "d string, t string, reviewed boolean, evidence string"
+    old = spark.createDataFrame([("1", "a", True, "x"), ("1", "b", False, "x"), ("2", "b", False, "x")], shape)
+    new = spark.createDataFrame([("1", "a", False, "y"), ("1", "c", False, "z" * 400), ("1", "q", False, "lost")], shape)
+    kept, lost = store.replace_per_key(old, new, "d", "reviewed", "t", spark.createDataFrame([("a",), ("b",), ("c",)], "t string"), evidence="evidence")
+    assert {(r.d, r.t, r.reviewed, len(r.evidence)) for r in kept.collect()} == {("1", "a", True, 1), ("2", "b", False, 1), ("1", "c", False, 300)}
+    assert [(r.t, r.evidence, r.reason) for r in lost.collect()] == [("q", "lost", "article_not_loaded")]
 
 
 def test_small_functions(spark):
@@ -67,9 +109,13 @@ def test_state_is_swapped(spark, tmp_path):
     path = str(tmp_path / "table")
     for n in (3, 5):
         store.swap(spark.range(n).toDF("k"), path)
-        assert spark.read.parquet(path).count() == n
-    store.swap(spark.read.parquet(path).where("k < 2"), path)
-    assert spark.read.parquet(path).count() == 2
+        assert store.current(spark, path).count() == n
+    before = store.current(spark, path)
+    store.swap(before.where("k < 2"), path)
+    assert store.current(spark, path).count() == 2 and before.count() == 5
+    # A run that stops before the pointer moves leaves the state as it was.
+    spark.range(9).toDF("k").write.parquet(f"{path}/version-torn")
+    assert store.current(spark, path).count() == 2
 
 
 def test_expansion_keeps_directions_apart(spark):

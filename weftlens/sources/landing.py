@@ -6,8 +6,13 @@ on a payload is a row (source, source_key, content_hash, fetched_at, payload).
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from weftlens.functions import text as T
 from weftlens.sources import store
@@ -79,12 +84,30 @@ def search_text(title: str, *others: str) -> Column:
     return F.concat(F.coalesce(title, F.lit("")), *[F.concat(F.lit(" "), F.coalesce(c, F.lit(""))) for c in others])
 
 
+def _bare(value):
+    if isinstance(value, dict):
+        return {k: _bare(v) for k, v in value.items() if k not in PERSONAL_KEYS}
+    return [_bare(v) for v in value] if isinstance(value, list) else value
+
+
+@F.pandas_udf(StringType())
+def _without_personal(payload: pd.Series) -> pd.Series:
+    def one(text: str) -> str:
+        try:
+            return json.dumps(_bare(json.loads(text)), ensure_ascii=False)
+        except ValueError:
+            return text
+
+    return payload.map(one, na_action="ignore")
+
+
 def without_personal(payload: Column) -> Column:
-    """A JSON text without its personal string, number and list-free fields, at any depth."""
-    keys = "|".join(PERSONAL_KEYS)
-    value = r'"(?:[^"\\]|\\.)*"|[^,{}\[\]]*'
-    bare = F.regexp_replace(payload, rf'"(?:{keys})"\s*:\s*(?:{value})\s*,\s*', "")
-    return F.regexp_replace(bare, rf',?\s*"(?:{keys})"\s*:\s*(?:{value})(?=\s*\}})', "")
+    """A JSON text without its personal fields, whatever they hold, at any depth.
+
+    Texts that name no such field, and texts that are no JSON, stay as they are.
+    """
+    named = payload.rlike("|".join(f'"{k}"' for k in PERSONAL_KEYS) + r"|\\u")
+    return F.coalesce(_without_personal(F.when(named, payload)), payload)
 
 
 def scrub(raw: DataFrame) -> DataFrame:
@@ -109,11 +132,28 @@ def export(rows: DataFrame, path: str, key: str) -> None:
     rows.select(F.col(key).alias("_key"), F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").partitionBy("_key").text(path)
 
 
-def catalogue(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table, position, column, type, nullable) of tables."""
-    spark = next(iter(tables.values())).sparkSession
-    rows = [(name, k, f.name, f.dataType.simpleString(), f.nullable) for name, df in tables.items() for k, f in enumerate(df.schema)]
-    return spark.createDataFrame(rows, "table string, position int, column string, type string, nullable boolean")
+def search_index(documents: DataFrame, links: DataFrame, articles: DataFrame, laws: DataFrame, length: int = 600) -> DataFrame:
+    """Per document the head of its search text and its articles as JSON, '[]' without any: an index for clients.
+
+    links: doc_id, key; articles: key, slug, label, title; laws: slug, name, kind, parent.
+    """
+    cited = links.select("doc_id", "key").distinct().join(articles.select("key", "slug", "label", "title"), "key")
+    cited = cited.join(laws.select("slug", F.col("name").alias("law_name"), F.col("kind").alias("law_kind"), F.coalesce("parent", "slug").alias("law_root")), "slug")
+    listed = cited.groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("key", "label", "title", "law_name", "law_kind", "law_root")))).alias("articles"))
+    rows = documents.join(listed, documents["id"] == listed["doc_id"], "left").drop("doc_id")
+    return rows.withColumn("search_text", F.substring("search_text", 1, length)).withColumn("articles", F.coalesce("articles", F.lit("[]")))
+
+
+def catalogue(tables: dict[str, DataFrame], keys: dict[str, list[str]] | None = None, references: dict[tuple[str, str], str] | None = None) -> DataFrame:
+    """(table, position, column, type, nullable, is_key, refers_to, rows) of tables.
+
+    keys: the key columns of a table; references: (table, column) -> the table that it points to.
+    """
+    spark, keys, references = next(iter(tables.values())).sparkSession, keys or {}, references or {}
+    rows = [(name, k, f.name, f.dataType.simpleString(), f.nullable, f.name in keys.get(name, []), references.get((name, f.name))) for name, df in tables.items() for k, f in enumerate(df.schema)]
+    columns = spark.createDataFrame(rows, "table string, position int, column string, type string, nullable boolean, is_key boolean, refers_to string")
+    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows") for name, df in tables.items()]
+    return columns.join(reduce(DataFrame.unionByName, counts), "table")
 
 
 def run_log(spark: SparkSession, stage: str, source: str, status: str, stats: dict, error: str | None = None) -> DataFrame:

@@ -6,7 +6,9 @@ new path; swap() then makes it current.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,18 +40,40 @@ def classify(incoming: DataFrame, existing: DataFrame, key: str, digest: str) ->
     return incoming.join(old, key, "left").select(key, state.alias("state"))
 
 
+def upsert_by_hash(incoming: DataFrame, existing: DataFrame, key: str, at: Column) -> DataFrame:
+    """The state after an upsert of rows by the hash of all their columns, with ``state``: new, changed, same or kept.
+
+    existing has incoming's columns, first_seen_at, changed_at and digest. A
+    changed row keeps when it was first seen; a same row keeps both times.
+    """
+    names = [c for c in existing.columns if c not in ("first_seen_at", "changed_at", "digest")]
+    fresh = incoming.select(*names).withColumn("digest", content_hash(*[F.col(c) for c in names]))
+    old, new = existing.select(F.struct("*").alias("o"), F.col(key).alias("k")), fresh.select(F.struct("*").alias("n"), F.col(key).alias("k"))
+    both = old.join(new, "k", "full_outer")
+    state = F.when(F.col("n").isNull(), "kept").when(F.col("o").isNull(), "new").when(F.col("o.digest") == F.col("n.digest"), "same").otherwise("changed")
+    taken = [F.when(F.col("n").isNull(), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in [*names, "digest"]]
+    rows = both.withColumn("state", state)
+    first, changed = F.coalesce("o.first_seen_at", at), F.when(F.col("state").isin("new", "changed"), at).otherwise(F.col("o.changed_at"))
+    return rows.select(*taken, first.alias("first_seen_at"), changed.alias("changed_at"), "state")
+
+
 def by_priority(rows: DataFrame, keys: list[str], origin: str, order: list[str]) -> DataFrame:
     """One row for each key, with the origin that comes first in ``order``: a better origin is never downgraded."""
     rank = F.array_position(F.array(*map(F.lit, order)), F.col(origin))
     return rows.groupBy(*keys).agg(F.min_by(origin, F.when(rank > 0, rank).otherwise(len(order) + 1)).alias(origin))
 
 
-def replace_per_key(old: DataFrame, new: DataFrame, key: str, reviewed: str, target: str, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows to keep, rows whose target is missing): new rows replace a key's old ones but for reviewed ones."""
+def replace_per_key(old: DataFrame, new: DataFrame, key: str, reviewed: str, target: str, targets: DataFrame, evidence: str | None = None, most: int = 300) -> tuple[DataFrame, DataFrame]:
+    """(rows to keep, rows whose target is missing): new rows replace a key's old ones but for reviewed ones.
+
+    evidence: a column that is cut to ``most`` characters. Rows without their target carry the reason article_not_loaded.
+    """
+    if evidence:
+        new = new.withColumn(evidence, F.substring(evidence, 1, most))
     touched = new.select(key).distinct()
     kept = old.where(F.col(reviewed)).unionByName(old.where(~F.col(reviewed)).join(touched, key, "left_anti"))
     good = new.join(targets.select(target), target, "left_semi")
-    lost = new.join(targets.select(target), target, "left_anti")
+    lost = new.join(targets.select(target), target, "left_anti").withColumn("reason", F.lit("article_not_loaded"))
     fresh = good.join(kept.select(key, target), [key, target], "left_anti")
     return kept.unionByName(fresh), lost
 
@@ -65,15 +89,41 @@ def prune(keys: DataFrame, tables: dict[str, tuple[DataFrame, str]]) -> dict[str
 
 
 def swap(state: DataFrame, path: str) -> None:
-    """Write the state beside the current one and put it in its place."""
-    spark = state.sparkSession
-    fresh, gone = f"{path}.new", f"{path}.old"
-    state.write.mode("overwrite").parquet(fresh)
-    jvm = spark._jvm
-    paths = {p: jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh, gone)}
-    fs = paths[path].getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(paths[gone], True)
-    if fs.exists(paths[path]):
-        fs.rename(paths[path], paths[gone])
-    fs.rename(paths[fresh], paths[path])
-    fs.delete(paths[gone], True)
+    """Write the state as a new version under path and make it current.
+
+    The pointer is a small file that a rename replaces, so at each moment it
+    names a whole version; current() follows it. The version before stays for
+    those who still read it, older ones go.
+    """
+    jvm, conf = state.sparkSession._jvm, state.sparkSession._jsc.hadoopConfiguration()
+    at = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join((path, *parts)))
+    fs = at().getFileSystem(conf)
+    before = _version(state.sparkSession, path)
+    name = f"version-{uuid.uuid4().hex}"
+    state.write.parquet(f"{path}/{name}")
+    out = fs.create(at(f"pointer-{name}"), True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    overwrite = state.sparkSession.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(at(f"pointer-{name}")), fs.makeQualified(at("pointer")), overwrite)
+    for found in fs.listStatus(at()):
+        if found.getPath().getName().startswith("version-") and found.getPath().getName() not in (name, before):
+            fs.delete(found.getPath(), True)
+
+
+def _version(spark: SparkSession, path: str) -> str | None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/pointer")
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return None
+    stream = fs.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The state that swap() wrote last."""
+    return spark.read.parquet(f"{path}/{_version(spark, path)}")
