@@ -11,23 +11,36 @@ from weftlens.operators import articles, cards
 TODAY = dt.date(2026, 1, 1)
 
 
-def test_items_follow_their_numbers():
-    assert statute.item_lines('다음과 같다.1. "전산실"이란 방이다.2. 둘째(2013. 12. 3. 개정)2의2. 끼움3. 셋째') == ["다음과 같다.", '1. "전산실"이란 방이다.', "2. 둘째(2013. 12. 3. 개정)", "2의2. 끼움", "3. 셋째"]
-    assert statute.item_lines("① 하나 ② 둘") == ["① 하나", "② 둘"]
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first().x
 
 
-def test_headings_are_cut():
+def test_items_follow_their_numbers(spark):
+    cut = lambda x: one(spark, statute.item_lines(F.lit(x)))
+    assert cut('다음과 같다.1. "전산실"이란 방이다.2. 둘째(2013. 12. 3. 개정)2의2. 끼움3. 셋째') == ["다음과 같다.", '1. "전산실"이란 방이다.', "2. 둘째(2013. 12. 3. 개정)", "2의2. 끼움", "3. 셋째"]
+    assert cut("① 하나 ② 둘") == ["① 하나", "② 둘"]
+    assert cut("1. 첫째가. 하나나. 둘 다. 셋2. 둘째가. 다시") == ["1. 첫째", "가. 하나", "나. 둘 다. 셋", "2. 둘째", "가. 다시"]
+    assert cut("앞 <16> 열여섯 제① 인용") == ["앞", "⑯ 열여섯 제① 인용"]
+    assert cut("나. 번호 없이 3. 셋") == ["나. 번호 없이 3. 셋"] and cut("") == []
+
+
+def test_headings_are_cut(spark):
+    cut = lambda x: one(spark, statute.heading_lines(F.lit(x)))
     text = "제1장 총칙 제1-1조(목적) 이 규정은 정한다.<개정 2013. 9. 17.>제1-2조(정의) 제1-1조(목적)에 따른 것. 제2장 업무 제2-1조(범위) 넓다."
-    assert statute.heading_lines(text) == ["제1장 총칙", "제1-1조(목적) 이 규정은 정한다.<개정 2013. 9. 17.>", "제1-2조(정의) 제1-1조(목적)에 따른 것.", "제2장 업무", "제2-1조(범위) 넓다."]
+    assert cut(text) == ["제1장 총칙", "제1-1조(목적) 이 규정은 정한다.<개정 2013. 9. 17.>", "제1-2조(정의) 제1-1조(목적)에 따른 것.", "제2장 업무", "제2-1조(범위) 넓다."]
+    assert cut("제1편 첫 제1장 가 제1조(가) 나. 제2조의2(나) 제1조(가) 다. 제3장 없음 제2장 둘 제3조(다) 라.") == ["제1편 첫", "제1장 가", "제1조(가) 나.", "제2조의2(나) 제1조(가) 다.", "제3장 없음", "제2장 둘", "제3조(다) 라."]
+    assert cut("제목 없음") == ["제목 없음"]
 
 
 def test_payloads_become_articles(spark):
     unit = {"조문여부": "조문", "조문내용": "제1조(목적)", "항": {"항내용": "<16> 첫 항", "호": {"호내용": "1. 호", "목": [{"목내용": "가. 목"}]}}, "조문시행일자": "20261217"}
     body = json.dumps({"법령": {"조문": {"조문단위": [{"조문여부": "전문", "조문내용": "제1장 총칙"}, unit]}}}, ensure_ascii=False)
     rule = json.dumps({"AdmRulService": {"조문내용": ["제2조(정의)", "제3조(범위) 넓다."]}}, ensure_ascii=False)
-    rows = [(1, body), (2, rule), (3, '{"lines": ["제5조(가) 나", "다"], "부칙": ["제1조(x) y"]}'), (4, "<p>제6조(나) 다</p>"), (5, None)]
-    table = spark.createDataFrame(rows, "doc_id long, payload string").withColumn("lines", statute.lines("payload", TODAY))
+    glued = json.dumps({"AdmRulService": {"조문내용": "제1장 총칙 제1조(목적) 가. 제2조(정의) 1. 하나2. 둘"}}, ensure_ascii=False)
+    rows = [(6, glued), (1, body), (2, rule), (3, '{"lines": ["제5조(가) 나", "다"], "부칙": ["제1조(x) y"]}'), (4, "<p>제6조(나) 다</p>"), (5, None)]
+    table = statute.with_lines(spark.createDataFrame(rows, "doc_id long, payload string"), "payload", TODAY)
     got = {(r.doc_id, r.no): r for r in articles.split_articles(table).collect()}
+    assert got.pop((6, "1")).chapter == "제1장 총칙" and got.pop((6, "2")).body == "제2조(정의) 1. 하나\n2. 둘"
     assert set(got) == {(1, "1"), (2, "2"), (2, "3"), (3, "5"), (4, "6")}
     assert got[1, "1"].body == "제1조(목적) ⑯ 첫 항\n1. 호\n가. 목" and got[1, "1"].pending_from == dt.date(2026, 12, 17) and got[1, "1"].chapter == "제1장 총칙"
     assert got[3, "5"].body == "제5조(가) 나\n다"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlens.functions import text as T
@@ -62,11 +62,11 @@ def versions(articles: DataFrame, key: str, effective: str) -> DataFrame:
     return new.withColumn("effective_to", F.date_sub(F.lead(effective).over(by), 1))
 
 
-def circled(line):
+def circled(line: Column) -> Column:
     """'<16>' at a line's beginning as the circled number, up to 35."""
-    number = F.try_to_number(F.nullif(F.regexp_extract(line, r"^<(\d{1,2})>\s*", 1), F.lit("")), F.lit("99")).cast("int")
-    signs = F.array(*[F.lit(chr(0x2460 + n - 1) if n <= 20 else chr(0x3251 + n - 21)) for n in range(1, 36)])
-    sign = F.when((number >= 1) & (number <= 35), F.element_at(signs, F.greatest(F.least(number, F.lit(35)), F.lit(1))))
+    signs = F.create_map(*[F.lit(x) for n in range(1, 36) for x in (n, chr(0x2460 + n - 1) if n <= 20 else chr(0x3251 + n - 21))])
+    number = F.try_to_number(F.nullif(F.regexp_extract(line, r"^<(\d{1,2})>", 1), F.lit("")), F.lit("99")).cast("int")
+    sign = F.try_element_at(signs, number)
     return F.when(sign.isNotNull(), F.concat(sign, F.lit(" "), F.regexp_replace(line, r"^<\d{1,2}>\s*", ""))).otherwise(line)
 
 
