@@ -65,7 +65,7 @@ def buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def pieces(batches, limit: int = 2 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+def pieces(batches, limit: int = 1 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``limit`` bytes of text each, one row at least."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -85,14 +85,24 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     Thue-Morse word and its complement), so one modulo a prime is mixed in.
     """
     up, down, prime_up, prime_down = powers(len(values) + 1)
-    wide = values.astype(U64) + U64(0x51ED27)
-    h = np.zeros(len(values) + 1, U64)
-    np.cumsum(wide * U64(0xD6E8FEB86659FD93) * up[: len(values)], out=h[1:])
-    out = (h[ends] - h[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407)
-    np.cumsum(_reduced(wide * prime_up[: len(values)]), out=h[1:])
+    # One array for each polynomial's terms, changed in place: these are a task's largest arrays.
+    wide = values.astype(U64)
+    wide += U64(0x51ED27)
+    terms, h = wide * U64(0xD6E8FEB86659FD93), np.zeros(len(values) + 1, U64)
+    terms *= up[: len(values)]
+    np.cumsum(terms, out=h[1:])
+    out = (h[ends] - h[starts]) * down[starts]
+    out += (ends - starts).astype(U64) * U64(0xA24BAED4963EE407)
+    wide *= prime_up[: len(values)]
+    for _ in range(2):
+        np.right_shift(wide, U64(31), out=terms)
+        wide &= _PRIME
+        wide += terms
+    np.cumsum(wide, out=h[1:])
     rest = _reduced(_reduced(h[ends] - h[starts]) * prime_down[starts])
     rest[rest >= _PRIME] -= _PRIME
-    return mix(out + mix(rest))
+    out += mix(rest)
+    return mix(out)
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -249,7 +249,7 @@ class MatchTable:
 
     def entries(self, text: str | bytes, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The table's entry for each match text[start:end]; values: the code points or bytes of text."""
-        if self._entries > 1_500_000 or self._used > 12_000_000 or self._held > 24_000_000:
+        if self._entries > 1_500_000 or self._used > 12_000_000 or self._held > 8_000_000:
             self._empty()
         slots = (hashes >> at.U64(44)).astype(np.int64)
         out = self._slot[slots].astype(np.int64)

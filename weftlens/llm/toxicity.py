@@ -63,15 +63,18 @@ def subwords(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
 
 def _means(values: np.ndarray, kept: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """For each group the sum of its next ``kept`` rows, divided by ``counts``; 0 for an empty group."""
-    out = np.zeros((len(counts), *values.shape[1:]))
+    out = np.zeros((len(counts), *values.shape[1:]), values.dtype)
     some = kept > 0
     if some.any():
-        out[some] = np.add.reduceat(values, (np.cumsum(kept) - kept)[some], axis=0) / counts[some][:, None]
+        out[some] = np.add.reduceat(values, (np.cumsum(kept) - kept)[some], axis=0) / counts[some][:, None].astype(values.dtype)
     return out
 
 
 def _sums(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(group, values[:, d], n) for d in range(values.shape[1])], 1)
+    out = np.empty((n, values.shape[1]), values.dtype)
+    for d in range(values.shape[1]):
+        out[:, d] = np.bincount(group, values[:, d], n)
+    return out
 
 
 @dataclass
@@ -142,34 +145,37 @@ def learn(batches: list[dict[str, np.ndarray]], grams: np.ndarray, prior: float,
     epochs = -(-steps // len(batches))
     class_weight = np.minimum(4, len(toxic) / (2 * np.bincount(toxic, minlength=2)))
     size = len(grams)
-    params = [rng.normal(0, 0.1, (size, DIM)), rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)]
+    params = [rng.normal(0, 0.1, shape).astype(np.float32) for shape in ((size, DIM), (DIM, 2), 1)]
+    params[2] = np.zeros(2, np.float32)
     slow, fast, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(epochs):
         for k in rng.permutation(len(batches)):
             found, kept, counts, word, doc, weight, y = (batches[k][name] for name in FIELDS)
             e, w, bias = params
             words = _means(e[found], kept, counts)
-            docs = SCALE * _sums(words[word] * weight[:, None], doc, len(y))
+            docs = np.float32(SCALE) * _sums(words[word] * weight[:, None], doc, len(y))
             logits = docs @ w + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(y)), y] -= 1
-            p *= class_weight[y][:, None] / len(y)
-            back = SCALE * (p @ w.T)[doc] * weight[:, None]
-            per_gram = np.repeat(_sums(back, word, len(counts)) / counts[:, None], kept, axis=0)
-            grads = [_sums(per_gram, found, size), docs.T @ p, p.sum(0)]
+            p *= (class_weight[y] / len(y)).astype(np.float32)[:, None]
+            back = (np.float32(SCALE) * p @ w.T)[doc] * weight[:, None]
+            per_word = _sums(back, word, len(counts)) / counts[:, None].astype(np.float32)
+            grads = [_sums(np.repeat(per_word, kept, axis=0), found, size), docs.T @ p, p.sum(0)]
             step += 1
-            pace = rate * (1 - (step - 1) / (epochs * len(batches)))
+            pace = np.float32(rate * (1 - (step - 1) / (epochs * len(batches))))
             for j, (x, g, m, v) in enumerate(zip(params, grads, slow, fast, strict=True)):
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                root = np.sqrt(v / (1 - 0.99**step))
+                m += np.float32(0.1) * (g - m)
+                g *= g
+                v += np.float32(0.01) * (g - v)
+                root = np.sqrt(v / np.float32(1 - 0.99**step))
                 # N-grams met once or twice must not move as far as telling ones, so the floor is a share of the largest.
                 if j == 0:
-                    x *= 1 - decay * pace
-                x -= pace * (m / (1 - 0.9**step)) / (root + floor * root.max(initial=1e-12))
+                    x *= np.float32(1 - decay * pace)
+                root += np.float32(floor) * root.max(initial=np.float32(1e-12))
+                x -= (pace / np.float32(1 - 0.9**step)) * m / root
     e, w, bias = params
-    return Model(grams, SCALE * (e @ (w[:, 1] - w[:, 0])), float(bias[1] - bias[0]), prior)
+    return Model(grams, SCALE * (e @ (w[:, 1] - w[:, 0])).astype(np.float64), float(bias[1] - bias[0]), prior)
 
 
 class Scorer:
@@ -242,8 +248,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_bytes: i
 
     dealt = few.select(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(max(1, n // batch))).alias("b"), "doc_id", "text", "_label")
     dealt = dealt.repartition("b").sortWithinPartitions("b", F.xxhash64("doc_id")).select("b", "text", "_label")
-    rows = sorted(dealt.mapInArrow(prepare, "b long, " + ", ".join(f"{name} binary" for name in FIELDS)).collect(), key=lambda r: r.b)
-    steps = [{name: np.frombuffer(r[name], kind) for name, kind in FIELDS.items()} for r in rows]
+    rows = dealt.mapInArrow(prepare, "b long, " + ", ".join(f"{name} binary" for name in FIELDS)).toArrow().sort_by("b")
+    steps = [{name: np.frombuffer(rows[name][k].as_buffer(), kind) for name, kind in FIELDS.items()} for k in range(rows.num_rows)]
     scratch.drop(few)
     return learn(steps, grams, float(share or 0.0))
 
