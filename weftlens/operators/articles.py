@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftlens.functions import statute
 from weftlens.functions import text as T
+from weftlens.operators import windows
 
 # How headings, articles, addenda and pending dates are written.
-ARTICLE = r"^(제\d+(?:-\d+)?조(?:의\d+)?)\s*\(([^)]*)\)\s*(.*)$"
+ARTICLE = T.ARTICLE_LINE
 CHAPTER = r"^제\d+(?:-\d+)?장\s+\S"
 SECTION = r"^제\d+(?:-\d+)?(?:편|절|관)\s+\S"
 ADDENDA = r"^부\s*칙"
@@ -62,6 +66,76 @@ def versions(articles: DataFrame, key: str, effective: str) -> DataFrame:
     return new.withColumn("effective_to", F.date_sub(F.lead(effective).over(by), 1))
 
 
+def upsert_versions(state: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(state after, outcomes): versions (key, effective_from, title, body, source_seq) put into the state.
+
+    Of several incoming copies of a version the one with the greatest
+    source_seq counts. The outcome is same where the body is equal, or only its
+    notation is new (which is taken over), changed where a version had another
+    substance, else new. effective_to is the day before the next version.
+    """
+    names = ["key", "effective_from"]
+    fields = ["title", "body", "source_seq"]
+    fresh = incoming.groupBy(*names).agg(F.max_by(F.struct(*fields), "source_seq").alias("n"))
+    both = state.select(*names, F.struct(*fields).alias("o")).join(fresh, names, "full_outer")
+    same = (F.col("o.body") == F.col("n.body")) | (T.substance(F.col("o.body")) == T.substance(F.col("n.body")))
+    outcome = F.when(F.col("n").isNull(), "kept").when(F.col("o").isNull(), "new").when(same, "same").otherwise("changed")
+    rows = both.withColumn("outcome", outcome).withColumn("v", F.coalesce("n", "o"))
+    after = windows.close_intervals(rows.select(*names, "v.*"), "key", "effective_from")
+    return after, rows.where("outcome <> 'kept'").select(*names, "outcome")
+
+
+def parse_laws(raw: DataFrame, state: DataFrame, laws: DataFrame, today: date) -> dict[str, DataFrame]:
+    """versions, outcomes and events of statute payloads {meta: {slug, seq, version, effective, via}, body}.
+
+    raw: source, source_key, payload, parsed_at. Payloads of laws out of scope
+    are left alone; of a law with a copy from the interface, web copies count no
+    more. Of a copy of the text to come only articles that differ from the
+    version before are taken. An article that changes on the first copy from
+    the interface is no event, as its source has changed.
+    """
+    meta = lambda name: F.get_json_object("payload", f"$.meta.{name}")
+    rows = raw.select("source", "payload", F.col("parsed_at").isNotNull().alias("done"), meta("slug").alias("slug"), meta("seq").alias("source_seq"), meta("version").alias("copy"), T.ymd(meta("effective")).alias("effective"), meta("via").alias("via"))
+    rows = rows.join(laws.select("slug", "name"), "slug")
+    by_api = F.col("via") == "api"
+    known = rows.groupBy("source", "slug").agg(F.coalesce(F.bool_or(by_api), F.lit(False)).alias("api"), F.coalesce(F.bool_or(by_api & F.col("done")), F.lit(False)).alias("was_api"))
+    rows = rows.join(known, ["source", "slug"]).where(~F.col("done") & ~(F.col("api") & F.coalesce(F.col("via") == "web", F.lit(False))))
+    rows = rows.withColumn("payload", F.get_json_object("payload", "$.body")).withColumn("doc_id", F.concat_ws("|", "source", "slug", F.coalesce("source_seq", F.lit("")), F.coalesce("copy", F.lit(""))))
+    lined = statute.with_lines(rows, "payload", today)
+    about = lined.select("doc_id", "slug", "name", "source_seq", "copy", "effective", "via", "was_api").dropDuplicates(["doc_id"])
+    found = split_articles(lined).join(about, "doc_id")
+    start = F.coalesce("pending_from", "effective", F.lit(today))
+    found = found.withColumn("key", F.concat_ws(":", "slug", "no")).withColumn("effective_from", start).withColumn("future", F.coalesce(F.col("copy") == "시행예정", F.lit(False)))
+    # The version before: of the state, or of another copy in these payloads.
+    told = state.select("key", "effective_from", "body").unionByName(found.where("NOT future").select("key", "effective_from", "body"))
+    before = found.where("future").select("key", F.col("effective_from").alias("at")).distinct().join(told, "key").where(F.col("effective_from") < F.col("at"))
+    before = before.groupBy("key", "at").agg(F.max_by("body", "effective_from").alias("prior")).withColumnRenamed("at", "effective_from")
+    found = found.join(before, ["key", "effective_from"], "left").where(~F.col("future") | F.col("prior").isNull() | (T.substance(F.col("prior")) != T.substance(F.col("body"))))
+    found = found.withColumn("pending", F.col("future") | F.col("pending_from").isNotNull())
+    after, outcomes = upsert_versions(state, found.select("key", "effective_from", "title", "body", "source_seq"))
+    had = state.select("key").distinct().withColumn("had", F.lit(True))
+    one = found.groupBy("key", "effective_from").agg(F.max_by(F.struct("slug", "name", "label", "title", "pending", "via", "was_api"), "source_seq").alias("a")).select("key", "effective_from", "a.*")
+    news = one.join(outcomes.where("outcome <> 'same'"), ["key", "effective_from"]).join(had, "key", "left")
+    switching = (F.col("via") == "api") & ~F.col("was_api")
+    changed = F.coalesce("had", F.lit(False)) & ~F.coalesce(switching, F.lit(False))
+    kind = F.when(F.col("pending"), "조문_시행예정").when(changed, "조문_개정")
+    day = F.col("effective_from")
+    title = F.concat("name", F.lit(" "), "label", F.when(F.col("pending"), F.concat(F.lit("("), "title", F.lit(") "), F.date_format(day, "yyyy.MM.dd"), F.lit(" 시행 예정"))).otherwise(F.concat(F.lit("("), "title", F.lit(") 개정"))))
+    key = F.concat_ws(":", F.when(F.col("pending"), "art_pending").otherwise("art_changed"), "key", day.cast("string"))
+    events = news.withColumn("kind", kind).where("kind IS NOT NULL").select(key.alias("dedupe_key"), day.alias("occurred_on"), "kind", title.alias("title"), F.col("slug").alias("law_slug"), "key")
+    return {"versions": after, "outcomes": outcomes, "events": events}
+
+
+def snapshot_lines(articles: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, lines): the lines that split_articles() reads back as these articles: each chapter once before its first article, dates to come in a mark."""
+    by = Window.partitionBy(key).orderBy("place")
+    new = (F.col("chapter") != "") & ~F.coalesce(F.col("chapter") == F.lag("chapter").over(by), F.lit(False))
+    mark = F.concat(F.lit("[시행일: "), F.date_format("pending_from", "yyyy. M. d"), F.lit(".] "), "label")
+    own = F.concat(F.when(F.col("new"), F.array("chapter")).otherwise(F.array().cast("array<string>")), F.split("body", "\n"), F.when(F.col("pending_from").isNotNull(), F.array(mark)).otherwise(F.array().cast("array<string>")))
+    rows = articles.withColumn("new", new).select(key, F.struct("place", own.alias("lines")).alias("x"))
+    return rows.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["lines"])).alias("lines"))
+
+
 def circled(line: Column) -> Column:
     """'<16>' at a line's beginning as the circled number, up to 35."""
     signs = F.create_map(*[F.lit(x) for n in range(1, 36) for x in (n, chr(0x2460 + n - 1) if n <= 20 else chr(0x3251 + n - 21))])

@@ -19,9 +19,12 @@ LAW_KINDS = ["법률", "시행령", "시행규칙", "감독규정", "시행세
 def article_stats(links: DataFrame, documents: DataFrame) -> DataFrame:
     """Per article its documents, by kind, and the latest of their dates."""
     rows = links.select("key", "doc_id").join(documents.select("doc_id", "kind", "published_on"), "doc_id")
-    kinds = {"interpretations": "법령해석", "no_action": "비조치의견서", "guidance": "행정지도", "notices": "입법예고"}
-    counts = [F.count_distinct(F.when(F.col("kind") == k, F.col("doc_id"))).alias(n) for n, k in kinds.items()]
-    return rows.groupBy("key").agg(F.count_distinct("doc_id").alias("total"), *counts, F.max("published_on").alias("latest_on"))
+    # The kinds of documents that each count takes.
+    kinds = {"interpretations": ["법령해석"], "no_action": ["비조치의견"], "guidance": ["행정지도"], "notices": ["입법예고", "규정변경예고"]}
+    # One row for each article and document first, so that plain counts do instead of distinct ones.
+    once = rows.groupBy("key", "doc_id").agg(F.first("kind").alias("kind"), F.max("published_on").alias("published_on"))
+    counts = [F.count_if(F.col("kind").isin(k)).alias(n) for n, k in kinds.items()]
+    return once.groupBy("key").agg(F.count("*").alias("total"), *counts, F.max("published_on").alias("latest_on"))
 
 
 def law_list(tables: dict[str, DataFrame]) -> DataFrame:
@@ -41,17 +44,49 @@ def contents(tables: dict[str, DataFrame], slug: str) -> DataFrame:
     return rows.join(tables["stats"].select("key", "total"), "key", "left").select("key", "no", "title", "chapter", "run", "order", F.coalesce("total", F.lit(0)).alias("total")).orderBy("order")
 
 
+def article_documents(tables: dict[str, DataFrame], keys: DataFrame) -> DataFrame:
+    """Per article of keys (key) and document: the greatest confidence, the evidence, the paragraphs above 0 (null without any)."""
+    links = tables["links"].join(keys, "key", "left_semi")
+    paragraphs = F.array_sort(F.collect_set(F.when(F.col("paragraph") > 0, F.col("paragraph"))))
+    per = links.groupBy("key", "doc_id").agg(F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("evidence")).alias("evidence"), paragraphs.alias("paragraphs"))
+    return per.withColumn("paragraphs", F.when(F.size("paragraphs") > 0, F.col("paragraphs")))
+
+
+def delegated(tables: dict[str, DataFrame], start: str, end: str) -> DataFrame:
+    """Delegations with the label, title and law of their other end."""
+    laws = tables["laws"].select("slug", F.col("name").alias("law_name"), F.col("kind").alias("law_kind"))
+    ends = tables["articles"].select(F.col("key").alias(end), "slug", "label", "title").join(laws, "slug")
+    return tables["delegations"].join(ends, end).select(start, F.col(end).alias("key"), "label", "title", "law_name", "law_kind", "origin")
+
+
+def related_events(tables: dict[str, DataFrame], keys: DataFrame, n: int = 10) -> DataFrame:
+    """The latest events of each article of keys (key), its own and those of documents that cite it."""
+    events = tables["events"].select("occurred_on", "kind", "title", "doc_id", F.col("key").alias("own"), "dedupe_key")
+    direct = events.join(keys, F.col("own") == F.col("key")).select("key", "occurred_on", "kind", "title", "doc_id", "dedupe_key")
+    cited = tables["links"].join(keys, "key", "left_semi").select("key", "doc_id").distinct()
+    through = events.join(cited, "doc_id").select("key", "occurred_on", "kind", "title", "doc_id", "dedupe_key")
+    both = direct.unionByName(through).dropDuplicates(["key", "dedupe_key"])
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("occurred_on"), "dedupe_key"))
+    return both.withColumn("place", place).where(F.col("place") <= n)
+
+
 def article_card(tables: dict[str, DataFrame], key: str, as_of: Column) -> dict[str, DataFrame]:
-    """An article's versions, delegations both ways, documents and neighbours."""
+    """All of an article: itself with its law, versions, delegations both ways, documents, figures, events and neighbours.
+
+    An unknown key gives an empty ``article``.
+    """
     own = F.col("key") == key
-    versions = tables["versions"].where(own)
-    cited = tables["links"].where(own).groupBy("doc_id").agg(F.array_sort(F.collect_set("paragraph")).alias("paragraphs"), F.max("confidence").alias("confidence"))
-    return {
-        "current": windows.current_and_pending(versions, "key", "effective_from", "body", as_of), "history": versions.orderBy(F.desc("effective_from")),
-        "delegates_to": tables["delegations"].where(F.col("from_key") == key), "delegated_from": tables["delegations"].where(F.col("to_key") == key),
-        "documents": cited.join(tables["documents"], "doc_id").orderBy(F.col("published_on").desc_nulls_first(), "doc_id"), "stats": tables["stats"].where(own),
+    versions, one = tables["versions"].where(own), tables["articles"].where(own).select("key")
+    laws = tables["laws"].select("slug", F.col("name").alias("law_name"), F.col("kind").alias("law_kind"), F.col("parent").alias("law_parent"))
+    docs = tables["documents"].select(F.col("id").alias("doc_id"), *[c for c in ("kind", "title", "org", "dept", "published_on", "stage", "valid_from", "valid_to") if c in tables["documents"].columns])
+    out = {
+        "article": tables["articles"].where(own).join(laws, "slug"), "current": windows.current_and_pending(versions, "key", "effective_from", "body", as_of),
+        "history": windows.close_intervals(versions, "key", "effective_from").select("effective_from", "effective_to").orderBy("effective_from"),
+        "delegates_to": delegated(tables, "from_key", "to_key").where(F.col("from_key") == key), "delegated_from": delegated(tables, "to_key", "from_key").where(F.col("to_key") == key),
+        "documents": article_documents(tables, one).join(docs, "doc_id").orderBy(F.col("published_on").desc_nulls_first(), "doc_id"), "stats": tables["stats"].where(own),
         "neighbours": windows.neighbours(tables["articles"].where(F.col("slug") == key.split(":")[0]).withColumn("order", T.natural_order(F.col("no"))), "slug", ["order"], "key").where(own),
     }
+    return out | ({"events": related_events(tables, one)} if "events" in tables else {})
 
 
 def document_card(tables: dict[str, DataFrame], doc_id: str, related: int = 6) -> dict[str, DataFrame]:
@@ -60,7 +95,7 @@ def document_card(tables: dict[str, DataFrame], doc_id: str, related: int = 6) -
     keys = links.select("key").distinct()
     near = tables["links"].join(keys, "key", "left_semi").select("doc_id", "key", "paragraph", F.col("key").alias("label"))
     return {
-        "document": tables["documents"].where(F.col("doc_id") == doc_id), "links": links.join(tables["articles"].select("key", "slug", "title"), "key").join(F.broadcast(tables["laws"].select("slug", "name")), "slug"),
+        "document": tables["documents"].where(F.col("doc_id") == doc_id), "links": links.join(tables["articles"].select("key", "slug", "title"), "key").join(tables["laws"].select("slug", "name"), "slug"),
         "related": joins.cooccurrence(near, "doc_id", "key", related, "label").where(F.col("doc_id") == doc_id),
     }
 
@@ -80,11 +115,11 @@ def inferred_delegations(links: DataFrame, laws: DataFrame, official: DataFrame,
     # The level of each kind of law.
     level = F.coalesce(F.create_map(*[F.lit(x) for kv in {"법률": 0, "시행령": 1, "시행규칙": 2, "감독규정": 3, "고시": 3, "시행세칙": 4}.items() for x in kv])[F.col("kind")], F.lit(9))
     dims = laws.select("slug", F.coalesce("parent", "slug").alias("root"), level.alias("level"), "kind")
-    lower = links.join(F.broadcast(dims), "slug")
+    lower = links.join(dims, "slug")
     upper = dims.select(F.col("slug").alias("target"), F.col("root").alias("r"), F.col("level").alias("l"))
-    rows = lower.join(F.broadcast(upper), "target").where("root = r AND l < level").select("from_key", F.col("key").alias("to_key"), "root", "kind").distinct()
+    rows = lower.join(upper, "target").where("root = r AND l < level").select("from_key", F.col("key").alias("to_key"), "root", "kind").distinct()
     sized = rows.groupBy("from_key").agg(F.count_distinct("to_key").alias("n")).where(F.col("n") <= most)
     rows = rows.join(sized, "from_key", "left_semi")
     known = official.select("root").distinct().withColumn("_official", F.lit(True))
-    kept = rows.join(F.broadcast(known), "root", "left").where(F.col("_official").isNull() | ~F.col("kind").isin("시행령", "시행규칙"))
+    kept = rows.join(known, "root", "left").where(F.col("_official").isNull() | ~F.col("kind").isin("시행령", "시행규칙"))
     return kept.select(F.col("to_key").alias("from_key"), F.col("from_key").alias("to_key"))

@@ -88,6 +88,31 @@ def prune(keys: DataFrame, tables: dict[str, tuple[DataFrame, str]]) -> dict[str
     return {name: df.join(keys.select(F.col(keys.columns[0]).alias(column)), column, "left_semi") for name, (df, column) in tables.items()}
 
 
+def prune_laws(laws: DataFrame, scope: DataFrame, tables: dict[str, DataFrame], raw: DataFrame) -> dict[str, DataFrame]:
+    """All tables without the laws out of scope (slug), and raw with their statutes unmarked, so that they can be parsed again.
+
+    tables: articles (key, slug), versions and links (key), delegations
+    (from_key, to_key), documents (primary_law), events (law_slug, key).
+    """
+    kept = laws.join(scope.select("slug").distinct(), "slug", "left_semi")
+    gone = laws.join(scope.select("slug"), "slug", "left_anti").select("slug")
+    articles = tables["articles"].join(kept.select("slug"), "slug", "left_semi")
+    keys = articles.select("key")
+    has = lambda df, column: df.join(keys.select(F.col("key").alias(column)), column, "left_semi")
+    lost = gone.withColumn("lost", F.lit(True))
+    flag = lambda df, column, names: df.join(lost.withColumnRenamed("slug", column), column, "left").select(*names, "lost")
+    docs = flag(tables["documents"], "primary_law", tables["documents"].columns)
+    out = {"laws": kept, "articles": articles, "versions": has(tables["versions"], "key"), "links": has(tables["links"], "key"), "delegations": has(has(tables["delegations"], "from_key"), "to_key")}
+    out["documents"] = docs.withColumn("primary_law", F.when(F.col("lost").isNull(), F.col("primary_law"))).drop("lost")
+    events = tables["events"].join(gone.withColumnRenamed("slug", "law_slug"), "law_slug", "left_anti")
+    dead = tables["articles"].join(gone, "slug", "left_semi").select("key")
+    out["events"] = events.join(dead, "key", "left_anti").select(*tables["events"].columns)
+    slug = F.when(F.col("source").isin("lawgo.law", "lawgo.admrul"), F.split_part("source_key", F.lit(":"), F.lit(1)))
+    marked = flag(raw.withColumn("slug_", slug), "slug_", raw.columns)
+    out["raw"] = marked.withColumn("parsed_at", F.when(F.col("lost").isNull(), F.col("parsed_at"))).drop("lost")
+    return out
+
+
 def swap(state: DataFrame, path: str) -> None:
     """Write the state as a new version under path and make it current.
 
