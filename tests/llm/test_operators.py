@@ -360,6 +360,9 @@ def test_neighbours(spark):
     assert [i for i, _ in found[0]] == [100, 101, 102, 103, 104] and [i for i, _ in found[100]] == [0, 101, 102, 103, 104]
     assert curves.nearest(df.limit(0)).count() == 0
     assert curves.nearest(df.limit(3)).count() == 2
+    # Each length is searched by itself; one long vector does not remove the others.
+    mixed = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (50, [0.0, 2.0]), (100, [1.0] * 9), (150, [1.0, 2.0, 3.0]), (2, [3.0, 2.0, 1.0])], "vec_id long, embedding array<float>")
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in curves.nearest(mixed).collect()) == [(0, 1, 1), (0, 2, 50), (50, 1, 1), (50, 2, 0), (150, 1, 2)]
 
 
 def test_neighbours_in_a_group_of_multiples_and_near_copies(spark):
@@ -428,6 +431,17 @@ def test_mixture_does_not_depend_on_the_words_that_tasks_hold(spark, monkeypatch
     assert abs(models[0].spelled - models[1].spelled) < 1e-9
 
 
+def test_long_texts_train_too(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(attention_lm.Attention, "train", lambda *_: None)
+    keep = attention_lm.choose_units
+    monkeypatch.setattr(attention_lm, "choose_units", lambda words, *a: seen.append(words) or keep(words, *a))
+    rows = spark.createDataFrame([(k, f"word{k} " * 400) for k in range(12)] + [(None, None), (20, "")], "doc_id long, text string")
+    attention_lm.fit(rows, attention_lm.count_words(rows), BPE, RANKS, most=50)
+    whole = {f"word{k}".encode() for k in range(12) if zlib.crc32(str(k).encode()) % 5 != 1}
+    assert whole <= set(seen[0]) and all(n <= 10 for n in seen[0].values())
+
+
 def test_attention_scores_are_probabilities():
     words = {w.encode(): 5 for w in ["the", "then", "there", "other", "a"]}
     spelling = attention_lm.choose_units(words, BPE, RANKS, most=5)
@@ -471,3 +485,25 @@ def test_film_rows(docs, texts):
     steps = np.zeros((20, 16))
     steps[:10, 0] = steps[10:, 9] = 5
     assert avi.shots(steps).tolist() == [0, 10] and avi.shots(steps[9:]).tolist() == [0, 1]
+
+
+def test_empty_tables_give_empty_results(docs, labels):
+    none, no_labels = docs.limit(0), labels.limit(0)
+    for got in (
+        bpe.digest(none, RANKS), best_fit.pack(none, BPE), near_dup.near_duplicates(none), suffix_dedup.digests(none), toxicity.toxic_scores(none, no_labels), binary_rows.rows(none, BPE),
+        attention_lm.scores(none, BPE, RANKS), quality.quality_scores(none, no_labels), avi.digests(none), near_dup.keep_one(none), suffix_dedup.without_repeats(none, 220, words=51),
+    ):
+        assert got.count() == 0
+
+
+def test_a_very_long_text(spark):
+    """Two megabytes in a row, with words, without blanks, and one byte over and over, beside short rows."""
+    words = passage(40, 20_000)
+    made = [(0, words * 14), (1, "x" * 2_000_000), (2, "".join(passage(41, 30_000).split()) * 16), (3, "short"), (4, None)]
+    table = spark.createDataFrame(made, "doc_id long, text string").coalesce(1)
+    sizes = {k: len((t or "").encode()) for k, t in made}
+    got = {r.doc_id: r for r in bpe.digest(table, RANKS).collect()}
+    assert all(got[k].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest() for k, t in made)
+    assert {r.doc_id: r.n_bytes for r in suffix_dedup.digests(table).collect()} == sizes
+    assert sum(r.length for r in best_fit.pack(table, BPE).collect() if r.doc_id == 0) == len(tokens.matches(BPE).encode_array(pa.array([made[0][1]]))[0]) + 1
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(table).collect()} == {k: k for k in sizes}

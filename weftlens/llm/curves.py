@@ -10,6 +10,7 @@ window lose nothing and merge by it. Windows widen with the table.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -65,13 +66,10 @@ def _unit(column: pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) of the rows that take part: no null, no null or non-finite component, not zero, and
-    of the greatest length that occurs."""
+    """(vec_id, embedding) of the rows that take part: no null, no null or non-finite component, and not zero."""
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    good = good.where(~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0))
-    longest = good.agg(F.max(F.size("embedding"))).first()[0] or 0
-    return good.where(F.size("embedding") == longest)
+    return good.where(~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0))
 
 
 def _keyed(groups: DataFrame, curves: int) -> DataFrame:
@@ -196,12 +194,20 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = CURVE
     """(query_id, rank, vec_id, score): the k rows of largest cosine found for each row whose vec_id ``every`` divides.
 
     Ties go to the smaller vec_id. A row is no neighbour of itself; repeated
-    rows count once; rows that usable() leaves out take no part. ``window`` is the
-    least width; from ``share`` of the table on it grows in proportion to the rows.
+    rows count once; rows that usable() leaves out take no part. Vectors of
+    different lengths have no cosine: each length that occurs is searched by
+    itself. ``window`` is the least width; from ``share`` of the table on it
+    grows in proportion to the rows. An empty table gives an empty one.
     """
     rows, kind = usable(vectors), "f4"
     if rows.schema["embedding"].dataType.elementType.typeName() != "float":
         rows, kind = rows.withColumn("embedding", F.col("embedding").cast("array<double>")), "f8"
+    lengths = sorted(r[0] for r in rows.groupBy(F.size("embedding")).count().where("count > 1").collect())
+    found = [_nearest(rows.where(F.size("embedding") == n), kind, every, k, curves, window, share) for n in lengths]
+    return reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _nearest(rows: DataFrame, kind: str, every: int, k: int, curves: int, window: int, share: float) -> DataFrame:
     rows = rows.dropDuplicates(["vec_id", "embedding"])
     # Multiples of a vector have cosine 1 with it and are one group: components by the largest, without negative zeros.
     top = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
