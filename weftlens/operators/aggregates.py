@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 
 def entity_stats(facts: DataFrame, key: str, entity: str, kinds: dict[str, Column], latest: str) -> DataFrame:
-    """Per key: distinct entities, distinct entities of each kind, and the latest date."""
-    counts = [F.count_distinct(F.when(cond, F.col(entity))).alias(name) for name, cond in kinds.items()]
-    return facts.groupBy(key).agg(F.count_distinct(entity).alias("total"), *counts, F.max(latest).alias("latest_on"))
+    """Per key: distinct entities, distinct entities of each kind, and the latest date.
+
+    One row for each key and entity comes first, with partial results, so that
+    plain counts do and no row is expanded for each distinct count.
+    """
+    once = facts.groupBy(key, entity).agg(*[F.bool_or(F.coalesce(cond, F.lit(False))).alias(name) for name, cond in kinds.items()], F.max(latest).alias("latest_on"))
+    counts = [F.count_if(F.col(name) & F.col(entity).isNotNull()).alias(name) for name in kinds]
+    return once.groupBy(key).agg(F.count(entity).alias("total"), *counts, F.max("latest_on").alias("latest_on"))
 
 
 def yearly_split(rows: DataFrame, date: str, kinds: dict[str, Column]) -> DataFrame:

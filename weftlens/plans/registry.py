@@ -28,7 +28,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from weftlens.plans import golden, relational, service, textual  # noqa: F401
+    from weftlens.plans import demo, golden, relational, service, textual  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

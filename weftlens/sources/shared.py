@@ -16,10 +16,12 @@ _LOCAL: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder; one of our own only where the session names none (tests)."""
+    """The shared folder; one of our own only where the session names none and runs on this machine alone (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="weftlens-"))
     return f"file://{_LOCAL[0]}"
