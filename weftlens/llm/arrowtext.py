@@ -65,7 +65,7 @@ def buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def pieces(batches, limit: int = 1 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+def pieces(batches, limit: int = 1 << 19, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``limit`` bytes of text each, one row at least."""
     for batch in batches:
         if batch.num_rows == 0:

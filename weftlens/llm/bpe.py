@@ -71,6 +71,8 @@ def match_starts(cp: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
     return start
 
 
+#: Matches that a task keeps, with ten times as many ids and characters at most: some 100 MB.
+ENTRIES = 500_000
 #: Bytes of text that are cut into matches at once.
 BLOCK = 8 << 20
 
@@ -215,11 +217,11 @@ class MatchTable:
         self._slot = np.zeros(1 << 20, np.int32)
         self._rest: dict[int, int] = {}
         self._ids = np.zeros(1 << 16, np.uint32)
-        self._at, self._count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self._at, self._count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self._entries = self._used = 0
         # The characters behind each entry, and matches whose hash another one has.
         self._spans, self._held = np.zeros(1 << 18, np.uint32), 0
-        self._from, self._size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self._from, self._size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self._twins: dict[str | bytes, int] = {}
 
     def _add(self, ids: list[int], span: np.ndarray) -> int:
@@ -241,7 +243,7 @@ class MatchTable:
         """Which matches are not what stands behind their entry."""
         size = ends - starts
         wrong = self._size[entry] != size
-        size = np.where(wrong, 0, size)
+        size = np.where(wrong, 0, size).astype(np.int64)
         same = values[at.ranges(starts, size)] == self._spans[at.ranges(self._from[entry], size)]
         if not same.all():
             wrong[np.repeat(np.arange(len(size)), size)[~same]] = True
@@ -249,7 +251,7 @@ class MatchTable:
 
     def entries(self, text: str | bytes, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The table's entry for each match text[start:end]; values: the code points or bytes of text."""
-        if self._entries > 1_500_000 or self._used > 12_000_000 or self._held > 8_000_000:
+        if self._entries > ENTRIES or self._used > 10 * ENTRIES or self._held > 10 * ENTRIES:
             self._empty()
         slots = (hashes >> at.U64(44)).astype(np.int64)
         out = self._slot[slots].astype(np.int64)

@@ -11,6 +11,9 @@ import pyarrow as pa
 
 from weftlens.llm.bpe import MatchTable
 
+#: Matches that the library encodes at once.
+SLICE = 4000
+
 
 @cache
 def matches(path: str) -> MatchTable:
@@ -25,7 +28,13 @@ def matches(path: str) -> MatchTable:
 
     coder = Tokenizer.from_file(path)
     coder.encode_special_tokens = True
-    return MatchTable(lambda words: [x.ids for x in coder.encode_batch_fast(words, add_special_tokens=False)])
+
+    def encode(words: list[str]) -> list[list[int]]:
+        # In slices: what the library returns for a word takes far more room than its ids.
+        slices = (words[k : k + SLICE] for k in range(0, len(words), SLICE))
+        return [x.ids for part in slices for x in coder.encode_batch_fast(part, add_special_tokens=False)]
+
+    return MatchTable(encode)
 
 
 def with_end(path: str, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
