@@ -254,18 +254,6 @@ def test_suffix_arrays_equal_brute_force(docs, texts, monkeypatch):
     assert set(starts.values()) == {1} and set(starts) == {(d, i) for d, t in enumerate(texts) for i in range(len((t or "").encode()) - 399)}
 
 
-def test_passages_are_told_apart_from_the_contracts_strings(spark):
-    shared = [passage(70 + k, 53) for k in range(3)]
-    made = [passage(500 + k, 40) + " " + shared[k % 3] + " " + passage(600 + k, 40) for k in range(6)] + [passage(700, 150)]
-    rows = list(enumerate(made))
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {len(s.encode()) < 400 for s in shared} == {True}
-    cut = {r.doc_id: r.text for r in suffix_dedup.without_repeats(table, 220, words=51).collect()}
-    for r in suffix_dedup.digests(table).collect():
-        assert r.n_removed == 0 and r.n_passages == (r.doc_id < 6) and (r.n_passage_bytes >= len(shared[r.doc_id % 3])) == (r.doc_id < 6)
-        assert r.n_bytes - r.n_passage_bytes == len(cut[r.doc_id].encode()) and (r.doc_id > 5 or shared[r.doc_id % 3][5:-5] not in cut[r.doc_id])
-
-
 def test_shards_of_a_hot_gram_merge(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SHARD_REGIONS", 2)
     shared = passage(7, 90)

@@ -369,37 +369,28 @@ def _rest(data, gone: list[tuple[int, int]]) -> bytes:
     return b"".join(bytes(data[s:e]) for s, e in zip(edges[::2], edges[1::2], strict=True))
 
 
-def digests(docs: DataFrame, length: int = 400, passage: int = 220, words: int = 51) -> DataFrame:
+def digests(docs: DataFrame, length: int = 400) -> DataFrame:
     """Per document the bytes that stand in a repeated string of ``length`` bytes, and what is left.
 
-    Also n_passages and n_passage_bytes: what without_repeats(docs, passage,
-    words=words) would cut, whole passages of so many words that need not have
-    ``length`` bytes. Reads ``doc_id`` and ``text``; null text is empty; rows
-    equal in id and text count as documents of their own, so their strings
-    repeat; an empty table gives an empty one.
+    Reads ``doc_id`` and ``text``; null text is empty; rows equal in id and
+    text count as documents of their own, so their strings repeat; an empty
+    table gives an empty one.
     """
     keyed = _keyed(docs)
-    short = repeated(keyed, passage)
-    # A repeated string of ``length`` bytes begins with that many repeated ones of ``passage`` bytes, one after the other.
-    runs_of = F.aggregate(F.flatten(F.transform("starts", lambda x: x["spans"])), F.lit(0).cast("long"), lambda n, x: n + x["n"])
-    likely = short.where(runs_of > length - passage).select("row")
-    long = repeated(keyed.join(likely, "row", "left_semi"), length)
-    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes"]
-    both = keyed.join(short.withColumnRenamed("starts", "short"), "row", "left").join(long.withColumnRenamed("starts", "long"), "row", "left").select("doc_id", "text", "long", "short")
+    both = keyed.join(repeated(keyed, length), "row", "left").select("doc_id", "text", "starts")
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def work(batches):
         for batch in at.pieces(batches):
             raw, offs = at.buffers(batch.column(1))
             out: list[list] = [[] for _ in names]
-            for s, e, far, near in zip(offs.tolist(), offs[1:].tolist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=False):
-                data = memoryview(raw[s:e])
-                gone, passages = _covered(far, length), _passages(bytes(data) if near else b"", near, passage, words)
-                told = (e - s, sum(b - a for a, b in gone), len(gone), hashlib.sha256(_rest(data, gone)).hexdigest(), len(passages), sum(b - a for a, b in passages))
-                for column, x in zip(out, told, strict=True):
+            for s, e, starts in zip(offs.tolist(), offs[1:].tolist(), batch.column(2).to_pylist(), strict=False):
+                data, gone = memoryview(raw[s:e]), _covered(starts, length)
+                for column, x in zip(out, (e - s, sum(b - a for a, b in gone), len(gone), hashlib.sha256(_rest(data, gone)).hexdigest()), strict=True):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string() if name == "kept_sha256" else pa.int64()) for name, x in zip(names, out, strict=True))], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out[:3], [pa.int64()] * 3), pa.array(out[3], pa.string())], names=["doc_id", *names])
 
-    return both.mapInArrow(work, StructType([docs.schema["doc_id"], *StructType.fromDDL(", ".join(f"{name} {'string' if name == 'kept_sha256' else 'long'}" for name in names))]))
+    return both.mapInArrow(work, StructType([docs.schema["doc_id"], *StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string")]))
 
 
 def _whole_words(data: bytes, s: int, e: int) -> int:
