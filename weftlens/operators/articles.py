@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftlens.functions import statute
 from weftlens.functions import text as T
 from weftlens.operators import windows
+from weftlens.sources import shared
 
 # How headings, articles, addenda and pending dates are written.
 ARTICLE = T.ARTICLE_LINE
@@ -111,7 +112,8 @@ def parse_laws(raw: DataFrame, state: DataFrame, laws: DataFrame, today: date) -
     before = found.where("future").select("key", F.col("effective_from").alias("at")).distinct().join(told, "key").where(F.col("effective_from") < F.col("at"))
     before = before.groupBy("key", "at").agg(F.max_by("body", "effective_from").alias("prior")).withColumnRenamed("at", "effective_from")
     found = found.join(before, ["key", "effective_from"], "left").where(~F.col("future") | F.col("prior").isNull() | (T.substance(F.col("prior")) != T.substance(F.col("body"))))
-    found = found.withColumn("pending", F.col("future") | F.col("pending_from").isNotNull())
+    # Versions, outcomes and events all begin here; the payloads are cut into articles once.
+    found = shared.store(found.withColumn("pending", F.col("future") | F.col("pending_from").isNotNull()), "parsed")
     after, outcomes = upsert_versions(state, found.select("key", "effective_from", "title", "body", "source_seq"))
     had = state.select("key").distinct().withColumn("had", F.lit(True))
     one = found.groupBy("key", "effective_from").agg(F.max_by(F.struct("slug", "name", "label", "title", "pending", "via", "was_api"), "source_seq").alias("a")).select("key", "effective_from", "a.*")

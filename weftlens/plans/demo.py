@@ -39,14 +39,14 @@ def run(raw: DataFrame, documents: DataFrame, laws: DataFrame, today: dt.date) -
     found = shared.store(found.withColumn("label", T.article_label(F.col("no"))).withColumn("ord", T.natural_order(F.col("no"))), "articles")
     texts = documents.select(F.col("id").alias("doc_id"), F.array("title", "question").alias("segments"), F.lit(None).cast("string").alias("hint_law"), F.lit(None).cast("string").alias("fallback_law"))
     cited = citations.resolve(texts, laws, found.select("slug", "no", "title"))
-    links = cited["links"].withColumn("key", F.concat_ws(":", "slug", "no")).withColumn("reviewed", F.lit(False))
+    links = shared.store(cited["links"], "cited").withColumn("key", F.concat_ws(":", "slug", "no")).withColumn("reviewed", F.lit(False))
     kept, lost = store.replace_per_key(links.limit(0), links, "doc_id", "reviewed", "key", found.select("key"), evidence="evidence")
     kept = shared.store(kept, "links")
     unresolved = cited["unresolved"].unionByName(lost.select("doc_id", F.col("evidence").alias("raw"), "reason")).distinct()
     docs = documents.join(cited["primary"].select(F.col("doc_id").alias("id"), F.col("primary").alias("primary_law")), "id", "left")
     bodies = versions.where(F.col("effective_from") <= as_of).groupBy("key").agg(F.max_by("body", "effective_from").alias("body")).withColumn("slug", F.split("key", ":")[0])
     own = bodies.select(F.col("key").alias("doc_id"), F.array("body").alias("segments"), F.col("slug").alias("hint_law"), F.lit(None).cast("string").alias("fallback_law"))
-    upper = citations.resolve(own, laws, found.select("slug", "no", "title"))["links"]
+    upper = shared.store(citations.resolve(own, laws, found.select("slug", "no", "title"))["links"], "upper")
     upper = upper.select(F.col("doc_id").alias("from_key"), F.split("doc_id", ":")[0].alias("slug"), F.concat_ws(":", "slug", "no").alias("key"), F.col("slug").alias("target"))
     none = laws.select(F.col("slug").alias("root")).limit(0)
     news = events.document_events(docs, as_of).withColumn("key", F.lit(None).cast("string"))
