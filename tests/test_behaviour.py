@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftlens.functions import text as T
 from weftlens.functions import trigram
 from weftlens.functions.diff import differences
-from weftlens.operators import articles, joins
+from weftlens.operators import articles, citations, joins
 from weftlens.sources import landing, store
 from weftlens.streaming import incremental
 
@@ -124,6 +124,41 @@ def test_expansion_keeps_directions_apart(spark):
     assert {tuple(r) for r in found.collect()} == {("b", "d"), ("d", "a"), ("a", "b"), ("z", "a")}
 
 
+def test_a_row_that_is_missing_has_a_name(spark):
+    assert joins.only(spark.range(1), "article").id == 0
+    with pytest.raises(LookupError, match="article"):
+        joins.only(spark.range(0), "article")
+
+
+def test_duplicate_laws_and_articles_do_not_stop_resolution(spark):
+    laws = spark.createDataFrame([("a", "가나금융업법", "법률", None, []), ("a", "가나금융업법", "법률", None, []), ("x", "가나 시행령", "시행령", "a", []), ("y", "가나 시행령 둘", "시행령", "a", [])], "slug string, name string, kind string, parent string, aliases array<string>")
+    known = spark.createDataFrame([("a", "1", "가"), ("a", "1", None), ("y", "2", None)], "slug string, no string, title string")
+    docs = spark.createDataFrame([(1, ["「가나금융업법」 제1조와 같은 법 시행령 제2조"], None, None), (2, None, None, None), (3, [], None, None), (4, [None, "조"], None, None)], "doc_id long, segments array<string>, hint_law string, fallback_law string")
+    got = citations.resolve(docs, laws, known)
+    assert sorted((r.doc_id, r.slug, r.no, r.method) for r in got["links"].collect()) == [(1, "a", "1", "explicit"), (1, "y", "2", "same_law")]
+    assert {r.doc_id for r in got["primary"].collect()} == {1, 2, 3, 4}
+
+
+def test_lines_of_articles_read_back_the_same(spark):
+    lines = ["제1장 총칙", "제1조(가) 하나", "1. 호", "제2장 둘", "제2조(나) 둘", "[시행일: 2026. 12. 17.] 제2조"]
+    found = articles.split_articles(spark.createDataFrame([(1, lines)], "doc_id long, lines array<string>"))
+    back = articles.snapshot_lines(found)
+    assert back.first().lines == lines
+    again = articles.split_articles(back)
+    assert {tuple(r) for r in again.drop("place").collect()} == {tuple(r) for r in found.drop("place").collect()}
+
+
+def test_a_query_that_cites_jumps_to_the_article(spark):
+    from weftlens.operators import search
+
+    t = {
+        "laws": spark.createDataFrame([("a", "가나금융업법", "법률", None, ["가나법"])], "slug string, name string, kind string, parent string, aliases array<string>"),
+        "articles": spark.createDataFrame([("a:2", "a", "2", "제2조", "정의"), ("a:3", "a", "3", "제3조", "허가")], "key string, slug string, no string, label string, title string"),
+    }
+    assert [r.key for r in search.jump(t, "가나법 제3조").collect()] == ["a:3"]
+    assert search.jump(t, "가나법 정의").count() == search.jump(t, "모르는법 제3조").count() == 0
+
+
 def test_cooccurrence_takes_every_line(spark, monkeypatch):
     import random
     from collections import Counter, defaultdict

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 
@@ -57,3 +57,11 @@ def expand(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
             frontier = step.select(F.col(far).alias("node")).distinct().join(seen, "node", "left_anti")
             seen = seen.unionByName(frontier)
     return found.distinct()
+
+
+def only(rows: DataFrame, what: str) -> Row:
+    """The one row that rows should have; a LookupError that names it where there is none."""
+    found = rows.head(1)
+    if not found:
+        raise LookupError(f"no such {what}")
+    return found[0]
