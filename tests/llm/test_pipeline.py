@@ -55,7 +55,7 @@ def test_stages_take_odd_rows_and_empty_tables(spark, tmp_path):
     rows = [(1, text, "en", "s", 5), (1, text, "en", "s", 5), (2, text, None, None, None), (3, None, "en", "s", None), (4, "", None, "s", 0), (None, "no id at all", "en", None, 3), (None, None, None, None, None), (5, "x" * 300_000, "en", "s", 300_000)]
     schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
     docs = spark.createDataFrame([(*r, *(f"{c}{k}" for c in extra)) for k, r in enumerate(rows)], schema)
-    spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         got = stage(spark, docs, str(tmp_path))
         assert got.columns == docs.columns and stage(spark, docs.limit(0), str(tmp_path)).count() == 0

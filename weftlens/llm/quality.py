@@ -181,7 +181,7 @@ def _vectors(rows: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, pool: int = 4000, most_bytes: int = 1 << 20) -> Model | None:
     """A model from at most ``per_class`` labelled documents of each class outside the
-    held-out fold and ``pool`` unlabelled ones; None without labels of both classes."""
+    held-out fold and ``pool`` unlabelled ones; None without labels of both classes, as in an empty table."""
     known = labelled.sample(docs, labels, "quality", per_class, COLUMNS[1:], most_bytes)
     ids = labels.where(F.col("quality").isNotNull()).select("doc_id").distinct()
     few = docs.select("doc_id").where(F.xxhash64("doc_id", F.lit(9)).isNotNull()).orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(2 * pool)
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, pool: int = 4
     unlabelled = docs.select("doc_id", *COLUMNS).join(F.broadcast(chosen), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
     rows = _vectors(known).unionByName(_vectors(unlabelled.dropDuplicates(["doc_id"]).withColumn("_label", F.lit(None).cast("int")))).toArrow()
     y = rows["label"].fill_null(-1).to_numpy().astype(np.int64)
-    views = [rows[name].combine_chunks().flatten().to_numpy().reshape(len(y), -1) for name in ("text_view", "page_view")]
+    views = [rows[name].combine_chunks().flatten().to_numpy().reshape(len(y), n) for name, n in (("text_view", N_TEXT), ("page_view", N_PAGE))]
     order = np.lexsort((views[0][:, 0] if len(y) else y, y))  # the same order on any cluster
     y, views = y[order], [v[order] for v in views]
     has = y >= 0

@@ -214,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_bytes: i
     each step's batch, and never a text. An empty table, or labels of one class
     only, give the prior.
     """
-    share = labels.where((labelled.fold() != 0) & F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]
+    share = labels.where(F.col("doc_id").isNotNull() & (labelled.fold() != 0) & F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]
     few = scratch.store(labelled.sample(docs, labels, "toxic", per_class, [], most_bytes), "toxic-sample")
     n = few.count()
     batch = min(batch, max(16, n // 12))
