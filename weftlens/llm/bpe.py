@@ -15,7 +15,7 @@ import base64
 import hashlib
 from collections.abc import Callable
 from functools import cache
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import ahocorasick
 import numpy as np
@@ -224,20 +224,27 @@ class MatchTable:
         self._from, self._size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self._twins: dict[str | bytes, int] = {}
 
-    def _add(self, ids: list[int], span: np.ndarray) -> int:
-        k, to, held = self._entries, self._used + len(ids), self._held + len(span)
-        if k == len(self._at):
-            for name in ("_at", "_count", "_from", "_size"):
-                setattr(self, name, np.resize(getattr(self, name), 2 * k))
-        while to > len(self._ids):
-            self._ids = np.resize(self._ids, 2 * len(self._ids))
-        while held > len(self._spans):
-            self._spans = np.resize(self._spans, 2 * len(self._spans))
-        self._ids[self._used : to] = ids
-        self._spans[self._held : held] = span
-        self._at[k], self._count[k], self._from[k], self._size[k] = self._used, len(ids), self._held, len(span)
-        self._entries, self._used, self._held = k + 1, to, held
-        return k
+    def _room(self, name: str, n: int) -> None:
+        """Makes an array of the table hold n numbers at least."""
+        held = getattr(self, name)
+        if n > len(held):
+            setattr(self, name, np.resize(held, max(n, 2 * len(held))))
+
+    def _add(self, ids: list[list[int]], spans: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """New entries of ids, and of the characters behind them, one after the other."""
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        k, to, held = self._entries + len(ids), self._used + int(counts.sum()), self._held + len(spans)
+        for name in ("_at", "_count", "_from", "_size"):
+            self._room(name, k)
+        self._room("_ids", to)
+        self._room("_spans", held)
+        self._ids[self._used : to] = np.fromiter(chain.from_iterable(ids), np.uint32, to - self._used)
+        self._spans[self._held : held] = spans
+        new = slice(self._entries, k)
+        self._at[new], self._count[new] = self._used + np.cumsum(counts) - counts, counts
+        self._from[new], self._size[new] = self._held + np.cumsum(sizes) - sizes, sizes
+        self._entries, self._used, self._held = k, to, held
+        return np.arange(new.start, k)
 
     def _others(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray) -> np.ndarray:
         """Which matches are not what stands behind their entry."""
@@ -261,19 +268,22 @@ class MatchTable:
             where = miss[where]
             got = np.fromiter((self._rest.get(h, -1) for h in found.tolist()), np.int64, len(found))
             new = np.flatnonzero(got < 0)
-            spans = list(zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True))
-            ids = self.encode_many([text[s:e] for s, e in spans])
-            for k, h, slot, x, (s, e) in zip(new.tolist(), found[new].tolist(), slots[where[new]].tolist(), ids, spans, strict=True):
-                got[k] = entry = self._add(x, values[s:e])
-                if self._keys[slot]:
-                    self._rest[h] = entry
-                else:
-                    self._keys[slot], self._slot[slot] = h, entry
+            begin, end = starts[where[new]], ends[where[new]]
+            ids = self.encode_many([text[s:e] for s, e in zip(begin.tolist(), end.tolist(), strict=True)])
+            got[new] = entry = self._add(ids, values[at.ranges(begin, end - begin)], end - begin)
+            # The first new match of a free slot gets it; the rest are kept in a dictionary.
+            slot = slots[where[new]]
+            _, first = np.unique(slot, return_index=True)
+            first = first[self._keys[slot[first]] == 0]
+            self._keys[slot[first]], self._slot[slot[first]] = found[new][first], entry[first]
+            rest = np.ones(len(slot), bool)
+            rest[first] = False
+            self._rest.update(zip(found[new][rest].tolist(), entry[rest].tolist(), strict=True))
             out[miss] = got[back]
         for k in self._others(values, starts, ends, out).tolist():
             match = text[starts[k] : ends[k]]
             if match not in self._twins:
-                self._twins[match] = self._add(self.encode_many([match])[0], values[starts[k] : ends[k]])
+                self._twins[match] = int(self._add(self.encode_many([match]), values[starts[k] : ends[k]], ends[k : k + 1] - starts[k])[0])
             out[k] = self._twins[match]
         return out
 
