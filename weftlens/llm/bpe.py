@@ -71,8 +71,8 @@ def match_starts(cp: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
     return start
 
 
-#: Matches that a task keeps, with ten times as many ids and characters at most: some 100 MB.
-ENTRIES = 500_000
+#: Matches that a task keeps, with ten times as many ids and characters at most: some 250 MB. Far fewer are encoded again and again.
+ENTRIES = 1_500_000
 #: Bytes of text that are cut into matches at once.
 BLOCK = 8 << 20
 
