@@ -303,6 +303,11 @@ class MatchTable:
         place, count = np.concatenate(places), np.concatenate(counts)
         return np.concatenate(ids), count[np.searchsorted(place, offs)]
 
+    def spans(self, cp: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, ends) of the matches of the split pattern, which leave no gap."""
+        starts = np.flatnonzero(match_starts(cp, offs[:-1][offs[1:] > offs[:-1]]))
+        return starts, np.append(starts[1:], len(cp))
+
     def _encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
@@ -310,9 +315,7 @@ class MatchTable:
         cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         if len(cp) != len(raw):
             offs = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offs]
-        filled = offs[:-1][offs[1:] > offs[:-1]]
-        starts = np.flatnonzero(match_starts(cp, filled))
-        ends = np.append(starts[1:], len(cp))
+        starts, ends = self.spans(cp, offs)
         entry = self.entries(text, cp, starts, ends, at.span_hashes(cp, starts, ends))
         counts = self._count[entry]
         ids = self._ids[at.ranges(self._at[entry], counts)]

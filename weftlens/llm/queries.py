@@ -79,8 +79,29 @@ def op10_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of every document for the benchmark's texts, and the rank of the quarter that is drawn."""
+    from weftlens.llm import importance
+
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the 32 leading components, whitened."""
+    from weftlens.llm import whitening
+
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence of 2048 tokens."""
+    from weftlens.llm import cutting_stock
+
+    return cutting_stock.digests(cutting_stock.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_byte_bpe, op2_best_fit, op3_near_duplicates, op4_suffix_dedup, op5_toxicity, op6_token_rows, op7_hilbert_neighbours, op8_attention_lm, op9_quality, op10_avi_media]
+    found = [op1_byte_bpe, op2_best_fit, op3_near_duplicates, op4_suffix_dedup, op5_toxicity, op6_token_rows, op7_hilbert_neighbours, op8_attention_lm, op9_quality, op10_avi_media, op11_importance, op12_whitening, op13_cutting_stock]
     return {f.__name__: f for f in found}
 
 

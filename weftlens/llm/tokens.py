@@ -9,20 +9,15 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-from weftlens.llm.bpe import MatchTable
+from weftlens.llm import arrowtext as at
+from weftlens.llm.bpe import LETTER, OTHER, MatchTable, char_classes
 
 #: Matches that the library encodes at once.
 SLICE = 4000
 
 
-@cache
-def matches(path: str) -> MatchTable:
-    """Column encoder by the ``tokenizers`` library, for a byte-level BPE file. One per process.
-
-    The library is asked for new matches of the split pattern only; the ids of
-    a text are those of its matches, one after the other. Special tokens'
-    strings in a text are ordinary text.
-    """
+def _library(path: str):
+    """The library's encoder of a list of strings, for a file of its own format."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -34,12 +29,59 @@ def matches(path: str) -> MatchTable:
         slices = (words[k : k + SLICE] for k in range(0, len(words), SLICE))
         return [x.ids for part in slices for x in coder.encode_batch_fast(part, add_special_tokens=False)]
 
-    return MatchTable(encode)
+    return encode
+
+
+@cache
+def matches(path: str) -> MatchTable:
+    """Column encoder by the ``tokenizers`` library, for a byte-level BPE file. One per process.
+
+    The library is asked for new matches of the split pattern only; the ids of
+    a text are those of its matches, one after the other. Special tokens'
+    strings in a text are ordinary text.
+    """
+    return MatchTable(_library(path))
+
+
+class WordTable(MatchTable):
+    """Encodes string columns word by word, for a vocabulary that lowers and drops white space.
+
+    Words end at ASCII white space, over which neither normalisation nor a
+    match of the split pattern reaches, and between a letter and a mark that
+    begins a match; all else is left to the library.
+    """
+
+    def spans(self, cp: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        inside = (cp != 32) & ((cp < 9) | (cp > 13))
+        border = np.zeros(len(cp) + 1, bool)
+        border[offs] = True
+        # Letters that every edition of Unicode has; marks that combine with nothing before them and start no contraction.
+        letter = (char_classes()[cp] == LETTER) & ((cp < 0x250) | ((cp >= 0x4E00) & (cp <= 0x9FA5)) | ((cp >= 0xAC00) & (cp <= 0xD7A3)))
+        mark = (cp > 32) & (cp < 127) & (cp != 39) & (char_classes()[cp] == OTHER) | (cp == 0x3001) | (cp == 0x3002)
+        border[1:-1] |= letter[:-1] & mark[1:]
+        left = inside & (border[:-1] | ~np.concatenate([[False], inside[:-1]]))
+        right = inside & (border[1:] | ~np.concatenate([inside[1:], [False]]))
+        return np.flatnonzero(left), np.flatnonzero(right) + 1
+
+    def encode_array(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw, offs = at.buffers(arr)
+        # A-Z before ASCII are lowered here, so that fewer words differ; before anything else they may compose first.
+        upper = (raw >= 65) & (raw <= 90)
+        upper[:-1] &= raw[1:] < 128
+        low = (raw + 32 * upper.astype(np.uint8)).tobytes()
+        column = pa.LargeStringArray.from_buffers(len(offs) - 1, pa.py_buffer(np.ascontiguousarray(offs, np.int64).tobytes()), pa.py_buffer(low))
+        return super().encode_array(column)
+
+
+@cache
+def words(path: str) -> WordTable:
+    """Like matches(), for a BPE file with word ends that drops white space."""
+    return WordTable(_library(path))
 
 
-def with_end(path: str, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+def with_end(path: str, texts: pa.Array, end: int, table=matches) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets): each text's ids and then the end id; null counts as empty."""
-    ids, offs = matches(path).encode_array(texts)
+    ids, offs = table(path).encode_array(texts)
     n = len(texts)
     out = np.full(len(ids) + n, end, np.uint32)
     out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(offs))] = ids
