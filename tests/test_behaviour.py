@@ -139,6 +139,46 @@ def test_duplicate_laws_and_articles_do_not_stop_resolution(spark):
     assert {r.doc_id for r in got["primary"].collect()} == {1, 2, 3, 4}
 
 
+def resolved(spark, *texts):
+    laws = [("a", "가나금융업법", "법률", None, ["가나법"]), ("ad", "가나금융업법 시행령", "시행령", "a", []), ("s", "나라지역발전특별법", "법률", None, [])]
+    laws = spark.createDataFrame(laws, "slug string, name string, kind string, parent string, aliases array<string>")
+    known = spark.createDataFrame([(slug, str(no), None) for slug in ("a", "ad", "s") for no in range(1, 10)], "slug string, no string, title string")
+    docs = spark.createDataFrame([(k, [t], None, "a") for k, t in enumerate(texts)], "doc_id int, segments array<string>, hint_law string, fallback_law string")
+    got = citations.resolve(docs, laws, known)
+    links, lost = ([[] for _ in texts] for _ in range(2))
+    for r in got["links"].orderBy("slug", "no").collect():
+        links[r.doc_id].append((r.slug, r.no, r.method))
+    for r in got["unresolved"].orderBy("raw").collect():
+        lost[r.doc_id].append(r.reason)
+    return list(zip(links, lost, strict=True))
+
+
+def test_laws_with_common_endings_are_laws(spark):
+    """Words such as 특별법 are no law by themselves, but laws may end in them."""
+    found = resolved(
+        spark, "모르는지역균형특별법 제5조", "모르는지역진흥법 제5조", "나라지역발전특별법은 있다 그 제5조를 본다", "새로운현행법 제3조에 따른다", "여러 방법 제3조", "특별법을 본다. 제4조는 다르다",
+        "처리방법은 제2조에 있다", "본법 제2조", "어느 법률 제2조", "새관계법은 있다. 그리고 제3조",
+    )
+    assert found[0] == ([], ["unknown_law"]) and found[1] == ([], ["unknown_law"])
+    assert found[2] == ([("s", "5", "inferred")], [])
+    assert found[3] == ([], ["unknown_law"])
+    assert found[5] == ([("a", "4", "inferred")], []) and found[6] == ([("a", "2", "inferred")], [])
+    assert found[7] == ([("a", "2", "this_law")], [])
+    assert found[8] == ([], ["unknown_law"])
+    assert found[9] == ([], ["unknown_law"])
+
+
+def test_places_of_matches_do_not_depend_on_a_sentinel(spark):
+    from pyspark.sql import functions as F
+
+    from weftlens.functions import text as T
+
+    texts = ["a\u0001b 12 c", "12", "", None, "x1\u0001\u000122", "\U0001f600 7 é 8"]
+    found = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", T.spans(F.col("t"), r"(?:\d)+").alias("x")).orderBy("k").collect()
+    got = [None if r.x is None else [(x.s, x.e, x.m) for x in r.x] for r in found]
+    assert got == [[(4, 6, "12")], [(0, 2, "12")], [], None, [(1, 2, "1"), (4, 6, "22")], [(2, 3, "7"), (6, 7, "8")]]
+
+
 def test_lines_of_articles_read_back_the_same(spark):
     lines = ["제1장 총칙", "제1조(가) 하나", "1. 호", "제2장 둘", "제2조(나) 둘", "[시행일: 2026. 12. 17.] 제2조"]
     found = articles.split_articles(spark.createDataFrame([(1, lines)], "doc_id long, lines array<string>"))

@@ -49,12 +49,12 @@ def test_payloads_become_articles(spark):
 def tables(spark):
     make = spark.createDataFrame
     arts = [("a:1", "a", "1", "x", "c1"), ("a:2", "a", "2", "y", "c1"), ("a:3", "a", "3", "z", "c2"), ("b:1", "b", "1", "w", None)]
-    docs = [("d1", "법령해석", dt.date(2024, 1, 1)), ("d2", "법령해석", None), ("d3", "행정지도", dt.date(2023, 1, 1))]
-    links = [("d1", "a:1", 0, 0.9), ("d1", "a:1", 2, 0.8), ("d2", "a:1", 0, 0.5), ("d3", "a:2", 0, 0.9), ("d2", "a:2", 0, 0.9)]
+    docs = [("d1", "법령해석", "하나", dt.date(2024, 1, 1)), ("d2", "법령해석", "둘", None), ("d3", "행정지도", "셋", dt.date(2023, 1, 1))]
+    links = [("d1", "a:1", 0, 0.9, "e", "explicit"), ("d1", "a:1", 2, 0.8, "f", "abbr"), ("d2", "a:1", 0, 0.5, "e", "title"), ("d3", "a:2", 0, 0.9, "e", "abbr"), ("d2", "a:2", 0, 0.9, "e", "abbr")]
     out = {
-        "laws": make([("a", "가법", "법률", None), ("b", "가법 시행령", "시행령", "a")], "slug string, name string, kind string, parent string"), "articles": make(arts, "key string, slug string, no string, title string, chapter string"),
-        "documents": make(docs, "doc_id string, kind string, published_on date"), "links": make(links, "doc_id string, key string, paragraph int, confidence double"),
-        "versions": make([("a:1", dt.date(2024, 1, 1), "old"), ("a:1", dt.date(2026, 6, 1), "new")], "key string, effective_from date, body string"), "delegations": make([("a:1", "b:1")], "from_key string, to_key string"),
+        "laws": make([("a", "가법", "법률", None), ("b", "가법 시행령", "시행령", "a")], "slug string, name string, kind string, parent string"), "articles": make(arts, "key string, slug string, no string, title string, chapter string").withColumn("label", F.concat(F.lit("제"), "no", F.lit("조"))),
+        "documents": make(docs, "id string, kind string, title string, published_on date"), "links": make(links, "doc_id string, key string, paragraph int, confidence double, evidence string, method string"),
+        "versions": make([("a:1", dt.date(2024, 1, 1), "old"), ("a:1", dt.date(2026, 6, 1), "new")], "key string, effective_from date, body string"), "delegations": make([("a:1", "b:1", "text"), ("a:2", "b:1", "text"), ("b:1", "a:1", "thdcmp")], "from_key string, to_key string, origin string"),
     }
     return out | {"stats": cards.article_stats(out["links"], out["documents"])}
 
@@ -65,13 +65,25 @@ def test_cards(spark):
     assert [(r.key, r.run, r.total) for r in cards.contents(t, "a").collect()] == [("a:1", 1, 2), ("a:2", 1, 2), ("a:3", 2, 0)]
     card = cards.article_card(t, "a:1", F.lit(TODAY))
     assert card["current"].first()[1:] == ("old", "new") and card["neighbours"].first().next == "a:2"
-    assert [(r.doc_id, r.paragraphs) for r in card["documents"].collect()] == [("d2", [0]), ("d1", [0, 2])]
+    assert [(r.doc_id, r.paragraphs, r.title) for r in card["documents"].collect()] == [("d2", None, "둘"), ("d1", [2], "하나")]
+    assert [r.effective_to for r in card["history"].collect()] == [dt.date(2026, 5, 31), None] and [r.key for r in card["delegates_to"].collect()] == ["b:1"]
     doc = cards.document_card(t, "d2")
+    assert doc["document"].first().title == "둘" and doc["links"].count() == 2
     assert sorted((r.other, r.shared) for r in doc["related"].collect()) == [("d1", 2), ("d3", 1)]
-    assert doc["links"].count() == 2
+    lines = {r.key: r for r in cards.article_cards(t, F.lit(TODAY)).collect()}
+    assert (lines["a:1"].current, lines["a:1"].pending, lines["a:1"].documents, lines["a:1"].delegated_from, lines["a:3"].versions, lines["b:1"].previous) == ("old", "new", 2, 1, 0, None)
+
+
+def test_graphs(spark):
+    t = tables(spark)
     graph = cards.article_graph(t, "a:1", 2, 1)
-    assert [tuple(r) for r in graph["edges"].collect()] == [("a:1", "b:1")]
-    assert [(r.doc_id, r.more) for r in graph["documents"].collect()] == [("d2", 1)]
+    assert {(r.id, r.type, r.tier) for r in graph["nodes"].collect()} == {("a:1", "article", 0), ("a:2", "article", 0), ("b:1", "article", 1), ("d2", "document", None)}
+    edges = {(r.src, r.dst, r.type, r.origin, r.method) for r in graph["edges"].collect()}
+    # d2 cites both articles of the graph; a:2 is reached upwards from b:1, which delegates to a:1.
+    assert edges == {("a:1", "b:1", "delegation", "text", None), ("b:1", "a:1", "delegation", "thdcmp", None), ("a:2", "b:1", "delegation", "text", None), ("d2", "a:1", "citation", None, "title"), ("d2", "a:2", "citation", None, "abbr")}
+    assert [tuple(r) for r in graph["more"].collect()] == [("a:1", "법령해석", 1)]
+    both = cards.article_graphs(t, spark.createDataFrame([("a:1",), ("a:3",), ("none",), (None,)], "key string"), 2, 1)
+    assert {r.center for r in both["nodes"].collect()} == {"a:1", "a:3"} and both["edges"].where("center = 'a:1'").count() == 5
 
 
 def test_inferred_delegations(spark):

@@ -1,7 +1,7 @@
 """What a reader asks of one law, article or document, as compositions of joins and windows.
 
-tables: laws, articles, versions, links, documents, delegations and stats, as
-DataFrames with natural keys. Each result is lazy.
+tables: laws, articles, versions, links (doc_id, key), documents (id),
+delegations and stats, as DataFrames with natural keys. Each result is lazy.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ LAW_KINDS = ["법률", "시행령", "시행규칙", "감독규정", "시행세
 
 def article_stats(links: DataFrame, documents: DataFrame) -> DataFrame:
     """Per article its documents, by kind, and the latest of their dates."""
-    rows = links.select("key", "doc_id").join(documents.select("doc_id", "kind", "published_on"), "doc_id")
+    rows = links.select("key", "doc_id").join(documents.select(F.col("id").alias("doc_id"), "kind", "published_on"), "doc_id")
     # The kinds of documents that each count takes.
     kinds = {"interpretations": ["법령해석"], "no_action": ["비조치의견"], "guidance": ["행정지도"], "notices": ["입법예고", "규정변경예고"]}
     # One row for each article and document first, so that plain counts do instead of distinct ones.
@@ -95,18 +95,69 @@ def document_card(tables: dict[str, DataFrame], doc_id: str, related: int = 6) -
     keys = links.select("key").distinct()
     near = tables["links"].join(keys, "key", "left_semi").select("doc_id", "key", "paragraph", F.col("key").alias("label"))
     return {
-        "document": tables["documents"].where(F.col("doc_id") == doc_id), "links": links.join(tables["articles"].select("key", "slug", "title"), "key").join(tables["laws"].select("slug", "name"), "slug"),
+        "document": tables["documents"].where(F.col("id") == doc_id), "links": links.join(tables["articles"].select("key", "slug", "title"), "key").join(tables["laws"].select("slug", "name"), "slug"),
         "related": joins.cooccurrence(near, "doc_id", "key", related, "label").where(F.col("doc_id") == doc_id),
     }
 
 
-def article_graph(tables: dict[str, DataFrame], key: str, depth: int = 1, per_kind: int = 5) -> dict[str, DataFrame]:
-    """Delegations around an article and the newest documents of each kind that cite it."""
-    start = tables["articles"].where(F.col("key") == key).select(F.col("key").alias("node"))
-    edges = joins.expand(tables["delegations"].select(F.col("from_key").alias("src"), F.col("to_key").alias("dst")), start, depth)
-    docs = tables["links"].where(F.col("key") == key).select("doc_id").distinct().join(tables["documents"], "doc_id")
-    newest = windows.topk_with_remainder(docs, "kind", [F.col("published_on").desc_nulls_first(), F.col("doc_id")], per_kind)
-    return {"edges": edges, "documents": newest}
+def article_cards(tables: dict[str, DataFrame], as_of: Column) -> DataFrame:
+    """A line for each article: its law, what is in force and what comes, its delegations, documents and neighbours."""
+    laws = tables["laws"].select("slug", F.col("name").alias("law_name"), F.col("kind").alias("law_kind"))
+    count = lambda df, key, name: df.groupBy(F.col(key).alias("key")).agg(F.count("*").alias(name))
+    parts = [
+        windows.current_and_pending(tables["versions"], "key", "effective_from", "body", as_of), count(tables["versions"], "key", "versions"), count(tables["delegations"], "from_key", "delegates_to"),
+        count(tables["delegations"], "to_key", "delegated_from"), tables["stats"].select("key", F.col("total").alias("documents")),
+    ]
+    rows = windows.neighbours(tables["articles"].withColumn("order", T.natural_order(F.col("no"))), "slug", ["order"], "key").drop("order").join(laws, "slug")
+    for part in parts:
+        rows = rows.join(part, "key", "left")
+    return rows.fillna(0, ["versions", "delegates_to", "delegated_from", "documents"])
+
+
+# How high each kind of law stands in a drawing.
+TIERS = {"법률": 0, "시행령": 1, "시행규칙": 1, "감독규정": 2, "고시": 2, "시행세칙": 3}
+
+
+def article_graphs(tables: dict[str, DataFrame], centres: DataFrame, depth: int = 2, per_kind: int = 3) -> dict[str, DataFrame]:
+    """Around each article of centres (key): delegations up and down, and the newest documents of each kind that cite it.
+
+    nodes: center, id, type (article or document), tier, kind, title; edges:
+    center, src, dst, type (delegation or citation), origin, method, confidence;
+    more: center, kind and how many documents of the kind are left out. A
+    citation leads from a document to any article of its graph. Keys that are
+    no articles give nothing. All centres are expanded together.
+    """
+    known = centres.select("key").distinct().join(tables["articles"].select("key"), "key", "left_semi")
+    start = known.select(F.col("key").alias("center"), F.col("key").alias("node"))
+    lines, seen, frontiers = None, start, {"down": start, "up": start}
+    ends = {"down": ("from_key", "to_key"), "up": ("to_key", "from_key")}
+    for _ in range(depth):
+        steps = {way: tables["delegations"].join(frontiers[way].withColumnRenamed("node", near), near) for way, (near, _) in ends.items()}
+        for step in steps.values():
+            found = step.select("center", F.col("from_key").alias("src"), F.col("to_key").alias("dst"), "origin")
+            lines = found if lines is None else lines.unionByName(found)
+        frontiers = {way: step.select("center", F.col(ends[way][1]).alias("node")).distinct().join(seen, ["center", "node"], "left_anti") for way, step in steps.items()}
+        seen = seen.unionByName(frontiers["down"]).unionByName(frontiers["up"]).distinct()
+    none = F.lit(None)
+    edges = lines.distinct().select("center", "src", "dst", F.lit("delegation").alias("type"), "origin", none.cast("string").alias("method"), none.cast("double").alias("confidence"))
+    docs = tables["links"].select("key", F.col("doc_id").alias("id")).distinct().join(known.select("key"), "key").join(tables["documents"], "id").withColumnRenamed("key", "center")
+    place = F.row_number().over(Window.partitionBy("center", "kind").orderBy(F.col("published_on").desc_nulls_first(), "id"))
+    shown = docs.withColumn("place", place).where(F.col("place") <= per_kind)
+    cited = tables["links"].join(shown.select("center", F.col("id").alias("doc_id")), "doc_id").join(seen.withColumnRenamed("node", "key"), ["center", "key"])
+    cited = cited.groupBy("center", "doc_id", "key").agg(F.min("method").alias("method"), F.max("confidence").cast("double").alias("confidence"))
+    edges = edges.unionByName(cited.select("center", F.col("doc_id").alias("src"), F.col("key").alias("dst"), F.lit("citation").alias("type"), none.cast("string").alias("origin"), "method", "confidence"))
+    tier = F.coalesce(F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv])[F.col("law_kind")], F.lit(1))
+    laws = tables["laws"].select("slug", F.col("kind").alias("law_kind"))
+    articles = tables["articles"].select(F.col("key").alias("node"), "slug", "title").join(laws, "slug")
+    nodes = seen.join(articles, "node").select("center", F.col("node").alias("id"), F.lit("article").alias("type"), tier.alias("tier"), F.col("law_kind").alias("kind"), "title")
+    nodes = nodes.unionByName(shown.select("center", "id", F.lit("document").alias("type"), none.cast("int").alias("tier"), "kind", "title"))
+    more = docs.groupBy("center", "kind").agg((F.count("*") - per_kind).alias("more")).where("more > 0")
+    return {"nodes": nodes, "edges": edges, "more": more}
+
+
+def article_graph(tables: dict[str, DataFrame], key: str, depth: int = 2, per_kind: int = 3) -> dict[str, DataFrame]:
+    """article_graphs() around one article."""
+    return article_graphs(tables, tables["articles"].where(F.col("key") == key), depth, per_kind)
 
 
 def inferred_delegations(links: DataFrame, laws: DataFrame, official: DataFrame, most: int = 4) -> DataFrame:

@@ -52,7 +52,7 @@ def run(raw: DataFrame, documents: DataFrame, laws: DataFrame, today: dt.date) -
     news = events.document_events(docs, as_of).withColumn("key", F.lit(None).cast("string"))
     changes = news.unionByName(parsed["events"].withColumn("doc_id", F.lit(None).cast("string")))
     log = store.append_events(changes, changes.limit(0))
-    return {"articles": found, "versions": versions, "links": kept, "unresolved": unresolved, "delegations": cards.inferred_delegations(upper, laws, none), "events": log, "stats": cards.article_stats(kept, documents.withColumnRenamed("id", "doc_id"))}
+    return {"articles": found, "versions": versions, "links": kept, "unresolved": unresolved, "delegations": cards.inferred_delegations(upper, laws, none), "events": log, "stats": cards.article_stats(kept, documents)}
 
 
 def seeds(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
