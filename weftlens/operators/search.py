@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftlens.functions import text as T
 from weftlens.functions import trigram
+from weftlens.operators.gram_index import GramIndex
 
 
 def has(column: Column, term: str) -> Column:
@@ -44,6 +45,14 @@ def search(docs: DataFrame, query: str, title: str, body: str, kind: str, key: s
     return {"items": items, "facets": facets}
 
 
+def indexed_search(spark: SparkSession, index: GramIndex, query: str, title: str, body: str, kind: str, key: str, filters: dict[str, Column] | None = None, limit: int = 20, offset: int = 0) -> dict[str, DataFrame]:
+    """search() over the rows that a trigram index of title and body names, with the same result.
+
+    Terms of under three characters, and those of hot grams only, make it read all rows.
+    """
+    return search(index.candidates(spark, T.terms(query)), query, title, body, kind, key, filters, limit, offset)
+
+
 def service_search(t: dict[str, DataFrame], query: str, as_of: Column, kinds: list[str] | None = None, orgs: list[str] | None = None, laws: list[str] | None = None, since: Column | None = None, until: Column | None = None, by_date: bool = False, limit: int = 20, offset: int = 0) -> dict[str, DataFrame]:
     """All that a search shows: jump, items with their first four articles, facets by kind, and articles that match.
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlens.functions import text, trigram
-from weftlens.operators import search
+from weftlens.operators import gram_index, search
 from weftlens.plans.registry import Tables, query
-from weftlens.sources import store
+from weftlens.sources import shared, store
 
 
 @query("""SELECT source, count(*)::BIGINT AS docs, count(*) FILTER (WHERE regexp_matches(text, 'License|Lizenz|reserved'))::BIGINT AS in_scope FROM documents GROUP BY 1""")
@@ -34,6 +36,38 @@ def search_documents(t: Tables) -> DataFrame:
     return got.select("doc_id", "source", F.round(F.col("score") - trigram.similarity(F.col("source"), F.lit(_TERMS)), 6).alias("score"))
 
 
+# What the searched terms are in the tables' documents: one in a few, one in many, one with a blank, one in none.
+_RARE = "licen the, reserved zzqqzz"
+_GRAMS = """list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w<>''), lambda w: list_transform(range(1, length(w)+2), lambda k: substr('  '||w||' ', k, 3)))))"""
+
+
+@query(f"""WITH q AS (SELECT *, {_GRAMS.format("coalesce(source,'')")} AS a, {_GRAMS.format(f"'{_RARE}'")} AS b FROM documents), h AS (SELECT unnest(['licen','the,','reserved','zzqqzz']) AS term),
+ m AS (SELECT q.doc_id, any_value(q.source) AS source, sum(3.0*contains(lower(coalesce(text,'')),term)::INT + 2.0*contains(lower(coalesce(source,'')),term)::INT)/4 AS hits,
+ any_value(len(list_intersect(a,b))::DOUBLE / greatest(len(list_distinct(list_concat(a,b))), 1)) AS likeness FROM q CROSS JOIN h GROUP BY q.doc_id)
+ SELECT doc_id, source, round(hits + likeness, 9)::DOUBLE AS score FROM m WHERE hits > 0 ORDER BY hits + likeness DESC, doc_id LIMIT 100""")
+def search_by_grams(t: Tables) -> DataFrame:
+    """The first page for four terms by the whole score, similarity of the title included, through a trigram index of all documents."""
+    docs = t("documents").select("doc_id", "source", "text")
+    spark = docs.sparkSession
+    index = gram_index.GramIndex.build(docs, ["source", "text"], shared.new_path(spark, "gram-index"))
+    found = search.indexed_search(spark, index, _RARE, "source", "text", "source", "doc_id", limit=100)["items"]
+    return found.select("doc_id", "source", F.round("score", 9).alias("score"))
+
+
+@query("""WITH h AS (SELECT unnest(['licen','of the','reserved','zzqqzz','th','日本','. the ']) AS term)
+ SELECT term, count(doc_id)::BIGINT AS docs, coalesce(sum(doc_id),0)::BIGINT AS ids FROM h LEFT JOIN documents ON contains(lower(text), term) GROUP BY 1""")
+def grams_by_term(t: Tables) -> DataFrame:
+    """How many documents have each of several terms, each found through the index and tested exactly."""
+    docs = t("documents").select("doc_id", "text")
+    spark = docs.sparkSession
+    index = gram_index.GramIndex.build(docs, ["text"], shared.new_path(spark, "gram-index"))
+    parts = []
+    for term in ["licen", "of the", "reserved", "zzqqzz", "th", "日本", ". the "]:
+        found = index.candidates(spark, [term]).where(search.has(F.col("text"), term))
+        parts.append(found.agg(F.count("*").alias("docs"), F.coalesce(F.sum("doc_id"), F.lit(0).cast("long")).alias("ids")).select(F.lit(term).alias("term"), "docs", "ids"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("""SELECT source, count(*)::BIGINT AS n FROM documents WHERE lang='en' AND (contains(lower(text),'license') OR contains(lower(text),'reserved')) GROUP BY 1""")
 def search_facets(t: Tables) -> DataFrame:
     filters = {"lang": F.col("lang") == "en", "source": F.col("source") == "src1"}
