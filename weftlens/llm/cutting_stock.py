@@ -12,6 +12,7 @@ last ones at powers of two, so that no sequence has padding.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -262,9 +263,10 @@ def plan(histogram: dict[int, int], limit: int, spare: float = SPARE, columns: i
 # The operator.
 
 
-def remainders(docs: DataFrame, tokenizer: str, limit: int, end: int) -> DataFrame:
-    """A row for each piece by length alone: part, nth (rank among the part's pieces of that length), doc_id, start, length, doc_tokens, ids."""
-    schema = StructType([*StructType.fromDDL("part int, nth long"), docs.schema["doc_id"], *StructType.fromDDL("start long, length long, doc_tokens long, ids binary")])
+def remainders(docs: DataFrame, tokenizer: str, limit: int, end: int, dtype: str) -> DataFrame:
+    """A row for each piece by length alone: part, nth (rank among the part's pieces of that length), doc_id, start, length, doc_tokens, ids_crc32, ids."""
+    schema = StructType([*StructType.fromDDL("part int, nth long"), docs.schema["doc_id"], *StructType.fromDDL("start long, length long, doc_tokens long, ids_crc32 long, ids binary")])
+    width = np.dtype(dtype).itemsize
 
     def work(batches):
         part, seen = TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
@@ -281,67 +283,74 @@ def remainders(docs: DataFrame, tokenizer: str, limit: int, end: int) -> DataFra
             nth[order] = seen[length[order]] + at.ranges(np.zeros(limit + 1, np.int64), per)
             seen += per
             # A document's pieces follow one another, so the batch's ids are its pieces' ids.
-            ends = np.concatenate([[0], np.cumsum(4 * length)]).astype(np.int64)
-            blobs = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(ids, "<u4").tobytes())]).cast(pa.binary())
-            arrays = [pa.array(np.full(len(doc), part, np.int32)), pa.array(nth), batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(size[doc].astype(np.int64)), blobs]
+            if len(ids) and int(ids.max()) > np.iinfo(np.dtype(dtype)).max:
+                raise ValueError(f"an id does not fit {dtype}")
+            ends = np.concatenate([[0], np.cumsum(length)])
+            crc = tokens.checksums(ids, ends[:-1], length)
+            blobs = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer((width * ends).astype(np.int64).tobytes()), pa.py_buffer(ids.astype(dtype).tobytes())]).cast(pa.binary())
+            arrays = [pa.array(np.full(len(doc), part, np.int32)), pa.array(nth), batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(size[doc].astype(np.int64)), pa.array(crc), blobs]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(work, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, limit: int = 2048, end: int = 1, spare: float = SPARE, columns: int = COLUMNS) -> DataFrame:
-    """Pack all documents into sequences of at most ``limit`` tokens, without padding; a row for each piece with its ids.
+def pack(docs: DataFrame, tokenizer: str, limit: int = 2048, end: int = 1, spare: float = SPARE, columns: int = COLUMNS, dtype: str = "<u4", ids: bool = True) -> DataFrame:
+    """Pack all documents into sequences of at most ``limit`` tokens, without padding; a row for each piece.
 
-    Reads ``doc_id`` and ``text``. A null text is empty, which leaves the end id
-    alone; repeated rows are packed each; a null doc_id stays null; an empty
-    table gives no rows. ``limit`` is a power of two. All sequences are full but
-    for less than ``limit`` tokens of the whole table, which stand in sequences
-    of a power of two. The driver sees one number for each length and solves
-    the program; ranks are numbered in tasks, and what precedes a task's is
-    joined to it.
+    doc_id, start, length, ids_crc32 (of the ids as little-endian unsigned
+    32-bit integers), doc_tokens, sequence_id, offset, and with ``ids`` the ids
+    as ``dtype``. Reads ``doc_id`` and ``text``. A null text is empty, which
+    leaves the end id alone; repeated rows are packed each; a null doc_id stays
+    null; an empty table gives no rows. ``limit`` is a power of two. All
+    sequences are full but for less than ``limit`` tokens of the whole table,
+    which stand in sequences of a power of two. The driver sees one number for
+    each length and solves the program; ranks are numbered in tasks, and what
+    precedes a task's is joined to it. Without ``ids`` only pieces that are cut
+    carry them to the tasks that place them.
     """
     if limit < 2 or limit & (limit - 1):
         raise ValueError("the limit must be a power of two")
-    found = scratch.store(remainders(docs, tokenizer, limit, end), "stock-pieces")
+    found = scratch.store(remainders(docs, tokenizer, limit, end, dtype), "stock-pieces")
     counts = scratch.store(found.groupBy("part", "length").agg(F.count("*").alias("n")), "stock-counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    chosen = plan(histogram, limit, spare, columns)
+    chosen, width = plan(histogram, limit, spare, columns), np.dtype(dtype).itemsize
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = found.join(bases, ["part", "length"]).select("doc_id", "start", "length", "doc_tokens", (F.col("before") + F.col("nth")).alias("rank"), "ids")
-    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")])
+    # From which rank on a length's pieces lie end to end, so that they may be cut: one number for each length.
+    beyond = F.element_at(F.lit(chosen.beyond.tolist()), F.col("length").cast("int") + 1)
+    held = found if ids else found.drop("ids")
+    ranked = held.join(bases, ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
+    if not ids:
+        cut = ranked.where(F.col("rank") >= beyond).select("part", "length", "nth").join(found.select("part", "length", "nth", "ids"), ["part", "length", "nth"])
+        ranked = ranked.join(cut, ["part", "length", "nth"], "left")
+    ranked = ranked.select("doc_id", "start", "length", "doc_tokens", "rank", "ids_crc32", "ids")
+    fields = [docs.schema["doc_id"], *StructType.fromDDL("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")]
+    schema = StructType(fields + ([*StructType.fromDDL("ids binary")] if ids else []))
 
     def work(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(k, 2048) for whole in batches for k in range(0, whole.num_rows, 2048)):
             length, rank = batch.column(2).to_numpy(), batch.column(4).to_numpy()
             row, start, size, sequence, offset = chosen.places(length, rank)
             order = np.lexsort((start, row))
             row, start, size, sequence, offset = (x[order] for x in (row, start, size, sequence, offset))
             take = pa.array(row)
-            ids = batch.column(5).take(take)
-            cut = np.flatnonzero(size != length[row])
-            if len(cut):
-                held = ids.to_pylist()
-                for k in cut.tolist():
-                    held[k] = held[k][4 * start[k] : 4 * (start[k] + size[k])]
-                ids = pa.array(held, pa.binary())
-            arrays = [batch.column(0).take(take), pa.array(batch.column(1).to_numpy()[row] + start), pa.array(size.astype(np.int64)), ids, batch.column(3).take(take), pa.array(sequence.astype(np.int64)), pa.array(offset.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+            crc, data = batch.column(5).to_numpy()[row], batch.column(6).take(take)
+            parts = np.flatnonzero(size != length[row])
+            if len(parts):
+                got = {k: data[k].as_py()[width * start[k] : width * (start[k] + size[k])] for k in parts.tolist()}
+                crc[parts] = [zlib.crc32(np.frombuffer(got[k], dtype).astype("<u4").tobytes()) for k in parts.tolist()]
+                if ids:
+                    data = pa.array([got[k] if k in got else data[k].as_py() for k in range(len(row))], pa.binary())
+            arrays = [batch.column(0).take(take), pa.array(batch.column(1).to_numpy()[row] + start), pa.array(size.astype(np.int64)), pa.array(crc), batch.column(3).take(take), pa.array(sequence.astype(np.int64)), pa.array(offset.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*arrays, *([data] if ids else [])], names=schema.names)
 
     return ranked.mapInArrow(work, schema)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
-    """The packed sequences: sequence_id, ids (little-endian unsigned 32-bit), cu_seqlens, doc_ids. A group is one sequence, so bounded."""
+    """The packed sequences: sequence_id, ids (in the pieces' form), cu_seqlens, doc_ids. A group is one sequence, so bounded."""
     one = F.sort_array(F.collect_list(F.struct("offset", "length", "doc_id", "ids")))
     rows = pieces.groupBy("sequence_id").agg(one.alias("p"))
     joined = F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"]))
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("p", lambda x: x["offset"] + x["length"]))
     return rows.select("sequence_id", joined.alias("ids"), ends.alias("cu_seqlens"), F.col("p.doc_id").alias("doc_ids"))
-
-
-def digests(pieces: DataFrame) -> DataFrame:
-    """The pieces with a CRC-32 in place of their ids."""
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

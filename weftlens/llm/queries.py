@@ -97,7 +97,7 @@ def op13_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document and its place in a sequence of 2048 tokens."""
     from weftlens.llm import cutting_stock
 
-    return cutting_stock.digests(cutting_stock.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+    return cutting_stock.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), dtype="<u2", ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
