@@ -149,6 +149,17 @@ def test_best_fit_respects_every_capacity(docs, texts):
         best_fit.place(np.array([600]), best_fit.Capacity(tokens=512))
 
 
+def test_many_tiny_texts_are_packed_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(best_fit, "AGAIN", 3000)
+    none = spark.range(0, 20_000, 1, 2).selectExpr("id AS doc_id", "CAST(NULL AS STRING) AS text")
+    packed = best_fit.pack(none, BPE)
+    assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert packed.count() == 20_000 and packed.select("sequence_id").distinct().count() <= 20_000 // 1024 + 2
+    one = spark.createDataFrame([(1, "word " * 700)], "doc_id long, text string")
+    both = best_fit.pack(none.limit(300).unionByName(one).repartition(7), BPE)
+    assert both.select("sequence_id").distinct().count() == 1
+
+
 def test_binary_rows_hold_all_ids(docs, texts):
     rows = binary_rows.rows(docs, BPE).collect()
     held = Counter()

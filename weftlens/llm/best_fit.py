@@ -1,9 +1,9 @@
 """Best-fit packing of documents into sequences with several capacities.
 
 A sequence may hold so many tokens, so many documents and so much attention
-cost (the sum of squared segment lengths). Pieces are dealt evenly over tasks;
-a task places its pieces in decreasing order, each into the open sequence that
-vector best-fit selects among those in which it keeps within every capacity.
+cost (the sum of squared segment lengths). A task places the pieces that it has
+read in decreasing order, each into the open sequence that vector best-fit
+selects among those in which it keeps within every capacity.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from weftlens.llm import arrowtext as at
-from weftlens.llm import tokens
+from weftlens.llm import scratch, tokens
 
 
 @dataclass(frozen=True)
@@ -83,40 +83,59 @@ def place(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.ndarr
     return bins, offset
 
 
-def tokenised(docs: DataFrame, tokenizer: str, limit: int, end: int) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32."""
+#: Pieces and tokens that a task packs at once.
+PIECES, TASK_TOKENS = 200_000, 16 << 20
+#: Pieces that a task packs again.
+AGAIN = 50_000
 
-    def work(batches):
-        for batch in at.pieces(batches):
-            ids, offs = tokens.with_end(tokenizer, batch.column(1), end)
-            doc, piece, start, length = tokens.cut(offs, limit)
-            crc = tokens.checksums(ids, offs[doc] + start, length)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("piece int, start long, length long, ids_crc32 long")])
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+def _packed(batches, capacity: Capacity, pieces: int = PIECES, most: int = TASK_TOKENS):
+    """Batches of pieces with sequence_id, offset and room, the tokens that their sequence has left."""
+    made = TaskContext.get().partitionId() << 36
+
+    def emit(held):
+        nonlocal made
+        whole = pa.Table.from_batches(held).combine_chunks()
+        length = whole["length"].to_numpy()
+        bins, offset = place(length, capacity)
+        room = capacity.tokens - np.bincount(bins, weights=length).astype(np.int64)[bins]
+        out = whole.append_column("sequence_id", pa.array(bins + made)).append_column("offset", pa.array(offset)).append_column("room", pa.array(room))
+        made += int(bins.max()) + 1
+        yield from out.combine_chunks().to_batches(max_chunksize=50_000)
+
+    held, count, size = [], 0, 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            count, size = count + batch.num_rows, size + int(batch.column(3).to_numpy().sum())
+            if count >= pieces or size >= most:
+                yield from emit(held)
+                held, count, size = [], 0, 0
+    if held:
+        yield from emit(held)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: Capacity | None = None, end: int = 2, task_bytes: int = 24 << 20) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: Capacity | None = None, end: int = 2) -> DataFrame:
     """Pack all documents; a row for each piece.
 
     Reads ``doc_id`` and ``text``; null text is empty, which leaves the end id
-    alone; repeated rows are packed each; null doc_ids stay null. The number of
-    tasks follows from the bytes of text, ``task_bytes`` for each, so a task's
-    pieces are bounded and at most its last sequences are left part-full.
+    alone; repeated rows are packed each; null doc_ids stay null. Each task packs
+    what it has read, a bounded number of pieces and tokens at once; the pieces
+    of sequences that are left part-full, a few for each, are packed once more
+    together, in tasks of a bounded number of pieces. Reads the texts once.
     """
     capacity = capacity or Capacity()
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = tokenised(docs, tokenizer, capacity.tokens, end).repartition(size // task_bytes + 1)
-
-    def work(batches):
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        whole = pa.Table.from_batches(got)
-        bins, offset = place(whole["length"].to_numpy(), capacity)
-        bins += TaskContext.get().partitionId() << 32
-        out = whole.append_column("sequence_id", pa.array(bins)).append_column("offset", pa.array(offset))
-        yield from out.combine_chunks().to_batches(max_chunksize=50_000)
 
-    return rows.mapInArrow(work, StructType([*rows.schema, *StructType.fromDDL("sequence_id long, offset long")]))
+    def cut(batches):
+        for batch in at.pieces(batches):
+            ids, offs = tokens.with_end(tokenizer, batch.column(1), end)
+            doc, piece, start, length = tokens.cut(offs, capacity.tokens)
+            crc = tokens.checksums(ids, offs[doc] + start, length)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, room long")])
+    first = scratch.store(docs.select("doc_id", "text").mapInArrow(lambda batches: _packed(cut(batches), capacity), schema), "packed-pieces")
+    loose = first.where("room > 0").drop("sequence_id", "offset", "room")
+    again = loose.repartition(loose.count() // AGAIN + 1).mapInArrow(lambda batches: _packed(batches, capacity, 2 * AGAIN), schema)
+    # Numbers of the second packing are negative, so that no sequence of the first has them.
+    return first.where("room = 0").unionByName(again.withColumn("sequence_id", -1 - F.col("sequence_id"))).drop("room")
