@@ -169,8 +169,6 @@ def test_laws_with_common_endings_are_laws(spark):
 
 
 def test_places_of_matches_do_not_depend_on_a_sentinel(spark):
-    from pyspark.sql import functions as F
-
     from weftlens.functions import text as T
 
     texts = ["a\u0001b 12 c", "12", "", None, "x1\u0001\u000122", "\U0001f600 7 é 8"]
@@ -199,7 +197,8 @@ def test_a_query_that_cites_jumps_to_the_article(spark):
     assert search.jump(t, "가나법 정의").count() == search.jump(t, "모르는법 제3조").count() == 0
 
 
-def test_cooccurrence_takes_every_line(spark, monkeypatch):
+@pytest.mark.parametrize(("docs", "items"), [(7, 8), (7, 2), (3, 8), (1, 1), (500, 8)])
+def test_cooccurrence_takes_every_line(spark, monkeypatch, docs, items):
     import random
     from collections import Counter, defaultdict
 
@@ -208,10 +207,11 @@ def test_cooccurrence_takes_every_line(spark, monkeypatch):
     queries = registry.queries()
     assert "cooccurrence_all" in queries
     draw = random.Random(3)
-    # Item 0 is in most docs, several times in some; HOT_DOCS is so low that it is dealt over shards.
+    # Item 0 is in most docs, several times in some; the bounds are so low that many items are heavy.
     lines = [(d, i, str(i)) for d in range(60) for i in [0] * draw.randint(0, 3) + [draw.randint(1, 9) for _ in range(4)]]
     lines += [(None, 0, "0"), (61, None, None)]
-    monkeypatch.setattr(joins, "HOT_DOCS", 7)
+    monkeypatch.setattr(joins, "HEAVY_DOCS", docs)
+    monkeypatch.setattr(joins, "HEAVY_ITEMS", items)
     found = defaultdict(list)
     for r in sorted(joins.cooccurrence(spark.createDataFrame(lines, "d long, i long, l string"), "d", "i", 6, "l").collect(), key=lambda r: (r.d, -r.shared, r.other)):
         found[r.d].append((r.other, r.shared, r.labels))
@@ -225,6 +225,18 @@ def test_cooccurrence_takes_every_line(spark, monkeypatch):
     assert dict(found) == expected
 
 
+def test_cooccurrence_of_items_that_very_many_share(spark):
+    """Two items of 100,000 and 50,000 docs, which would make 6 billion pairs: the best are those with both, then the smallest."""
+    rows = spark.range(100_000).selectExpr("id AS d", "explode(if(id % 2 = 0, array('all', 'even'), array('all'))) AS i").withColumn("l", F.col("i"))
+    found = {}
+    for r in joins.cooccurrence(rows, "d", "i", 3, "l").where("d < 5 OR d > 99996").collect():
+        found.setdefault(r.d, set()).add((r.other, r.shared, r.labels))
+    odd, even = {(0, 1, "all"), (1, 1, "all"), (2, 1, "all")}, {(0, 2, "all,even"), (2, 2, "all,even"), (4, 2, "all,even")}
+    assert found[99997] == found[99999] == odd and found[99998] == even
+    assert found[1] == {(0, 1, "all"), (2, 1, "all"), (3, 1, "all")} and found[0] == {(2, 2, "all,even"), (4, 2, "all,even"), (6, 2, "all,even")}
+    assert found[2] == {(0, 2, "all,even"), (4, 2, "all,even"), (6, 2, "all,even")} and len(found) == 8
+
+
 def test_enum_order_has_every_row_in_order(spark):
     from weftlens.plans import registry
 

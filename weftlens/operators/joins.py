@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from weftlens.sources import shared
+
 
 def as_of_before(rows: DataFrame, key: str, at: str, tie: str, value: str, out: str) -> DataFrame:
     """Each row with the value of its key's last row strictly before its time.
@@ -17,26 +19,65 @@ def as_of_before(rows: DataFrame, key: str, at: str, tie: str, value: str, out:
     return rows.join(times, [key, at])
 
 
-#: An item of more docs than this is dealt over several tasks.
-HOT_DOCS = 2000
+#: Items of more docs than this are heavy: their docs are never paired with each other.
+HEAVY_DOCS = 500
+#: Heavy items that a doc may have; where one has more, items must have twice as many docs to be heavy.
+HEAVY_ITEMS = 8
+
+
+def _split(once: DataFrame, doc: str, item: str) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of light items, rows of heavy ones): the least bound, from HEAVY_DOCS on by doubling, by which no doc has over HEAVY_ITEMS heavy items."""
+    sizes = shared.store(once.groupBy(item).agg(F.count("*").alias("_docs")).where(F.col("_docs") > HEAVY_DOCS), "item-sizes")
+    bound = HEAVY_DOCS
+    while True:
+        many = sizes.where(F.col("_docs") > bound).select(item)
+        heavy = once.join(many, item, "left_semi")
+        most = heavy.groupBy(doc).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if most is None:
+            return once, None
+        if most <= HEAVY_ITEMS:
+            return once.join(many, item, "left_anti"), heavy
+        bound *= 2
 
 
 def cooccurrence(rows: DataFrame, doc: str, item: str, n: int, label: str) -> DataFrame:
-    """Pairs (doc, other) that share items: join pairs and distinct labels; for each doc the n with most pairs.
+    """Pairs (doc, other) that share items: join pairs and distinct labels; for each doc the n with most pairs, ties to the smaller other.
 
     rows is filtered to one doc's items on the left by the caller where only its neighbours are asked for.
-    Rows are counted by doc and item before the join; an item of many docs is joined in shards of the others.
+
+    Exact without all pairs. Docs that share a light item are joined. Of heavy
+    items each set that a doc has is taken together with how often it has each:
+    docs of one such class share as much with whoever has the set, so that all
+    but the n + 1 smallest of a class have at least n better ones before them.
+    Only these are candidates, whatever the item's size. What a candidate pair
+    shares is then counted in full, light and heavy items alike.
     """
     once = rows.where(F.col(doc).isNotNull() & F.col(item).isNotNull()).groupBy(doc, item).agg(F.count("*").alias("_n"), F.collect_set(label).alias("_labels"))
-    shards = once.groupBy(item).agg(F.ceil(F.count("*") / HOT_DOCS).cast("int").alias("_shards"))
-    once = once.join(shards, item)
-    other = once.select(F.col(doc).alias("other"), item, F.col("_n").alias("_m"), F.pmod(F.xxhash64(doc), "_shards").cast("int").alias("_shard"))
-    mine = once.select(doc, item, "_n", "_labels", F.explode(F.sequence(F.lit(0), F.col("_shards") - 1)).alias("_shard"))
-    pairs = mine.join(other, [item, "_shard"]).where(F.col(doc) != F.col("other"))
+    once = shared.store(once, "doc-items")
+    light, heavy = _split(once, doc, item)
+    other = light.select(F.col(doc).alias("other"), item, F.col("_n").alias("_m"))
+    pairs = light.select(doc, item, "_n").join(other, item).where(F.col(doc) != F.col("other"))
+    pairs = pairs.groupBy(doc, "other").agg(F.sum(F.col("_n") * F.col("_m")).alias("shared"))
+    if heavy is not None:
+        held = shared.store(heavy.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(item).alias("i"), F.col("_n").alias("n")))).alias("_held")), "heavy-items")
+        # A bit of the mask for each heavy item of the doc.
+        masks = F.explode(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size("_held")) - 1))
+        sets = held.select(doc, "_held", masks.alias("_mask")).withColumn("_set", F.filter("_held", lambda x, k: F.col("_mask").bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) != 0))
+        sets = sets.select(doc, F.transform("_set", lambda x: x["i"]).alias("_items"), F.transform("_set", lambda x: x["n"]).alias("_often"))
+        place = F.row_number().over(Window.partitionBy("_items", "_often").orderBy(doc))
+        first = sets.withColumn("_k", place).where(F.col("_k") <= n + 1).select("_items", F.col(doc).alias("other"))
+        through = sets.select(doc, "_items").join(first, "_items").where(F.col(doc) != F.col("other")).select(doc, "other").distinct()
+        pairs = pairs.unionByName(through.withColumn("shared", F.lit(0).cast("long"))).groupBy(doc, "other").agg(F.sum("shared").alias("shared"))
+        theirs = held.select(F.col(doc).alias("other"), F.map_from_entries("_held").alias("_theirs"))
+        both = pairs.join(held, doc, "left").join(theirs, "other", "left")
+        add = F.aggregate("_held", F.lit(0).cast("long"), lambda acc, x: acc + x["n"] * F.coalesce(F.try_element_at("_theirs", x["i"]), F.lit(0).cast("long")))
+        pairs = both.select(doc, "other", (F.col("shared") + F.coalesce(F.when(F.col("_theirs").isNotNull(), add), F.lit(0).cast("long"))).alias("shared"))
+    best = pairs.withColumn("_k", F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("shared"), F.asc("other")))).where(F.col("_k") <= n).drop("_k")
+    # Labels of the pairs that are kept only: n for each doc.
+    best = shared.store(best, "best-pairs")
+    named = best.join(once.select(doc, item, "_labels"), doc).join(once.select(F.col(doc).alias("other"), item), ["other", item], "left_semi")
     labels = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_labels")))), ",")
-    per = pairs.groupBy(doc, "other").agg(F.sum(F.col("_n") * F.col("_m")).alias("shared"), labels.alias("labels"))
-    place = F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("shared"), F.asc("other")))
-    return per.withColumn("_k", place).where(F.col("_k") <= n).drop("_k")
+    return named.groupBy(doc, "other").agg(F.first("shared").alias("shared"), labels.alias("labels"))
 
 
 def where_or_in(rows: DataFrame, condition: Column, key: str, keys: DataFrame, keys_column: str) -> DataFrame:
