@@ -273,6 +273,81 @@ def test_late_and_repeated_rows(spark, tmp_path):
         assert spark.read.parquet(target).count() == [5, 9, 9][k]
 
 
+def test_history_that_lay_there_before_is_known(spark, tmp_path):
+    """A fresh checkpoint learns the target's keys, null ones and those of plain files included, and reads them no more."""
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "k long, g string, v string"
+    make = lambda rows: spark.createDataFrame(rows, schema).coalesce(1)
+    shape = make([]).schema
+    make([(1, "a", "old"), (None, None, "old"), (2, None, "old")]).write.parquet(target)
+    take = lambda at: incremental.append_new(spark, source, shape, target, str(tmp_path / at), ["k", "g"])
+    make([(1, "a", "new"), (1, "b", "new"), (None, None, "new"), (2, None, "new"), (3, "a", "new")]).write.mode("append").parquet(source)
+    take("one")
+    rows = lambda: sorted(map(str, map(tuple, incremental.read_appended(spark, target, shape).collect())))
+    assert rows() == sorted(map(str, [(1, "a", "old"), (None, None, "old"), (2, None, "old"), (1, "b", "new"), (3, "a", "new")]))
+    make([(4, "a", "x"), (3, "a", "x")]).write.mode("append").parquet(source)
+    take("one")
+    assert len(rows()) == 6
+    take("two")  # another checkpoint takes all files again and adds nothing
+    assert len(rows()) == 6
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != incremental.STATE_STORE
+
+
+def test_a_batch_that_fails_midway_is_not_there_twice(spark, tmp_path, monkeypatch):
+    source, target, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    schema = spark.range(0).toDF("k").schema
+    take = lambda: incremental.append_new(spark, source, schema, target, checkpoint, ["k"])
+    spark.range(0, 5).toDF("k").write.parquet(source)
+    take()
+    spark.range(3, 9).toDF("k").write.mode("append").parquet(source)
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    whole = DataFrameWriter.parquet
+
+    def torn(self, path, *args, **kwargs):
+        whole(self, path, *args, **kwargs)
+        raise RuntimeError("stopped after the write, before the commit")
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", torn)
+    with pytest.raises(Exception, match="stopped after"):
+        take()
+    monkeypatch.setattr(DataFrameWriter, "parquet", whole)
+    assert incremental.read_appended(spark, target, schema).count() == 9
+    take()
+    assert sorted(r.k for r in incremental.read_appended(spark, target, schema).collect()) == list(range(9))
+
+
+def test_a_run_reads_what_is_new(spark, tmp_path):
+    """The rows that a batch takes in are those of new files: neither the target nor its keys are read again."""
+    source, target, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    schema = spark.range(0).toDF("k").schema
+    spark.range(0, 5000).toDF("k").write.parquet(target)
+    taken = []
+    for lo in (4990, 5005, 5015):
+        spark.range(lo, lo + 20).toDF("k").write.mode("append").parquet(source)
+        incremental.append_new(spark, source, schema, target, checkpoint, ["k"])
+        commits = sorted((tmp_path / "checkpoint" / "commits").iterdir(), key=lambda p: p.name)
+        taken.append(len([c for c in commits if not c.name.startswith(".")]))
+    assert incremental.read_appended(spark, target, schema).count() == 5035 and taken == [1, 2, 3]
+    sizes = [spark.read.parquet(str(p)).count() for p in sorted((tmp_path / "out").glob("batch=*-*"), key=lambda p: int(p.name.split("-")[1]))]
+    assert sizes == [10, 15, 10]
+
+
+def test_windows_drop_late_rows(spark, tmp_path):
+    """Tumbling windows on a stream of three files: a row later than the watermark is not counted any more."""
+    schema = "ts timestamp, kind string"
+    rows = [[("2024-01-01 00:01:00", "a"), ("2024-01-01 00:04:00", "b")], [("2024-01-01 01:00:00", "a")], [("2024-01-01 00:02:00", "a"), ("2024-01-01 01:01:00", "a")]]
+    source = str(tmp_path / "in")
+    for part in rows:
+        spark.createDataFrame(part, "ts string, kind string").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "kind").coalesce(1).write.mode("append").parquet(source)
+        read = spark.readStream.schema(schema).parquet(source)
+        query = incremental.windowed_counts(read, "ts", "kind", "5 minutes", "10 minutes").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert sorted((r.kind, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 1), ("b", 1)]
+    table = spark.read.schema(schema).parquet(source)
+    assert sorted((r.start.hour, r.kind, r.n) for r in incremental.windowed_counts(table, "ts", "kind", "5 minutes", "10 minutes").collect()) == [(0, "a", 2), (0, "b", 1), (1, "a", 2)]
+
+
 def test_llm_is_not_needed():
     import pathlib
 

@@ -97,4 +97,4 @@ def stream_dedupe(t: Tables) -> DataFrame:
     target = shared.new_path(spark, "stream")
     for k in range(2):
         incremental.append_new(spark, source, events.schema, f"{target}/rows", f"{target}/checkpoint-{k}", ["event_id"], pattern=pattern)
-    return spark.read.schema(events.schema).parquet(f"{target}/rows").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return incremental.read_appended(spark, f"{target}/rows", events.schema).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))

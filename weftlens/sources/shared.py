@@ -31,6 +31,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write df and return it as read back, with the same schema."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)

@@ -123,7 +123,7 @@ def swap(state: DataFrame, path: str) -> None:
     jvm, conf = state.sparkSession._jvm, state.sparkSession._jsc.hadoopConfiguration()
     at = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join((path, *parts)))
     fs = at().getFileSystem(conf)
-    before = _version(state.sparkSession, path)
+    before = version(state.sparkSession, path)
     name = f"version-{uuid.uuid4().hex}"
     state.write.parquet(f"{path}/{name}")
     out = fs.create(at(f"pointer-{name}"), True)
@@ -137,7 +137,8 @@ def swap(state: DataFrame, path: str) -> None:
             fs.delete(found.getPath(), True)
 
 
-def _version(spark: SparkSession, path: str) -> str | None:
+def version(spark: SparkSession, path: str) -> str | None:
+    """The name of the version that swap() made current; None before the first."""
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/pointer")
     fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(place):
@@ -151,4 +152,4 @@ def _version(spark: SparkSession, path: str) -> str | None:
 
 def current(spark: SparkSession, path: str) -> DataFrame:
     """The state that swap() wrote last."""
-    return spark.read.parquet(f"{path}/{_version(spark, path)}")
+    return spark.read.parquet(f"{path}/{version(spark, path)}")
