@@ -67,8 +67,7 @@ def link_rates(t: Frames, names: list[str] | None = None) -> DataFrame:
     """One row: replies, those with a link, and the share; with names, of replies that mention one of them in title or body."""
     docs = t["documents"].where(F.col("kind").isin(REPLIES))
     if names is not None:
-        quoted = "|".join(r"\Q" + n.replace(r"\E", "") + r"\E" for n in names)
-        docs = docs.where(F.concat_ws(" ", "title", "body").rlike(f"({quoted})") if names else F.lit(False))
+        docs = docs.where(any_found(F.concat_ws(" ", "title", "body"), Names.of(names)))
     linked = t["links"].select(F.col("doc_id").alias("id")).distinct().withColumn("has", F.lit(1))
     per = docs.select("id").join(linked, "id", "left").agg(F.count("*").alias("docs"), F.count("has").alias("linked"))
     return per.withColumn("rate", F.round(F.try_divide(F.col("linked").cast("double"), "docs"), 3))

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlens.functions import text, trigram
+from weftlens.functions import names, text, trigram
+from weftlens.functions.diff import word_diff
 from weftlens.operators import gram_index, search
 from weftlens.plans.registry import Tables, query
 from weftlens.sources import shared, store
@@ -113,3 +114,28 @@ _BARE = r"\((?:[0-9]{3}|[03-9][0-9]{3}|1[0-8][0-9]{2}|2[1-9][0-9]{2})-[0-9]{4}\)
 def redact(t: Tables) -> DataFrame:
     """Documents with phones and mail addresses masked; names before ranks, which these texts have none of, are tested on golden rows."""
     return t("documents").select("doc_id", text.redact(F.col("text")).alias("text"))
+
+
+_HEADS = """SELECT split_part(trim(text), ' ', 1) AS name FROM benchmark UNION SELECT split_part(trim(text), ' ', 1) || ' ' || split_part(trim(text), ' ', 2) FROM benchmark UNION SELECT 'Licen' UNION SELECT 'License'"""
+
+
+@query(f"""WITH n AS ({_HEADS}), p AS (SELECT string_agg(regexp_escape(name), '|' ORDER BY length(name) DESC, name) AS pattern FROM n WHERE name <> ''),
+ m AS (SELECT doc_id, unnest(regexp_extract_all(text, pattern)) AS name FROM documents, p) SELECT name, count(*)::BIGINT AS mentions, count(DISTINCT doc_id)::BIGINT AS docs FROM m GROUP BY 1""")
+def name_mentions(t: Tables) -> DataFrame:
+    """How often documents mention the names that benchmark texts begin with: their first word and their first two, of which the longer wins."""
+    first = F.split(F.trim("text"), " ")
+    heads = t("benchmark").select(F.explode(F.array(first[0], F.concat_ws(" ", F.slice(first, 1, 2)))).alias("name")).distinct()
+    # A register of names: two for each of the benchmark's items.
+    register = names.Names.of([r.name for r in heads.collect() if r.name] + ["Licen", "License"])
+    rows = t("documents").select("doc_id", F.explode(names.found("text", register)).alias("m"))
+    return rows.groupBy(F.col("m.name").alias("name")).agg(F.count("*").alias("mentions"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query()
+def document_differences(t: Tables) -> DataFrame:
+    """Each document against the one before it: numbers of runs and of characters kept, removed and added; null where both are too long."""
+    docs = t("documents").select("doc_id", "text")
+    before = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("before"))
+    rows = docs.join(before, "doc_id").select("doc_id", word_diff("before", "text").alias("d"))
+    size = lambda op: F.aggregate(F.filter("d", lambda x: x["op"] == op), F.lit(0), lambda acc, x: acc + F.length(x["text"]))
+    return rows.select("doc_id", F.when(F.col("d").isNotNull(), F.size("d")).alias("runs"), size("=").alias("kept"), size("-").alias("removed"), size("+").alias("added"))
