@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftlens.functions.names import Names, any_found
+
 Frames = dict[str, DataFrame]
 # Kinds of documents that are replies, and names of no particular law.
 REPLIES = ["법령해석", "비조치의견"]
