@@ -32,6 +32,38 @@ def test_headings_are_cut(spark):
     assert cut("제목 없음") == ["제목 없음"]
 
 
+def test_marks_in_a_text_are_only_marks(spark):
+    """A control character is a character; a hundred thousand candidates take no time that grows with their square."""
+    assert statute.cut_items("앞\u0001말.1. 하나\u00012. 둘") == ["앞\u0001말.", "1. 하나\u0001", "2. 둘"]
+    assert statute.cut_headings("제1조(가) 나\u0001다.제2조(나) 라") == ["제1조(가) 나\u0001다.", "제2조(나) 라"]
+    assert statute.cut_items("말.1. 하나 5의2. 아님 2. 둘 112. 아님 03. 셋 3의2. 끼움") == ["말.", "1. 하나 5의2. 아님", "2. 둘 112. 아님", "03. 셋", "3의2. 끼움"]
+    import time
+
+    began = time.time()
+    assert len(statute.cut_items("말.1. 첫째" + "7. 아님 " * 100_000 + "말.2. 둘째")) == 3
+    assert len(statute.cut_headings("".join(f"제{k}조(이름) 글. " for k in range(1, 100_001)))) == 100_000
+    assert len(statute.cut_headings("제5조(이름) 글. " * 100_000)) == 1
+    assert time.time() - began < 20
+
+
+def test_statutes_are_read_without_python(spark):
+    deep = json.dumps([[['가. 목\n나. "둘"']], "<img src=1>", " 다 "], ensure_ascii=False)
+    unit = f'{{"조문내용": "제3조(깊이)", "항": [{{"호": [{{"호내용": "1. 먼저", "목": {{"목내용": {deep}}}}}]}}, {{"항내용": "<2> 뒤"}}]}}'
+    payload = f'{{"법령": {{"조문": {{"조문단위": [{unit}, {{"조문여부": "전문", "조문내용": ["제2장", "제1절"]}}, {{}}, {{"조문내용": null, "항": ""}}]}}, "부칙": "제1조(x) y"}}}}'
+    frame = spark.createDataFrame([(1, payload)], "k int, p string").select(statute.statute_lines(F.try_variant_get(F.parse_json("p"), "$.법령", "variant"), TODAY).alias("x"))
+    assert frame.first().x == ["제3조(깊이)", "1. 먼저", "가. 목", '나. "둘"', "다", "② 뒤", "제2장", "제1절"]
+    plan = frame._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_strings_of_any_json(spark):
+    deep = "[" * 400 + '"안"' + "]" * 400
+    assert statute.all_strings(f'{{"a": {deep}, "부칙(1)": {{"b": "없음"}}, "c": [1, null, "둘\\n 셋 ", {{"부칙": "x", "d": "넷"}}]}}') == ["안", "둘", "셋", "넷"]
+    rows = spark.createDataFrame([(1, "{broken"), (2, "<p>쪽</p>"), (3, None), (4, "[]"), (5, '{"AdmRulService": {"조문내용": null}}'), (6, '{"AdmRulService": {"조문내용": ""}}')], "doc_id int, payload string")
+    got = {r.doc_id: r.lines for r in statute.with_lines(rows, "payload", TODAY).collect()}
+    assert got == {1: ["{broken"], 2: ["쪽"], 3: None, 4: [], 5: [], 6: []}
+
+
 def test_payloads_become_articles(spark):
     unit = {"조문여부": "조문", "조문내용": "제1조(목적)", "항": {"항내용": "<16> 첫 항", "호": {"호내용": "1. 호", "목": [{"목내용": "가. 목"}]}}, "조문시행일자": "20261217"}
     body = json.dumps({"법령": {"조문": {"조문단위": [{"조문여부": "전문", "조문내용": "제1장 총칙"}, unit]}}}, ensure_ascii=False)

@@ -138,14 +138,6 @@ def snapshot_lines(articles: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["lines"])).alias("lines"))
 
 
-def circled(line: Column) -> Column:
-    """'<16>' at a line's beginning as the circled number, up to 35."""
-    signs = F.create_map(*[F.lit(x) for n in range(1, 36) for x in (n, chr(0x2460 + n - 1) if n <= 20 else chr(0x3251 + n - 21))])
-    number = F.try_to_number(F.nullif(F.regexp_extract(line, r"^<(\d{1,2})>", 1), F.lit("")), F.lit("99")).cast("int")
-    sign = F.try_element_at(signs, number)
-    return F.when(sign.isNotNull(), F.concat(sign, F.lit(" "), F.regexp_replace(line, r"^<\d{1,2}>\s*", ""))).otherwise(line)
-
-
 def delegations(payloads: DataFrame, slug: str = "slug", payload: str = "payload") -> DataFrame:
     """(from_slug, from_no, kind, to_no) of three-column comparison payloads: each statute article with the
     decree's and the rule's articles that it delegates to. Numbers come zero-padded, with an optional branch."""
