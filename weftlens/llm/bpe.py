@@ -73,6 +73,8 @@ def match_starts(cp: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
 
 #: Matches that a task keeps, with ten times as many ids and characters at most: some 250 MB. Far fewer are encoded again and again.
 ENTRIES = 1_500_000
+#: Places of the direct-mapped table: few matches go to the dictionary, which takes far more room for each.
+SLOT_BITS = 22
 #: Bytes of text that are cut into matches at once.
 BLOCK = 8 << 20
 
@@ -213,8 +215,8 @@ class MatchTable:
         self._empty()
 
     def _empty(self) -> None:
-        self._keys = np.zeros(1 << 20, at.U64)
-        self._slot = np.zeros(1 << 20, np.int32)
+        self._keys = np.zeros(1 << SLOT_BITS, at.U64)
+        self._slot = np.zeros(1 << SLOT_BITS, np.int32)
         self._rest: dict[int, int] = {}
         self._ids = np.zeros(1 << 16, np.uint32)
         self._at, self._count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
@@ -225,10 +227,12 @@ class MatchTable:
         self._twins: dict[str | bytes, int] = {}
 
     def _room(self, name: str, n: int) -> None:
-        """Makes an array of the table hold n numbers at least."""
+        """Makes an array of the table hold n numbers at least. What is not used yet takes no memory, as nothing is written there."""
         held = getattr(self, name)
         if n > len(held):
-            setattr(self, name, np.resize(held, max(n, 2 * len(held))))
+            room = np.zeros(max(n, 2 * len(held)), held.dtype)
+            room[: len(held)] = held
+            setattr(self, name, room)
 
     def _add(self, ids: list[list[int]], spans: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """New entries of ids, and of the characters behind them, one after the other."""
@@ -260,7 +264,7 @@ class MatchTable:
         """The table's entry for each match text[start:end]; values: the code points or bytes of text."""
         if self._entries > ENTRIES or self._used > 10 * ENTRIES or self._held > 10 * ENTRIES:
             self._empty()
-        slots = (hashes >> at.U64(44)).astype(np.int64)
+        slots = (hashes >> at.U64(64 - SLOT_BITS)).astype(np.int64)
         out = self._slot[slots].astype(np.int64)
         miss = np.flatnonzero(self._keys[slots] != hashes)
         if miss.size:
