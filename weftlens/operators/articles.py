@@ -149,3 +149,13 @@ def delegations(payloads: DataFrame, slug: str = "slug", payload: str = "payload
     parts = [rows.select("from_slug", number(F.col("a")).alias("from_no"), F.lit(kind).alias("kind"), F.explode(F.col("a")[f"{kind}조문"]).alias("b")) for kind in ("시행령", "시행규칙")]
     both = parts[0].unionByName(parts[1])
     return both.select("from_slug", "from_no", "kind", number(F.col("b")).alias("to_no")).distinct()
+
+
+def delegation_keys(pairs: DataFrame, laws: DataFrame, articles: DataFrame) -> DataFrame:
+    """(from_key, to_key) of delegations(): the lower article is in the law of its kind in the same family; both ends exist in articles (key)."""
+    family = laws.select("slug", "kind", F.coalesce("parent", "slug").alias("root"))
+    rows = pairs.join(family.select(F.col("slug").alias("from_slug"), "root"), "from_slug").join(family.select(F.col("slug").alias("to_slug"), "kind", "root"), ["root", "kind"])
+    keyed = rows.select(F.concat_ws(":", "from_slug", "from_no").alias("from_key"), F.concat_ws(":", "to_slug", "to_no").alias("to_key")).distinct()
+    for end in ("from_key", "to_key"):
+        keyed = keyed.join(articles.select(F.col("key").alias(end)), end, "left_semi")
+    return keyed.select("from_key", "to_key")

@@ -198,6 +198,11 @@ def latest_runs(runs: DataFrame) -> DataFrame:
     return last.select("stage", "source", "r.id", "r.status", "r.finished_at")
 
 
+def recent_runs(runs: DataFrame, n: int = 20) -> DataFrame:
+    """The runs that began last, of any stage and state, the newest first."""
+    return runs.orderBy(F.desc("started_at"), F.desc("id")).limit(n).select("id", "stage", "source", "status", "started_at", "finished_at")
+
+
 def health(t: Frames) -> DataFrame:
     """One row: numbers of documents, articles, links and laws, and the time of the data."""
     n = lambda name: t[name].agg(F.count("*").alias(name))

@@ -6,7 +6,10 @@ on a payload is a row (source, source_key, content_hash, fetched_at, payload).
 
 from __future__ import annotations
 
+import datetime as dt
 import json
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pandas as pd
@@ -127,11 +130,6 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW).json(path)
 
 
-def export(rows: DataFrame, path: str, key: str) -> None:
-    """A JSON line for each entity, in folders by key, for clients that read files."""
-    rows.select(F.col(key).alias("_key"), F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").partitionBy("_key").text(path)
-
-
 def search_index(documents: DataFrame, links: DataFrame, articles: DataFrame, laws: DataFrame, length: int = 600) -> DataFrame:
     """Per document the head of its search text and its articles as JSON, '[]' without any: an index for clients.
 
@@ -156,7 +154,24 @@ def catalogue(tables: dict[str, DataFrame], keys: dict[str, list[str]] | None =
     return columns.join(reduce(DataFrame.unionByName, counts), "table")
 
 
-def run_log(spark: SparkSession, stage: str, source: str, status: str, stats: dict, error: str | None = None) -> DataFrame:
-    """A row for the log of runs."""
-    row = spark.createDataFrame([(stage, source, status, {k: str(v) for k, v in stats.items()}, error)], "stage string, source string, status string, stats map<string, string>, error string")
-    return row.withColumn("stats", F.to_json("stats")).withColumn("started_at", F.current_timestamp())
+RUNS = "stage string, source string, status string, started_at timestamp, finished_at timestamp, stats string, error string"
+
+
+@contextmanager
+def logged_run(spark: SparkSession, path: str, stage: str, source: str) -> Iterator[dict]:
+    """Runs a block and appends its row to the log of runs under path.
+
+    The block gets a dict for its figures. It is ok, or partial where a figure
+    ``errors`` is above 0; where it raises, the run is failed, with the error's
+    first 500 characters, and the error goes on.
+    """
+    began, stats, error = dt.datetime.now(dt.UTC), {}, None
+    try:
+        yield stats
+    except Exception as e:
+        error = f"{type(e).__name__}: {e}"[:500]
+        raise
+    finally:
+        status = "failed" if error else "partial" if int(stats.get("errors", 0)) > 0 else "ok"
+        row = (stage, source, status, began, dt.datetime.now(dt.UTC), json.dumps(stats, ensure_ascii=False, sort_keys=True, default=str), error)
+        spark.createDataFrame([row], RUNS).coalesce(1).write.mode("append").parquet(path)

@@ -16,18 +16,12 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 _SEED = "_weft_known"
 
 
-def _place(spark: SparkSession, path: str):
-    """(file system, path) of a folder."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
 def _adopt(spark: SparkSession, target: str) -> None:
     """Files that lie in the target itself become its first batch, as Spark reads folders of batches or plain files, not both."""
-    fs, where = _place(spark, target)
+    fs, where = shared.place(spark, target)
     plain = [f.getPath() for f in fs.listStatus(where) if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
     if plain:
-        _, before = _place(spark, f"{target}/batch=before")
+        _, before = shared.place(spark, f"{target}/batch=before")
         fs.mkdirs(before)
         for path in plain:
             fs.rename(path, spark._jvm.org.apache.hadoop.fs.Path(before, path.getName()))
