@@ -321,7 +321,9 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = 2048, end: int = 1, spare
     held = found if ids else found.drop("ids")
     ranked = held.join(bases, ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
     if not ids:
-        cut = ranked.where(F.col("rank") >= beyond).select("part", "length", "nth").join(found.select("part", "length", "nth", "ids"), ["part", "length", "nth"])
+        # Stored, so that Spark knows how few they are before it decides whether all ids must be shuffled to find theirs.
+        cut = scratch.store(ranked.where(F.col("rank") >= beyond).select("part", "length", "nth"), "stock-cut")
+        cut = found.select("part", "length", "nth", "ids").join(cut, ["part", "length", "nth"])
         ranked = ranked.join(cut, ["part", "length", "nth"], "left")
     ranked = ranked.select("doc_id", "start", "length", "doc_tokens", "rank", "ids_crc32", "ids")
     fields = [docs.schema["doc_id"], *StructType.fromDDL("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")]
