@@ -94,7 +94,7 @@ def tables(spark):
 def test_cards(spark):
     t = tables(spark)
     assert [(r.slug, r.articles, r.linked_docs) for r in cards.law_list(t).collect()] == [("a", 3, 4), ("b", 1, 0)]
-    assert [(r.key, r.run, r.total) for r in cards.contents(t, "a").collect()] == [("a:1", 1, 2), ("a:2", 1, 2), ("a:3", 2, 0)]
+    assert [(r.key, r.run, r.total, r.pending) for r in cards.contents(t, "a", F.lit(TODAY)).collect()] == [("a:1", 1, 2, True), ("a:2", 1, 2, False), ("a:3", 2, 0, False)]
     card = cards.article_card(t, "a:1", F.lit(TODAY))
     assert card["current"].first()[1:] == ("old", "new") and card["neighbours"].first().next == "a:2"
     assert [(r.doc_id, r.paragraphs, r.title) for r in card["documents"].collect()] == [("d2", None, "둘"), ("d1", [2], "하나")]

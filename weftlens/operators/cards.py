@@ -35,13 +35,20 @@ def law_list(tables: dict[str, DataFrame]) -> DataFrame:
     return rows.orderBy(F.coalesce("parent", "slug"), F.col("place").asc_nulls_last(), "slug")
 
 
-def contents(tables: dict[str, DataFrame], slug: str) -> DataFrame:
-    """A law's articles in order with the number of its chapter's run and its citations."""
-    rows = tables["articles"].where(F.col("slug") == slug).withColumn("order", T.natural_order(F.col("no")))
+def all_contents(tables: dict[str, DataFrame], as_of: Column) -> DataFrame:
+    """Each law's articles with the number of their chapter's run, their citations and whether a version is still to come."""
     order = Window.partitionBy("slug").orderBy("order")
+    rows = tables["articles"].withColumn("order", T.natural_order(F.col("no")))
     new = (~F.lag("chapter").over(order).eqNullSafe(F.col("chapter"))).cast("long")
     rows = rows.withColumn("_new", new).withColumn("run", F.sum("_new").over(order)).drop("_new")
-    return rows.join(tables["stats"].select("key", "total"), "key", "left").select("key", "no", "title", "chapter", "run", "order", F.coalesce("total", F.lit(0)).alias("total")).orderBy("order")
+    coming = tables["versions"].groupBy("key").agg(F.bool_or(F.col("effective_from") > as_of).alias("coming"))
+    rows = rows.join(tables["stats"].select("key", "total"), "key", "left").join(coming, "key", "left")
+    return rows.select("slug", "key", "no", "title", "chapter", "run", "order", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("coming", F.lit(False)).alias("pending"))
+
+
+def contents(tables: dict[str, DataFrame], slug: str, as_of: Column) -> DataFrame:
+    """all_contents() of one law, in order."""
+    return all_contents(tables | {"articles": tables["articles"].where(F.col("slug") == slug)}, as_of).orderBy("order")
 
 
 def article_documents(tables: dict[str, DataFrame], keys: DataFrame) -> DataFrame:

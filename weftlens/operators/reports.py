@@ -203,6 +203,12 @@ def recent_runs(runs: DataFrame, n: int = 20) -> DataFrame:
     return runs.orderBy(F.desc("started_at"), F.desc("id")).limit(n).select("id", "stage", "source", "status", "started_at", "finished_at")
 
 
+def portal_total(runs: DataFrame, source: str = "fsc.reply", field: str = "total") -> DataFrame:
+    """One row: how many entries the portal listed in the last run of the source that says so; null where none does."""
+    said = runs.where(F.col("source") == source).withColumn("n", F.get_json_object("stats", f"$.{field}").try_cast("int")).where("n IS NOT NULL")
+    return said.agg(F.max_by("n", F.struct("started_at", "id")).alias("portal_listed_total"))
+
+
 def health(t: Frames) -> DataFrame:
     """One row: numbers of documents, articles, links and laws, and the time of the data."""
     n = lambda name: t[name].agg(F.count("*").alias(name))
@@ -235,7 +241,7 @@ def analysis(t: Frames, as_of: Column, year: int, sources: DataFrame, seen: str
     """Everything that the analysis page shows, each part a lazy DataFrame."""
     yearly = replies_by_year(t)
     return {
-        "totals": totals(t, as_of), "sources": roll_up(by_source(t["raw"], t["laws"], seen), sources), "replies_by_year": yearly, "replies_by_dept": by_department(t, REPLIES, "(부서 미기재 · 과거 회신)", 12),
+        "totals": totals(t, as_of), "portal_total": portal_total(t["runs"]), "sources": roll_up(by_source(t["raw"], t["laws"], seen), sources), "replies_by_year": yearly, "replies_by_dept": by_department(t, REPLIES, "(부서 미기재 · 과거 회신)", 12),
         "top_laws": top_laws(t), "top_articles": top_articles(t), "link_quality": link_rates(t), "in_scope": link_rates(t, names_of(t["laws"])), "by_method": distribution(t["links"], "method"),
         "by_reason": distribution(t["unresolved"], "reason"), "unknown_laws": strange_laws(t["unresolved"]), "spread": spread(t), "pending": pending(t, as_of), "pending_top": pending_top(t, as_of),
         "replies_a_year": replies_a_year(yearly, year), "guidance": guidance(t, as_of), "guidance_by_dept": by_department(t, ["행정지도"], "(미기재)", 8), "structure": structure(t, as_of),

@@ -100,13 +100,15 @@ def array_agg_distinct(t: Tables) -> DataFrame:
     return aggregates.sorted_distinct(t("lineitem"), "l_orderkey", "l_returnflag", "flags")
 
 
-@query("""WITH mine AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag='R' AND l_linenumber=1), p AS (
- SELECT a.l_orderkey, b.l_orderkey AS other, count(*)::BIGINT AS shared, string_agg(DISTINCT a.l_partkey::VARCHAR, ',' ORDER BY a.l_partkey::VARCHAR) AS labels
- FROM mine a JOIN mine b ON a.l_partkey=b.l_partkey AND a.l_orderkey<>b.l_orderkey GROUP BY 1,2)
+@query("""WITH mine AS (SELECT l_orderkey, l_partkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL), p AS (
+ SELECT a.l_orderkey, b.l_orderkey AS other, sum(a.n * b.n)::BIGINT AS shared, string_agg(DISTINCT a.l_partkey || a.l_returnflag, ',' ORDER BY a.l_partkey || a.l_returnflag) AS labels
+ FROM mine a JOIN mine b ON a.l_partkey=b.l_partkey AND a.l_returnflag=b.l_returnflag AND a.l_orderkey<>b.l_orderkey GROUP BY 1,2)
  SELECT l_orderkey, other, shared, labels FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY shared DESC, other) k FROM p) WHERE k<=6""")
 def cooccurrence(t: Tables) -> DataFrame:
-    mine = t("lineitem").where("l_returnflag = 'R' AND l_linenumber = 1").select("l_orderkey", "l_partkey", F.col("l_partkey").cast("string").alias("label"))
-    return joins.cooccurrence(mine, "l_orderkey", "l_partkey", 6, "label")
+    """Orders that share a part with the same return flag."""
+    label = F.concat(F.col("l_partkey").cast("string"), "l_returnflag")
+    mine = t("lineitem").select("l_orderkey", label.alias("item"), label.alias("label"))
+    return joins.cooccurrence(mine, "l_orderkey", "item", 6, "label")
 
 
 @query("""WITH p AS (SELECT a.l_orderkey, b.l_orderkey AS other, count(*)::BIGINT AS shared, string_agg(DISTINCT a.l_partkey::VARCHAR, ',' ORDER BY a.l_partkey::VARCHAR) AS labels
@@ -208,11 +210,11 @@ def left_enrich(t: Tables) -> DataFrame:
     return rows.select("o_orderkey", F.coalesce("c_mktsegment", F.lit("-")).alias("segment"), F.coalesce("n_name", F.lit("-")).alias("nation"))
 
 
-@query("""SELECT o_orderkey, list_position(['P','O'], o_orderstatus)::BIGINT AS place FROM orders ORDER BY place NULLS LAST, (o_totalprice > 200000) DESC, o_orderkey LIMIT 100""")
+@query("""SELECT o_orderkey, list_position(['P','O'], o_orderstatus)::BIGINT AS place FROM orders ORDER BY place NULLS LAST, (o_totalprice > 200000) DESC, o_orderkey""")
 def enum_order(t: Tables) -> DataFrame:
     place = F.nullif(F.array_position(F.array(F.lit("P"), F.lit("O")), F.col("o_orderstatus")), F.lit(0).cast("long"))
     rows = t("orders").withColumn("place", place)
-    return rows.orderBy(F.col("place").asc_nulls_last(), (F.col("o_totalprice") > 200000).desc(), "o_orderkey").select("o_orderkey", "place").limit(100)
+    return rows.orderBy(F.col("place").asc_nulls_last(), (F.col("o_totalprice") > 200000).desc(), "o_orderkey").select("o_orderkey", "place")
 
 
 @query("""SELECT o_orderkey, list_position(['P','O'], o_orderstatus)::BIGINT AS place, o_totalprice > 200000 AS large FROM orders ORDER BY place NULLS LAST, large DESC, o_orderkey""")
