@@ -184,8 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, pool: int = 4
     held-out fold and ``pool`` unlabelled ones; None without labels of both classes, as in an empty table."""
     known = labelled.sample(docs, labels, "quality", per_class, COLUMNS[1:], most_bytes)
     ids = labels.where(F.col("quality").isNotNull()).select("doc_id").distinct()
-    few = docs.select("doc_id").where(F.xxhash64("doc_id", F.lit(9)).isNotNull()).orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(2 * pool)
-    chosen = few.distinct().join(ids, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id", F.lit(9))).limit(pool)
+    free = docs.where(F.col("doc_id").isNotNull()).select("doc_id").join(ids, "doc_id", "left_anti").distinct()
+    chosen = free.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(pool)
     # At most ``pool`` ids, whatever the tables' sizes.
     unlabelled = docs.select("doc_id", *COLUMNS).join(F.broadcast(chosen), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
     rows = _vectors(known).unionByName(_vectors(unlabelled.dropDuplicates(["doc_id"]).withColumn("_label", F.lit(None).cast("int")))).toArrow()
