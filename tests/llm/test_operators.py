@@ -265,6 +265,19 @@ def test_suffix_arrays_equal_brute_force(docs, texts, monkeypatch):
     assert set(starts.values()) == {1} and set(starts) == {(d, i) for d, t in enumerate(texts) for i in range(len((t or "").encode()) - 399)}
 
 
+def test_equal_rows_share_one_list(spark):
+    """Rows equal in id and text are one key, whose list does not grow with their number."""
+    text = passage(50, 200)
+    sizes = []
+    for copies in (2, 40):
+        rows = spark.createDataFrame([(1, text)] * copies + [(2, "x " + text + " y")], "doc_id long, text string")
+        keyed = suffix_dedup._keyed(rows)
+        sizes.append(suffix_dedup.repeated(keyed.select("row", "text")).selectExpr("max(size(starts)) AS n").first().n)
+        assert suffix_dedup.digests(rows).where("doc_id = 1").count() == copies
+        assert {r.n_removed for r in suffix_dedup.digests(rows).where("doc_id = 1").collect()} == {len(text)}
+    assert sizes[0] == sizes[1]
+
+
 def test_shards_of_a_hot_gram_merge(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SHARD_REGIONS", 2)
     shared = passage(7, 90)

@@ -336,7 +336,7 @@ def repeated(docs: DataFrame, length: int = 400) -> DataFrame:
     spans = solved.join(more, ["gram", "region", "n"], "left").select("gram", "region", "n", F.concat("spans", F.coalesce("more", F.array().cast("array<struct<s: long, n: long>>"))).alias("spans")).where(F.size("spans") > 0)
     spans = scratch.store(spans, "spans")
     scratch.drop(solved)
-    starts = found.join(spans, ["gram", "region", "n"]).groupBy("row").agg(F.collect_list(F.struct("a", "spans")).alias("starts"))
+    starts = found.join(spans, ["gram", "region", "n"]).groupBy("row").agg(F.collect_set(F.struct("a", "spans")).alias("starts"))
     starts = scratch.store(starts, "starts")
     scratch.drop(found, regions_table, shards, spans)
     return starts
