@@ -18,36 +18,42 @@ def vocabulary(name: str) -> str:
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document and digests of its ids and of what they decode to."""
     from weftlens.llm import bpe
 
     return bpe.digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence of 1024 tokens."""
     from weftlens.llm import best_fit
 
     return best_fit.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document under verified links of similarity 0.8 or more, and its number of links."""
     from weftlens.llm import near_dup
 
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without bytes that a repeated string of 400 covers."""
     from weftlens.llm import suffix_dedup
 
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a model of subword bags."""
     from weftlens.llm import toxicity
 
     return toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed id rows of all documents, written and read back, with a CRC-32 of their ids."""
     from weftlens.llm import binary_rows, scratch
 
     path = scratch.new_path(spark, "token-rows")
@@ -56,24 +62,28 @@ def op6_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every query on shifted Hilbert curves."""
     from weftlens.llm import curves
 
     return curves.nearest(table(spark, sf_dir, "embeddings"))
 
 
 def op8_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document by the attention model and by the unigram base."""
     from weftlens.llm import attention_lm
 
     return attention_lm.scores(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by both co-trained views and combined."""
     from weftlens.llm import quality
 
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a film: payload read back, clips and features."""
     from weftlens.llm import avi
 
     return avi.digests(table(spark, sf_dir, "documents"))
