@@ -60,18 +60,7 @@ def test_payloads_of_films(spark, sql):
 
 
 def test_importance_in_sql(spark, sql):
-    feats = """list_concat(words, list_transform(range(1, len(words)), lambda k: words[k] || ' ' || words[k + 1]))"""
-    split = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
-    expected = sql(
-        f"""WITH d AS (SELECT doc_id, {split} AS words FROM documents), b AS (SELECT {split} AS words FROM benchmark), f AS (SELECT doc_id, words, {feats} AS fs FROM d), u AS (SELECT doc_id, unnest(fs) AS feature FROM f), v AS (SELECT unnest({feats}) AS feature FROM b),
-        names AS MATERIALIZED (SELECT feature, crc32(feature) % 10000 AS bucket FROM (SELECT feature FROM u UNION SELECT feature FROM v)), s AS (SELECT bucket, count(*) AS s FROM u JOIN names USING (feature) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM v JOIN names USING (feature) GROUP BY 1),
-        g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000))))::BIGINT AS gain FROM s FULL JOIN t USING (bucket)),
-        w AS (SELECT doc_id, count(*) AS n, floor(sum(gain) / count(*))::BIGINT AS weight FROM u JOIN names USING (feature) JOIN g USING (bucket) GROUP BY 1),
-        x AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, len(words) AS words, ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT AS h FROM f LEFT JOIN w USING (doc_id)),
-        y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM x), z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM y WHERE words >= 20)
-        SELECT doc_id, n_features, weight, score, CASE WHEN place <= floor(25 * (SELECT count(*) FROM z) / 100) THEN place END FROM y LEFT JOIN z USING (doc_id)"""
-    )
-    assert [tuple(r) for r in rows(queries.op11_importance(spark, DATA), "doc_id", "n_features", "weight", "score", "rank")] == expected
+    assert rows(queries.op11_importance(spark, DATA), "doc_id", "n_features", "weight", "score", "rank") == sql(queries.oracle_sql()["op11_importance"])
 
 
 def test_deviations_in_sql(spark, sql):

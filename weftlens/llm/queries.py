@@ -115,5 +115,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_FEATURES = "list_concat(words, list_transform(range(1, len(words)), lambda k: words[k] || ' ' || words[k + 1]))"
+#: CRC-32 of a string by bytes: its table follows from eight steps of the polynomial.
+_CRC_TABLE = "SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)"
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(feature)), lambda k: ('0x' || substr(hex(encode(feature)), 2 * k + 1, 2))::BIGINT)), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295)"
+_IMPORTANCE = f"""WITH steps AS ({_CRC_TABLE}), d AS (SELECT doc_id, {_WORDS} AS words FROM documents), u AS MATERIALIZED (SELECT doc_id, unnest({_FEATURES}) AS feature FROM d), v AS MATERIALIZED (SELECT unnest({_FEATURES}) AS feature FROM (SELECT {_WORDS} AS words FROM benchmark)),
+ names AS MATERIALIZED (SELECT feature, {_CRC} % 10000 AS bucket FROM (SELECT feature FROM u UNION SELECT feature FROM v), steps),
+ s AS (SELECT bucket, count(*) AS s FROM u JOIN names USING (feature) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM v JOIN names USING (feature) GROUP BY 1),
+ g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000))))::BIGINT AS gain FROM s FULL JOIN t USING (bucket)),
+ w AS (SELECT doc_id, count(*) AS n, floor(sum(gain) / count(*))::BIGINT AS weight FROM u JOIN names USING (feature) JOIN g USING (bucket) GROUP BY 1),
+ y AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, len(words) AS words, (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296))))::BIGINT AS score FROM d LEFT JOIN w USING (doc_id)),
+ z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM y WHERE words >= 20)
+ SELECT doc_id, n_features, weight, score, CASE WHEN place <= floor(25 * (SELECT count(*) FROM z) / 100) THEN place END AS rank FROM y LEFT JOIN z USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_importance": _IMPORTANCE}
