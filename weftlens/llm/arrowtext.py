@@ -76,6 +76,8 @@ def pieces(batches, limit: int = 1 << 19, column: str = "text") -> Iterator[pa.R
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    # The worker lives on after the task; what Arrow has pooled is given back before the next one.
+    pa.default_memory_pool().release_unused()
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
