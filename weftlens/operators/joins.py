@@ -25,8 +25,8 @@ HEAVY_DOCS = 500
 HEAVY_ITEMS = 8
 
 
-def _split(once: DataFrame, doc: str, item: str) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of light items, rows of heavy ones): the least bound, from HEAVY_DOCS on by doubling, by which no doc has over HEAVY_ITEMS heavy items."""
+def _split(once: DataFrame, doc: str, item: str) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(rows of light items, rows of heavy ones, the stored sizes behind them): the least bound, from HEAVY_DOCS on by doubling, by which no doc has over HEAVY_ITEMS heavy items."""
     sizes = shared.store(once.groupBy(item).agg(F.count("*").alias("_docs")).where(F.col("_docs") > HEAVY_DOCS), "item-sizes")
     bound = HEAVY_DOCS
     while True:
@@ -34,9 +34,9 @@ def _split(once: DataFrame, doc: str, item: str) -> tuple[DataFrame, DataFrame |
         heavy = once.join(many, item, "left_semi")
         most = heavy.groupBy(doc).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
         if most is None:
-            return once, None
+            return once, None, sizes
         if most <= HEAVY_ITEMS:
-            return once.join(many, item, "left_anti"), heavy
+            return once.join(many, item, "left_anti"), heavy, sizes
         bound *= 2
 
 
@@ -54,12 +54,14 @@ def cooccurrence(rows: DataFrame, doc: str, item: str, n: int, label: str) -> Da
     """
     once = rows.where(F.col(doc).isNotNull() & F.col(item).isNotNull()).groupBy(doc, item).agg(F.count("*").alias("_n"), F.collect_set(label).alias("_labels"))
     once = shared.store(once, "doc-items")
-    light, heavy = _split(once, doc, item)
+    light, heavy, sizes = _split(once, doc, item)
+    done = [sizes]
     other = light.select(F.col(doc).alias("other"), item, F.col("_n").alias("_m"))
     pairs = light.select(doc, item, "_n").join(other, item).where(F.col(doc) != F.col("other"))
     pairs = pairs.groupBy(doc, "other").agg(F.sum(F.col("_n") * F.col("_m")).alias("shared"))
     if heavy is not None:
         held = shared.store(heavy.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(item).alias("i"), F.col("_n").alias("n")))).alias("_held")), "heavy-items")
+        done.append(held)
         # A bit of the mask for each heavy item of the doc.
         masks = F.explode(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size("_held")) - 1))
         sets = held.select(doc, "_held", masks.alias("_mask")).withColumn("_set", F.filter("_held", lambda x, k: F.col("_mask").bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) != 0))
@@ -75,6 +77,7 @@ def cooccurrence(rows: DataFrame, doc: str, item: str, n: int, label: str) -> Da
     best = pairs.withColumn("_k", F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("shared"), F.asc("other")))).where(F.col("_k") <= n).drop("_k")
     # Labels of the pairs that are kept only: n for each doc.
     best = shared.store(best, "best-pairs")
+    shared.drop(*done)
     named = best.join(once.select(doc, item, "_labels"), doc).join(once.select(F.col(doc).alias("other"), item), ["other", item], "left_semi")
     labels = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_labels")))), ",")
     return named.groupBy(doc, "other").agg(F.first("shared").alias("shared"), labels.alias("labels"))
