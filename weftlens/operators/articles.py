@@ -138,6 +138,10 @@ def snapshot_lines(articles: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["lines"])).alias("lines"))
 
 
+#: Circled numbers at a line's beginning, as articles and statutes' payloads share them.
+circled = T.circled
+
+
 def delegations(payloads: DataFrame, slug: str = "slug", payload: str = "payload") -> DataFrame:
     """(from_slug, from_no, kind, to_no) of three-column comparison payloads: each statute article with the
     decree's and the rule's articles that it delegates to. Numbers come zero-padded, with an optional branch."""
