@@ -121,3 +121,27 @@ def test_documents_equal_the_table(spark):
             total = lambda op: sum(len(x["text"]) for x in expected if x["op"] == op)  # noqa: E731, B023
             assert (got[k].runs, got[k].kept, got[k].removed, got[k].added) == (len(expected), total("="), total("-"), total("+"))
     assert tried > 20
+
+
+def test_a_word_against_a_long_text_takes_little_room():
+    import tracemalloc
+
+    long = " ".join(f"w{k}" for k in range(15_000))
+    tracemalloc.start()
+    assert differences("w7", long)[-1]["op"] == "+" and differences(None, long) == [{"op": "+", "text": long}]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12_000_000
+
+
+def test_sizes_are_made_slice_by_slice(spark, monkeypatch):
+    import pyarrow as pa
+
+    from weftlens.functions import diff
+
+    monkeypatch.setattr(diff, "SLICE", 10)
+    batch = pa.record_batch({"k": list(range(7)), "a": ["a b"] * 6 + [None], "b": ["a c"] * 6 + ["x"]})
+    assert [len(s) for s in diff._slices(batch)] == [2, 2, 2, 1]
+    rows = spark.createDataFrame([(1, "a b", "a c"), (2, None, None), (3, "a " * 613, "b " * 613), (None, None, "x")], "doc_id int, a string, b string")
+    got = [tuple(r) for r in diff.difference_sizes(rows, "doc_id", "a", "b").collect()]
+    assert got == [(1, 3, 2, 1, 1), (2, 0, 0, 0, 0), (3, None, None, None, None), (None, 1, 0, 0, 1)]

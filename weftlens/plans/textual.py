@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlens.functions import names, text, trigram
-from weftlens.functions.diff import word_diff
+from weftlens.functions.diff import difference_sizes
 from weftlens.operators import gram_index, search
 from weftlens.plans.registry import Tables, query
 from weftlens.sources import shared, store
@@ -136,6 +136,4 @@ def document_differences(t: Tables) -> DataFrame:
     """Each document against the one before it: numbers of runs and of characters kept, removed and added; null where both are too long."""
     docs = t("documents").select("doc_id", "text")
     before = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("before"))
-    rows = docs.join(before, "doc_id").select("doc_id", word_diff("before", "text").alias("d"))
-    size = lambda op: F.aggregate(F.filter("d", lambda x: x["op"] == op), F.lit(0), lambda acc, x: acc + F.length(x["text"]))
-    return rows.select("doc_id", F.when(F.col("d").isNotNull(), F.size("d")).alias("runs"), size("=").alias("kept"), size("-").alias("removed"), size("+").alias("added"))
+    return difference_sizes(docs.join(before, "doc_id"), "doc_id", "before", "text")
