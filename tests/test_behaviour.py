@@ -354,3 +354,32 @@ def test_llm_is_not_needed():
     for path in pathlib.Path(store.__file__).parents[1].rglob("*.py"):
         if "llm" not in path.parts:
             assert "weftlens.llm" not in path.read_text()
+
+
+def test_cooccurrence_does_not_pair_all_docs_of_a_light_item(spark):
+    lines = spark.range(400).selectExpr("id AS d", "1 AS i", "1L AS _n", "1 AS _no").unionByName(spark.range(2).selectExpr("id AS d", "2 AS i", "3L AS _n", "2 AS _no"))
+    pairs, _ = joins._light_pairs(lines, None, "d", "i", 3)
+    rows = pairs.collect()
+    assert len(rows) <= 400 * 4  # all pairs: 159,600
+    assert {(r.d, r.other): r.shared for r in rows if r.d < 2 and r.other < 2} == {(0, 1): 10, (1, 0): 10}
+    assert {r.other for r in rows if r.d == 399} == {0, 1, 2, 3}
+
+
+@pytest.mark.parametrize("narrow", [0, 1, 2, 16])
+def test_cooccurrence_of_wide_docs_equals_all_pairs(spark, monkeypatch, narrow):
+    import random
+
+    monkeypatch.setattr(joins, "NARROW_ITEMS", narrow)
+    monkeypatch.setattr(joins, "HEAVY_DOCS", 9)
+    draw = random.Random(narrow)
+    lines = [(draw.randrange(40), min(int(draw.paretovariate(0.6)), 30), f"l{draw.randrange(3)}") for _ in range(300)]
+    got = {(r.d, r.other): (r.shared, r.labels) for r in joins.cooccurrence(spark.createDataFrame(lines, "d long, i long, l string"), "d", "i", 4, "l").collect()}
+    expected = {}
+    for d in {x[0] for x in lines}:
+        found = {}
+        for o in {x[0] for x in lines} - {d}:
+            both = [(a, b) for a in lines for b in lines if a[0] == d and b[0] == o and a[1] == b[1]]
+            if both:
+                found[o] = len(both), ",".join(sorted({a[2] for a, _ in both}))
+        expected |= {(d, o): v for o, v in sorted(found.items(), key=lambda x: (-x[1][0], x[0]))[:4]}
+    assert got == expected

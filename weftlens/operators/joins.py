@@ -40,28 +40,71 @@ def _split(once: DataFrame, doc: str, item: str) -> tuple[DataFrame, DataFrame |
         bound *= 2
 
 
+#: Light items that a narrow doc may have; docs with more are paired with whoever shares an item.
+NARROW_ITEMS = 16
+
+
+def _light_pairs(light: DataFrame, held: DataFrame | None, doc: str, item: str, n: int) -> tuple[DataFrame, list[DataFrame]]:
+    """((doc, other, shared, _no) of docs that share light items, the stored tables behind it).
+
+    _no is the doc's number of the item where they share only that one. Docs that
+    share one item with a doc, and have the same heavy ones as each other, rank
+    by how often they have it: all but the n + 1 first of an item have n better
+    ones before them and are left out. Docs that share two items or more are
+    found by pairs of items, in which s shared items come s - 1 times each.
+    """
+    wide = shared.store(light.groupBy(doc).agg(F.count("*").alias("_many")).where(F.col("_many") > NARROW_ITEMS).select(doc), "wide-docs")
+    any_wide = bool(wide.head(1))
+    mine = (light.join(wide, doc, "left_anti") if any_wide else light).select(doc, item, "_n", "_no")
+    ranked, group = (mine, [item]) if held is None else (mine.join(held, doc, "left"), [item, "_held"])
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("_n"), doc))
+    first = ranked.withColumn("_k", place).where(F.col("_k") <= n + 1).groupBy(item).agg(F.collect_list(F.struct(F.col(doc).alias("other"), F.col("_n").alias("m"))).alias("_first"))
+    several = F.filter("_first", lambda x: x["other"] != F.col(doc))
+    single = mine.join(first.where(F.size("_first") > 1), item).select(doc, "_no", F.transform(several, lambda x: F.struct(x["other"].alias("other"), (F.col("_n") * x["m"]).alias("w"))).alias("_others"))
+    # Pairs of a doc's items, each once.
+    lists = mine.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(item).alias("i"), F.col("_n").alias("n")))).alias("_items")).where(F.size("_items") > 1)
+    two = F.flatten(F.transform("_items", lambda x, k: F.transform(F.slice("_items", k + 2, F.size("_items")), lambda y: F.struct(x["i"].alias("a"), y["i"].alias("b"), x["n"].alias("na"), y["n"].alias("nb")))))
+    twos = lists.select(doc, F.explode(two).alias("t")).select(doc, "t.*")
+    twos = twos.withColumn("_docs", F.count("*").over(Window.partitionBy("a", "b"))).where(F.col("_docs") > 1)
+    groups = twos.groupBy("a", "b").agg(F.collect_list(F.struct(F.col(doc).alias("d"), "na", "nb")).alias("_group"))
+    rest = F.transform(F.filter("_group", lambda x: x["d"] != F.col("t.d")), lambda x: F.struct(x["d"].alias("other"), (F.col("t.na") * x["na"] + F.col("t.nb") * x["nb"]).alias("w")))
+    double = groups.select(F.explode("_group").alias("t"), "_group").select(F.col("t.d").alias(doc), F.lit(None).cast("int").alias("_no"), rest.alias("_others"))
+    # Lists are shuffled, not pairs; a doc's pairs are made where they are added up.
+    flat = single.unionByName(double).repartition(doc).select(doc, "_no", F.explode("_others").alias("o")).select(doc, "_no", "o.other", "o.w")
+    one = F.col("_no").isNotNull()
+    pairs = flat.groupBy(doc, "other").agg(F.sum(F.when(~one, F.col("w"))).alias("_both"), F.count_if(~one).alias("_twos"), F.max(F.when(one, F.col("w"))).alias("_one"), F.min("_no").alias("_no"))
+    less = (F.sqrt(1 + 8 * F.col("_twos").cast("double")) - 1) / 2
+    pairs = pairs.select(doc, "other", F.when(F.col("_twos") > 0, (F.col("_both") / F.round(less)).cast("long")).otherwise(F.col("_one")).alias("shared"), F.when(F.col("_twos") == 0, F.col("_no")).alias("_no"))
+    if any_wide:
+        rows = light.select(doc, item, "_n").join(wide.withColumn("_wide", F.lit(True)), doc, "left").withColumn("_wide", F.col("_wide").isNotNull())
+        others = rows.select(F.col(doc).alias("other"), item, F.col("_n").alias("_m"), F.col("_wide").alias("_far"))
+        met = rows.join(others, item).where((F.col(doc) != F.col("other")) & (F.col("_wide") | F.col("_far")))
+        pairs = pairs.unionByName(met.groupBy(doc, "other").agg(F.sum(F.col("_n") * F.col("_m")).alias("shared"), F.lit(None).cast("int").alias("_no")))
+    return pairs, [wide]
+
+
 def cooccurrence(rows: DataFrame, doc: str, item: str, n: int, label: str) -> DataFrame:
     """Pairs (doc, other) that share items: join pairs and distinct labels; for each doc the n with most pairs, ties to the smaller other.
 
     rows is filtered to one doc's items on the left by the caller where only its neighbours are asked for.
 
-    Exact without all pairs. Docs that share a light item are joined. Of heavy
-    items each set that a doc has is taken together with how often it has each:
+    Exact without all pairs. Docs that share light items are found by _light_pairs().
+    Of heavy items each set that a doc has is taken together with how often it has each:
     docs of one such class share as much with whoever has the set, so that all
     but the n + 1 smallest of a class have at least n better ones before them.
     Only these are candidates, whatever the item's size. What a candidate pair
     shares is then counted in full, light and heavy items alike.
     """
     once = rows.where(F.col(doc).isNotNull() & F.col(item).isNotNull()).groupBy(doc, item).agg(F.count("*").alias("_n"), F.collect_set(label).alias("_labels"))
-    once = shared.store(once, "doc-items")
+    once = shared.store(once.withColumn("_no", F.row_number().over(Window.partitionBy(doc).orderBy(item))), "doc-items")
     light, heavy, sizes = _split(once, doc, item)
-    done = [sizes]
-    other = light.select(F.col(doc).alias("other"), item, F.col("_n").alias("_m"))
-    pairs = light.select(doc, item, "_n").join(other, item).where(F.col(doc) != F.col("other"))
-    pairs = pairs.groupBy(doc, "other").agg(F.sum(F.col("_n") * F.col("_m")).alias("shared"))
+    done, held = [sizes], None
     if heavy is not None:
         held = shared.store(heavy.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(item).alias("i"), F.col("_n").alias("n")))).alias("_held")), "heavy-items")
         done.append(held)
+    pairs, stored = _light_pairs(light, held, doc, item, n)
+    done += stored
+    if held is not None:
         # A bit of the mask for each heavy item of the doc.
         masks = F.explode(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size("_held")) - 1))
         sets = held.select(doc, "_held", masks.alias("_mask")).withColumn("_set", F.filter("_held", lambda x, k: F.col("_mask").bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) != 0))
@@ -69,18 +112,20 @@ def cooccurrence(rows: DataFrame, doc: str, item: str, n: int, label: str) -> Da
         place = F.row_number().over(Window.partitionBy("_items", "_often").orderBy(doc))
         first = sets.withColumn("_k", place).where(F.col("_k") <= n + 1).select("_items", F.col(doc).alias("other"))
         through = sets.select(doc, "_items").join(first, "_items").where(F.col(doc) != F.col("other")).select(doc, "other").distinct()
-        pairs = pairs.unionByName(through.withColumn("shared", F.lit(0).cast("long"))).groupBy(doc, "other").agg(F.sum("shared").alias("shared"))
+        pairs = pairs.unionByName(through.select(doc, "other", F.lit(0).cast("long").alias("shared"), F.lit(None).cast("int").alias("_no"))).groupBy(doc, "other").agg(F.sum("shared").alias("shared"), F.max("_no").alias("_no"))
         theirs = held.select(F.col(doc).alias("other"), F.map_from_entries("_held").alias("_theirs"))
         both = pairs.join(held, doc, "left").join(theirs, "other", "left")
         add = F.aggregate("_held", F.lit(0).cast("long"), lambda acc, x: acc + x["n"] * F.coalesce(F.try_element_at("_theirs", x["i"]), F.lit(0).cast("long")))
-        pairs = both.select(doc, "other", (F.col("shared") + F.coalesce(F.when(F.col("_theirs").isNotNull(), add), F.lit(0).cast("long"))).alias("shared"))
+        both = both.withColumn("_add", F.coalesce(F.when(F.col("_theirs").isNotNull(), add), F.lit(0).cast("long")))
+        pairs = both.select(doc, "other", (F.col("shared") + F.col("_add")).alias("shared"), F.when(F.col("_add") == 0, F.col("_no")).alias("_no"))
     best = pairs.withColumn("_k", F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("shared"), F.asc("other")))).where(F.col("_k") <= n).drop("_k")
     # Labels of the pairs that are kept only: n for each doc.
     best = shared.store(best, "best-pairs")
     shared.drop(*done)
-    named = best.join(once.select(doc, item, "_labels"), doc).join(once.select(F.col(doc).alias("other"), item), ["other", item], "left_semi")
-    labels = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_labels")))), ",")
-    return named.groupBy(doc, "other").agg(F.first("shared").alias("shared"), labels.alias("labels"))
+    listed = lambda found: F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("labels")
+    alone = best.where(F.col("_no").isNotNull()).join(once.select(doc, "_no", "_labels"), [doc, "_no"]).select(doc, "other", "shared", listed(F.col("_labels")))
+    named = best.where(F.col("_no").isNull()).select(doc, "other", "shared").join(once.select(doc, item, "_labels"), doc).join(once.select(F.col(doc).alias("other"), item), ["other", item], "left_semi")
+    return alone.unionByName(named.groupBy(doc, "other").agg(F.first("shared").alias("shared"), listed(F.flatten(F.collect_set("_labels")))))
 
 
 def where_or_in(rows: DataFrame, condition: Column, key: str, keys: DataFrame, keys_column: str) -> DataFrame:
