@@ -383,3 +383,11 @@ def test_cooccurrence_of_wide_docs_equals_all_pairs(spark, monkeypatch, narrow):
                 found[o] = len(both), ",".join(sorted({a[2] for a, _ in both}))
         expected |= {(d, o): v for o, v in sorted(found.items(), key=lambda x: (-x[1][0], x[0]))[:4]}
     assert got == expected
+
+
+def test_only_segments_with_articles_or_definitions_are_looked_through(spark):
+    cases = [["a 1 (b)", "제 3 조"], ["( 이하 x", "b ( c )"], [None, "", "​", "同條 제 2 항"], ["『x』 ( y )"]]
+    rows = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, s array<string>")
+    both = rows.orderBy("k").select(citations._copies(F.col("s")).alias("got"), F.filter(F.transform("s", T.for_citation), lambda x: x != "").alias("whole")).collect()
+    assert both[0].got == ["a 1 (b)", "제3조"] and both[1].got == both[1].whole and both[2].got[1] == both[2].whole[1] and len(both[2].got) == 2
+    assert both[3].got == ["「x」 ( y )"] and [len(r.got) for r in both] == [len(r.whole) for r in both]
