@@ -159,8 +159,9 @@ def _stars(members: DataFrame) -> DataFrame:
     """Pairs (a, b), as many as members at most for each star: every member of a bucket with its
     least member, and in larger buckets with the least of a few members drawn by hash, twice."""
     hub = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    large = members.where(F.col("n") > DRAWN).withColumn("turn", F.explode(F.array(F.lit(0), F.lit(1))))
-    large = large.select("rep", "band", "key", "turn", F.pmod(F.xxhash64("rep", "band", "turn"), F.ceil(F.col("n") / DRAWN)).alias("part"))
+    large = members.where(F.col("n") > DRAWN)
+    part = lambda turn: F.pmod(F.xxhash64("rep", "band", F.lit(turn)), F.ceil(F.col("n") / DRAWN)).alias("part")
+    large = large.select("rep", "band", "key", F.lit(0).alias("turn"), part(0)).unionByName(large.select("rep", "band", "key", F.lit(1).alias("turn"), part(1)))
     group = ["band", "key", "turn", "part"]
     drawn = large.join(large.groupBy(*group).agg(F.min("rep").alias("b")), group).where("rep <> b").select(F.col("rep").alias("a"), "b")
     return hub.unionByName(drawn).distinct()
