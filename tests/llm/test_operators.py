@@ -519,3 +519,24 @@ def test_a_very_long_text(spark):
     assert {r.doc_id: r.n_bytes for r in suffix_dedup.digests(table).collect()} == sizes
     assert sum(r.length for r in best_fit.pack(table, BPE).collect() if r.doc_id == 0) == len(tokens.matches(BPE).encode_array(pa.array([made[0][1]]))[0]) + 1
     assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(table).collect()} == {k: k for k in sizes}
+
+
+def test_stars_make_no_rows_by_explode(spark):
+    from weftlens.llm import near_dup
+
+    members = spark.range(40).selectExpr("id AS rep", "0 AS band", "'k' AS key", "40L AS n", "0L AS hub")
+    pairs = near_dup._stars(members)
+    assert "Generate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    rows = {(r.a, r.b) for r in pairs.collect()}
+    assert {(k, 0) for k in range(1, 40)} <= rows and len(rows) <= 3 * 39
+
+
+def test_token_tables_keep_fewer_matches_than_others():
+    from weftlens.llm import bpe, tokens
+
+    path = queries.vocabulary("byte_bpe_50k.json")
+    assert tokens.matches(path).most == tokens.KEPT < bpe.ENTRIES
+    small, texts = bpe.MatchTable(tokens._library(path), 3), pa.array(["one two three four", None, "five six one two"])
+    for _ in range(3):
+        assert [x.tolist() for x in small.encode_array(texts)] == [x.tolist() for x in tokens.matches(path).encode_array(texts)]
+    assert small._entries < 12

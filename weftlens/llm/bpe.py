@@ -210,8 +210,8 @@ class MatchTable:
     table is emptied when it has grown to its bound.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]]):
-        self.encode_many = encode_many
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], most: int = ENTRIES):
+        self.encode_many, self.most = encode_many, most
         self._empty()
 
     def _empty(self) -> None:
@@ -262,7 +262,7 @@ class MatchTable:
 
     def entries(self, text: str | bytes, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The table's entry for each match text[start:end]; values: the code points or bytes of text."""
-        if self._entries > ENTRIES or self._used > 10 * ENTRIES or self._held > 10 * ENTRIES:
+        if self._entries > self.most or self._used > 10 * self.most or self._held > 10 * self.most:
             self._empty()
         slots = (hashes >> at.U64(64 - SLOT_BITS)).astype(np.int64)
         out = self._slot[slots].astype(np.int64)

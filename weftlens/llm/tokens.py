@@ -14,6 +14,8 @@ from weftlens.llm.bpe import LETTER, OTHER, MatchTable, char_classes
 
 #: Matches that the library encodes at once.
 SLICE = 4000
+#: Matches that a process keeps: its worker may hold what stages before this one have left, too.
+KEPT = 600_000
 
 
 def _library(path: str):
@@ -40,7 +42,7 @@ def matches(path: str) -> MatchTable:
     a text are those of its matches, one after the other. Special tokens'
     strings in a text are ordinary text.
     """
-    return MatchTable(_library(path))
+    return MatchTable(_library(path), KEPT)
 
 
 class WordTable(MatchTable):
@@ -76,7 +78,7 @@ class WordTable(MatchTable):
 @cache
 def words(path: str) -> WordTable:
     """Like matches(), for a BPE file with word ends that drops white space."""
-    return WordTable(_library(path))
+    return WordTable(_library(path), KEPT)
 
 
 def with_end(path: str, texts: pa.Array, end: int, table=matches) -> tuple[np.ndarray, np.ndarray]:
