@@ -279,3 +279,13 @@ def test_words_are_cut_where_the_library_agrees():
     ids, offs = tokens.words(WORDS).encode_array(pa.array([*made, None]))
     for k, t in enumerate(made):
         assert ids[offs[k] : offs[k + 1]].tolist() == coder.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_a_letter_that_lowers_to_a_mark_is_not_cut_off():
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(WORDS)
+    coder.encode_special_tokens = True
+    for text in ("İ<|", "Sİ<|endoftext|> <", "aİ,", "İ.İ!", "İ、"):
+        ids, _ = tokens.WordTable(tokens._library(WORDS)).encode_array(pa.array([text]))
+        assert ids.tolist() == coder.encode(text, add_special_tokens=False).ids, text

@@ -58,7 +58,8 @@ class WordTable(MatchTable):
         border = np.zeros(len(cp) + 1, bool)
         border[offs] = True
         # Letters that every edition of Unicode has; marks that combine with nothing before them and start no contraction.
-        letter = (char_classes()[cp] == LETTER) & ((cp < 0x250) | ((cp >= 0x4E00) & (cp <= 0x9FA5)) | ((cp >= 0xAC00) & (cp <= 0xD7A3)))
+        # U+0130 is lowered to an i and a combining dot, which no letter is and which the marks after it belong to.
+        letter = (char_classes()[cp] == LETTER) & (cp != 0x130) & ((cp < 0x250) | ((cp >= 0x4E00) & (cp <= 0x9FA5)) | ((cp >= 0xAC00) & (cp <= 0xD7A3)))
         mark = (cp > 32) & (cp < 127) & (cp != 39) & (char_classes()[cp] == OTHER) | (cp == 0x3001) | (cp == 0x3002)
         border[1:-1] |= letter[:-1] & mark[1:]
         left = inside & (border[:-1] | ~np.concatenate([[False], inside[:-1]]))
