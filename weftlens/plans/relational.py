@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftlens.operators import aggregates, events, joins, windows
 from weftlens.plans.registry import Tables, query
-from weftlens.sources import store
+from weftlens.sources import shared, store
 
 AS_OF = "1998-06-01"
 
@@ -23,7 +23,9 @@ def _day(name: str):
  max(CAST(o_orderdate AS DATE)) AS latest_on
  FROM lineitem JOIN orders ON l_orderkey=o_orderkey GROUP BY l_partkey""")
 def entity_stats(t: Tables) -> DataFrame:
-    rows = t("lineitem").select("l_partkey", "l_orderkey").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("day", _day("o_orderdate"))
+    n = t("lineitem").count()
+    lines, orders = shared.dealt(t("lineitem").select("l_partkey", "l_orderkey"), n, "l_orderkey"), shared.dealt(t("orders"), n, "o_orderkey")
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("day", _day("o_orderdate"))
     kinds = {"urgent": F.col("o_orderpriority") == "1-URGENT", "high": F.col("o_orderpriority") == "2-HIGH", "open": F.col("o_orderstatus") == "O"}
     return aggregates.entity_stats(rows, "l_partkey", "o_orderkey", kinds, "day")
 
