@@ -10,7 +10,7 @@ from weftlens.sources import shared
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["entity_stats", "family_shares", "law_contents", "search_articles"])
+@pytest.mark.parametrize("name", ["entity_stats", "family_shares", "law_contents", "search_articles", "analysis_top_laws"])
 def test_pairs_are_dealt_by_their_number(spark, monkeypatch, name):
     monkeypatch.setattr(shared, "ROWS", 100)
     rows = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
