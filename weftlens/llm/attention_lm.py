@@ -28,6 +28,8 @@ MEMBERS = 46
 UNITS = 1750
 #: Words whose counts every task holds; the rest are joined.
 FREQUENT = 1 << 18
+#: Words whose units a process keeps.
+KEPT = 600_000
 FOLD = 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -58,10 +60,10 @@ class Spelling:
 
     def __post_init__(self):
         self.end, self.begin, self.pad = len(self.initial) - 1, len(self.initial), len(self.initial) + 1
-        self._coder = None
+        self._coder = self._spelt = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_coder": None}
+        return self.__dict__ | {"_coder": None, "_spelt": None}
 
     def ids(self, words: list[bytes]) -> list[list[int]]:
         if self._coder is None:
@@ -75,16 +77,11 @@ class Spelling:
         return [x.ids for part in slices for x in self._coder.encode_batch_fast([" " + w.decode() for w in part], add_special_tokens=False)]
 
     def units(self, words: list[bytes]) -> list[list[int]]:
-        unit_of, coder, out = self.unit_of.tolist(), bpe.load(self.ranks), []
-        for ids in self.ids(words):
-            got = []
-            for k in ids:
-                if unit_of[k] >= 0:
-                    got.append(unit_of[k])
-                else:
-                    got.extend(unit_of[coder.ranks[bytes([b])]] for b in coder.words[k])
-            out.append(got)
-        return out
+        if self._spelt is None:
+            unit_of, coder = self.unit_of.tolist(), bpe.load(self.ranks)
+            self._spelt = [(u,) if u >= 0 else tuple(unit_of[coder.ranks[bytes([b])]] for b in w) for u, w in zip(unit_of, coder.words, strict=False)]
+        spelt = self._spelt
+        return [[u for k in ids for u in spelt[k]] for ids in self.ids(words)]
 
 
 def choose_units(words: dict[bytes, int], tokenizer: str, ranks: str, most: int = UNITS) -> Spelling:
@@ -107,7 +104,7 @@ class Words(bpe.MatchTable):
 
     def __init__(self, spelling: Spelling, hashes: np.ndarray, counts: np.ndarray):
         self.spelling, self.hashes, self.counts = spelling, hashes, counts
-        super().__init__(spelling.units)
+        super().__init__(spelling.units, KEPT)
 
     def _empty(self) -> None:
         super()._empty()
@@ -219,22 +216,32 @@ class Attention:
             klass = self.klass[y]
             by = np.argsort(klass.astype(np.uint8), kind="stable")
             place, h, y, klass = place[by], h[by], y[by], klass[by]
-            z = h @ a
-            z += a0
-            np.minimum(z, 60, out=z)
-            picked = z[np.arange(len(y)), klass]
-            sums = np.exp(z, out=z) @ kinds
+            every, member, cuts = np.arange(len(y)), self.member[y], np.searchsorted(klass, np.arange(len(a0) + 1)).tolist()
+            # Logits of over 60 are cut to it, which is looked for in the sums only.
+            for most in (np.inf, 60):
+                z = h @ a
+                z += a0
+                if most < np.inf:
+                    np.minimum(z, most, out=z)
+                picked = z[every, klass]
+                with np.errstate(over="ignore"):
+                    sums = np.exp(z, out=z) @ kinds
+                    within, inner = np.empty(len(y), np.float32), np.empty(len(y), np.float32)
+                    for c, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        if lo < hi:
+                            w = h[lo:hi] @ m[c]
+                            w += m0[c]
+                            if most < np.inf:
+                                np.minimum(w, most, out=w)
+                            within[lo:hi] = w[every[: hi - lo], member[lo:hi]]
+                            np.matmul(np.exp(w, out=w), ones[MEMBERS], out=inner[lo:hi])
+                if not len(y) or max(sums.max(), inner.max()) < np.exp(np.float32(60)):
+                    break
             total = np.log(sums[:, 0])
             new[place] = np.log(sums[:, 1] + np.float32(1e-30)) - total
             lp = picked - total
-            member, cuts = self.member[y], np.searchsorted(klass, np.arange(len(a0) + 1)).tolist()
-            for c, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                if lo < hi:
-                    w = h[lo:hi] @ m[c]
-                    w += m0[c]
-                    np.minimum(w, 60, out=w)
-                    lp[lo:hi] += w[np.arange(hi - lo), member[lo:hi]]
-                    lp[lo:hi] -= np.log(np.exp(w, out=w) @ ones[MEMBERS])
+            lp += within
+            lp -= np.log(inner)
             out[place] = lp
         return out, new
 
@@ -327,6 +334,15 @@ class Model:
     total: int
     distinct: int
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_words"}
+
+    def words(self) -> Words:
+        """One table a process: its tasks share the model that has been sent to it."""
+        if not hasattr(self, "_words"):
+            self._words = Words(self.spelling, self.hashes, self.counts)
+        return self._words
+
 
 def word_units(words: Words, arr: pa.Array):
     """(entries with ends, counts, units, units by word, hashes, words by document) of a column; a document's last word is its end."""
@@ -472,7 +488,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def work(batches):
         m = shared.value
-        words, tables = Words(m.spelling, m.hashes, m.counts), m.net.tables()
+        words, tables = m.words(), m.net.tables()
         low = np.log10(m.total + 0.5 * (m.distinct + 1))
         for batch in at.pieces(batches, limit=1 << 20):
             full, count, units, lengths, h, size = word_units(words, batch.column(2))
