@@ -16,3 +16,11 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch, name):
     rows = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
     plan = registry.queries()[name](spark, DATA)._jdf.queryExecution().toString()
     assert "REPARTITION_BY_NUM" in plan and f", {-(-rows // 100)})" in plan
+
+
+@pytest.mark.parametrize("name", ["graph_edges", "graph_nodes"])
+def test_graphs_send_no_growing_table_through_the_driver(spark, name):
+    plan = registry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    # Only nations and laws, of fixed number, are broadcast.
+    joins = [x for x in plan.splitlines() if "BroadcastHashJoin" in x or "BroadcastNestedLoopJoin" in x]
+    assert all("n_nationkey" in x or "slug" in x for x in joins), joins

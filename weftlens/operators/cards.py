@@ -125,38 +125,42 @@ def article_cards(tables: dict[str, DataFrame], as_of: Column) -> DataFrame:
 TIERS = {"법률": 0, "시행령": 1, "시행규칙": 1, "감독규정": 2, "고시": 2, "시행세칙": 3}
 
 
-def article_graphs(tables: dict[str, DataFrame], centres: DataFrame, depth: int = 2, per_kind: int = 3) -> dict[str, DataFrame]:
+def article_graphs(tables: dict[str, DataFrame], centres: DataFrame, depth: int = 2, per_kind: int = 3, many: bool = True) -> dict[str, DataFrame]:
     """Around each article of centres (key): delegations up and down, and the newest documents of each kind that cite it.
 
     nodes: center, id, type (article or document), tier, kind, title; edges:
     center, src, dst, type (delegation or citation), origin, method, confidence;
     more: center, kind and how many documents of the kind are left out. A
     citation leads from a document to any article of its graph. Keys that are
-    no articles give nothing. All centres are expanded together.
+    no articles give nothing. All centres are expanded together. many: centres
+    grow with the tables, so that joins with what is found for them are between
+    shuffles; their sizes are estimated from files that are packed much tighter
+    than what a broadcast would send through the driver.
     """
-    known = centres.select("key").distinct().join(tables["articles"].select("key"), "key", "left_semi")
+    far = (lambda df: df.hint("merge")) if many else (lambda df: df)
+    known = centres.select("key").distinct().join(far(tables["articles"].select("key")), "key", "left_semi")
     start = known.select(F.col("key").alias("center"), F.col("key").alias("node"))
     lines, seen, frontiers = None, start, {"down": start, "up": start}
     ends = {"down": ("from_key", "to_key"), "up": ("to_key", "from_key")}
     for _ in range(depth):
-        steps = {way: tables["delegations"].join(frontiers[way].withColumnRenamed("node", near), near) for way, (near, _) in ends.items()}
+        steps = {way: tables["delegations"].join(far(frontiers[way].withColumnRenamed("node", near)), near) for way, (near, _) in ends.items()}
         for step in steps.values():
             found = step.select("center", F.col("from_key").alias("src"), F.col("to_key").alias("dst"), "origin")
             lines = found if lines is None else lines.unionByName(found)
-        frontiers = {way: step.select("center", F.col(ends[way][1]).alias("node")).distinct().join(seen, ["center", "node"], "left_anti") for way, step in steps.items()}
+        frontiers = {way: step.select("center", F.col(ends[way][1]).alias("node")).distinct().join(far(seen), ["center", "node"], "left_anti") for way, step in steps.items()}
         seen = seen.unionByName(frontiers["down"]).unionByName(frontiers["up"]).distinct()
     none = F.lit(None)
     edges = lines.distinct().select("center", "src", "dst", F.lit("delegation").alias("type"), "origin", none.cast("string").alias("method"), none.cast("double").alias("confidence"))
-    docs = tables["links"].select("key", F.col("doc_id").alias("id")).distinct().join(known.select("key"), "key").join(tables["documents"], "id").withColumnRenamed("key", "center")
+    docs = tables["links"].select("key", F.col("doc_id").alias("id")).distinct().join(far(known.select("key")), "key").join(far(tables["documents"]), "id").withColumnRenamed("key", "center")
     place = F.row_number().over(Window.partitionBy("center", "kind").orderBy(F.col("published_on").desc_nulls_first(), "id"))
     shown = docs.withColumn("place", place).where(F.col("place") <= per_kind)
-    cited = tables["links"].join(shown.select("center", F.col("id").alias("doc_id")), "doc_id").join(seen.withColumnRenamed("node", "key"), ["center", "key"])
+    cited = tables["links"].join(far(shown.select("center", F.col("id").alias("doc_id"))), "doc_id").join(far(seen.withColumnRenamed("node", "key")), ["center", "key"])
     cited = cited.groupBy("center", "doc_id", "key").agg(F.min("method").alias("method"), F.max("confidence").cast("double").alias("confidence"))
     edges = edges.unionByName(cited.select("center", F.col("doc_id").alias("src"), F.col("key").alias("dst"), F.lit("citation").alias("type"), none.cast("string").alias("origin"), "method", "confidence"))
     tier = F.coalesce(F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv])[F.col("law_kind")], F.lit(1))
     laws = tables["laws"].select("slug", F.col("kind").alias("law_kind"))
     articles = tables["articles"].select(F.col("key").alias("node"), "slug", "title").join(laws, "slug")
-    nodes = seen.join(articles, "node").select("center", F.col("node").alias("id"), F.lit("article").alias("type"), tier.alias("tier"), F.col("law_kind").alias("kind"), "title")
+    nodes = seen.join(far(articles), "node").select("center", F.col("node").alias("id"), F.lit("article").alias("type"), tier.alias("tier"), F.col("law_kind").alias("kind"), "title")
     nodes = nodes.unionByName(shown.select("center", "id", F.lit("document").alias("type"), none.cast("int").alias("tier"), "kind", "title"))
     more = docs.groupBy("center", "kind").agg((F.count("*") - per_kind).alias("more")).where("more > 0")
     return {"nodes": nodes, "edges": edges, "more": more}
@@ -164,7 +168,7 @@ def article_graphs(tables: dict[str, DataFrame], centres: DataFrame, depth: int
 
 def article_graph(tables: dict[str, DataFrame], key: str, depth: int = 2, per_kind: int = 3) -> dict[str, DataFrame]:
     """article_graphs() around one article."""
-    return article_graphs(tables, tables["articles"].where(F.col("key") == key), depth, per_kind)
+    return article_graphs(tables, tables["articles"].where(F.col("key") == key), depth, per_kind, many=False)
 
 
 def inferred_delegations(links: DataFrame, laws: DataFrame, official: DataFrame, most: int = 4) -> DataFrame:
