@@ -528,7 +528,7 @@ def _encoded(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     path = scratch.new_path(docs.sparkSession, "units")
-    keyed.mapInArrow(work, schema).write.partitionBy("round").parquet(path)
+    keyed.mapInArrow(work, schema).write.partitionBy("round").parquet(path, compression="zstd")
     out = docs.sparkSession.read.schema(schema).parquet(path)
     out._weft_path = path
     return out
@@ -707,10 +707,10 @@ def learnt(docs: DataFrame, counts: DataFrame, tokenizer: str, ranks: str, most:
     net = Attention(spelling, _order(*_pairs(encoded, end), end))
     _train(encoded, net, spelling.begin)
     model = replace(model, net=net)
-    rows = scratch.store(_scored(encoded, model), "scored")
+    rows = scratch.store(_scored(encoded, model), "scored", "zstd")
     scratch.drop(encoded)
     rare = rows.select("row", "round", F.explode(F.arrays_zip("rare", "spelled", "rare_times")).alias("x")).select("row", "round", F.col("x.rare").alias("h"), "x.spelled", F.col("x.rare_times").alias("times"))
-    rare = scratch.store(rare.join(counts.select("h", "c"), "h", "left").drop("h"), "rare-words")
+    rare = scratch.store(rare.join(counts.select("h", "c"), "h", "left").drop("h"), "rare-words", "zstd")
     return replace(model, spelled=_share(rows, rare, model)), rows, rare
 
 
