@@ -391,3 +391,42 @@ def test_only_segments_with_articles_or_definitions_are_looked_through(spark):
     both = rows.orderBy("k").select(citations._copies(F.col("s")).alias("got"), F.filter(F.transform("s", T.for_citation), lambda x: x != "").alias("whole")).collect()
     assert both[0].got == ["a 1 (b)", "제3조"] and both[1].got == both[1].whole and both[2].got[1] == both[2].whole[1] and len(both[2].got) == 2
     assert both[3].got == ["「x」 ( y )"] and [len(r.got) for r in both] == [len(r.whole) for r in both]
+
+
+@pytest.mark.parametrize(("passes", "heavy"), [(3, 500), (2, 9)])
+def test_cooccurrence_in_passes_equals_all_pairs(spark, monkeypatch, passes, heavy):
+    import random
+
+    draw = random.Random(passes)
+    # Two docs are wide; some lines come several times, and some items have several labels or none.
+    lines = [(f"d{draw.randrange(50)}", draw.randrange(60), draw.choice(["l1", "l2", None, "7"])) for _ in range(250)] + [(d, i, str(i)) for d in ("w1", "w2") for i in range(0, 60, 2)]
+    monkeypatch.setattr(joins, "PASS_ROWS", -(-len(lines) // passes))
+    monkeypatch.setattr(joins, "HEAVY_DOCS", heavy)
+    got = {(r.d, r.other): (r.shared, r.labels) for r in joins.cooccurrence(spark.createDataFrame(lines, "d string, i int, l string"), "d", "i", 5, "l").collect()}
+    expected = {}
+    for d in {x[0] for x in lines}:
+        found = {}
+        for o in {x[0] for x in lines} - {d}:
+            both = [a for a in lines for b in lines if a[0] == d and b[0] == o and a[1] == b[1]]
+            if both:
+                found[o] = len(both), ",".join(sorted({a[2] for a in both if a[2] is not None}))
+        expected |= {(d, o): v for o, v in sorted(found.items(), key=lambda x: (-x[1][0], x[0]))[:5]}
+    assert got == expected
+
+
+def test_cooccurrence_leaves_no_shuffles_and_no_tables_of_its_own(spark, monkeypatch):
+    import time
+
+    made, store = [], joins.shared.store
+    monkeypatch.setattr(joins.shared, "store", lambda df, name, *a: made.append(store(df, name, *a)) or made[-1])
+    blocks = lambda: sum("shuffle_" in str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("|").split("|"))
+    before = blocks()
+    rows = spark.range(4000).selectExpr("id DIV 4 AS d", "id * 7919 % 500 AS i", "string(id * 7919 % 500) AS l")
+    found = joins.cooccurrence(rows, "d", "i", 6, "l")
+    until = time.time() + 20
+    while blocks() > before and time.time() < until:
+        time.sleep(0.2)
+    assert blocks() <= before
+    # Only results are left.
+    left = [f._weft_path.rsplit("/", 1)[1] for f in made if joins.shared.exists(spark, f._weft_path)]
+    assert left and all(x.startswith("best-pairs") for x in left) and found.count() > 0
