@@ -145,3 +145,33 @@ def test_sizes_are_made_slice_by_slice(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "a b", "a c"), (2, None, None), (3, "a " * 613, "b " * 613), (None, None, "x")], "doc_id int, a string, b string")
     got = [tuple(r) for r in diff.difference_sizes(rows, "doc_id", "a", "b").collect()]
     assert got == [(1, 3, 2, 1, 1), (2, 0, 0, 0, 0), (3, None, None, None, None), (None, 1, 0, 0, 1)]
+
+
+def test_texts_of_any_length_are_compared(spark, monkeypatch):
+    from weftlens.functions import diff
+
+    a, b = " ".join(f"w{k % 977}" for k in range(1500)), " ".join(f"w{k % 983}" for k in range(1500))
+    assert differences(a, b) is None
+    found = differences(a, b, None)
+    take = lambda ops: "".join(r["text"] for r in found if r["op"] in ops)
+    assert take("=-") == a and take("=+") == b and len(take("=")) > len(a) // 2
+    # Rows that are made again give the same.
+    monkeypatch.setattr(diff, "HELD", 4000)
+    monkeypatch.setattr(diff, "PARTS", 3)
+    assert differences(a, b, None) == found
+    draw = random.Random(4)
+    make = lambda n: "".join(draw.choice(["a", "b", "c", "dd", " ", "\n"]) for _ in range(draw.randint(0, n)))
+    monkeypatch.setattr(diff, "HELD", 40)
+    for _ in range(300):
+        a, b = make(40), make(40)
+        assert differences(a, b) == table(a, b), (a, b)
+
+
+def test_documents_of_any_length_have_whole_sizes(spark):
+    data = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    rows = registry.queries()["document_differences"](spark, data).collect()
+    assert any(r.runs is None for r in rows)
+    for r in rows:
+        assert r.whole_kept + r.whole_removed == len(texts[r.doc_id - 1]) and r.whole_kept + r.whole_added == len(texts[r.doc_id])
+        assert r.runs is None or (r.runs, r.kept, r.removed, r.added) == (r.whole_runs, r.whole_kept, r.whole_removed, r.whole_added)

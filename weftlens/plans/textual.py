@@ -133,7 +133,10 @@ def name_mentions(t: Tables) -> DataFrame:
 
 @query()
 def document_differences(t: Tables) -> DataFrame:
-    """Each document against the one before it: numbers of runs and of characters kept, removed and added; null where both are too long."""
+    """Each document against the one before it: numbers of runs and of characters kept, removed and added.
+
+    The first four are null where the service shows no differences, as the texts are too long; the whole_ ones are those of all pairs.
+    """
     docs = t("documents").select("doc_id", "text")
     before = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("before"))
-    return difference_sizes(docs.join(before, "doc_id"), "doc_id", "before", "text")
+    return difference_sizes(docs.join(before, "doc_id"), "doc_id", "before", "text", whole=True)
